@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mpeg_media",)
+MODULES = ("mpeg_media", "prefix_bpe")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
