@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mpeg_media", "prefix_bpe")
+MODULES = ("differencing_pack", "trie_counts", "prefix_bpe", "mpeg_media")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
