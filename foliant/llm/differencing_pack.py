@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.vocabularies import MEMO_ENTRIES, chunks, vocabulary
+from foliant.llm.byte_words import BASE, BYTE, hashes, mix, pieces, spans
+from foliant.llm.vocabularies import MEMO_ENTRIES, vocabulary
 from foliant.sources.tables import table
 
 CAPACITY = 2048
 #: Most ids in a piece of what is left after whole windows; smaller pieces balance better.
 PIECE = 512
 #: Pieces that are partitioned together.
-BLOCK = 2048
+BLOCK = 1024
 CLOSING = 1
 
 
@@ -100,39 +101,89 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
     return out
 
 
-class ChunkIds(dict):
-    """Ids of chunks, as little-endian unsigned 32-bit bytes, by the tokenizers library."""
+class UnitIds:
+    """Ids of texts by the tokenizers library, which is asked once for each distinct unit.
 
-    def __init__(self, path: str):
+    A unit is what stands between blanks (20, 09, 0A, 0D), cut once more before each comma or stop that follows an
+    ASCII letter; no token of ``word_bpe_49k`` crosses such a place. Units are told apart by a 64-bit hash without
+    regard to the case of A-Z, which the tokenizer drops as well; where a special token's string could stand ("<"),
+    case counts.
+    """
+
+    def __init__(self, path: str, entries: int = 3 * MEMO_ENTRIES):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
-        self.encode.no_truncation()
-        self.encode.no_padding()
-        self.mark = max(self.encode.get_added_tokens_decoder())
-        self.between = self.encode.get_added_tokens_decoder()[self.mark].content
-        self.entries = 3 * MEMO_ENTRIES
-
-    def learn(self, found) -> None:
-        """Encodes the chunks that are not known yet, in one call, with a special token between them."""
-        new = [c for c in found if c not in self]
-        if len(self) + len(new) > self.entries:
-            self.clear()
-            new = list(found)
-        plain = [c for c in new if "<|" not in c]
+        self.library, self.entries = Tokenizer.from_file(path), entries
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.mark = max(self.library.get_added_tokens_decoder())
+        self.between = self.library.get_added_tokens_decoder()[self.mark].content
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _store(self, keys: list[int], ids: np.ndarray, size: np.ndarray) -> None:
+        n, first = len(keys), len(self.place)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while first + n > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[first : first + n] = size
+        self.start[first : first + n] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.place.update(zip(keys, range(first, first + n), strict=True))
+
+    def _learn(self, keys: list[int], units: list[str]) -> None:
+        plain = [i for i, u in enumerate(units) if "<|" not in u]
         if plain:
-            ids = np.array(self.encode.encode_batch_fast([self.between.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([self.between.join([units[i] for i in plain])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
-            self.update(zip(plain, [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
-        for c in new:
-            if "<|" in c:
-                self[c] = np.array(self.encode.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            size = np.diff(ends, prepend=-1) - 1
+            self._store([keys[i] for i in plain], ids[ids != self.mark], size)
+        for i, u in enumerate(units):
+            if "<|" in u:
+                ids = self.library.encode(u, add_special_tokens=False).ids
+                self._store([keys[i]], np.array(ids, np.uint32), np.array([len(ids)]))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a run of texts one after another, and n+1 offsets into them."""
+        letter = self.letters[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = letter[:-1] & self.stops[data[1:]]
+        starts, ends = spans(~self.blanks[data], offsets, cut)
+        key = hashes(data, starts, ends)
+        signs = data == 60
+        if signs.any() and len(starts):
+            odd = np.logical_or.reduceat(signs, starts)
+            key = np.where(odd, mix(hashes(data, starts, ends, BYTE) + BASE), key)
+        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.place) + len(keys) > self.entries:
+            self.forget()
+        new = [i for i, k in enumerate(keys) if k not in self.place]
+        if new:
+            raw, at = data.tobytes(), first[new]
+            units = [raw[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._learn([keys[i] for i in new], units)
+        entry = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
+        size = self.size[entry]
+        total = np.concatenate(([0], np.cumsum(size)))
+        flat = self.ids[np.arange(total[-1]) + np.repeat(self.start[entry] - total[:-1], size)]
+        return flat, total[np.searchsorted(starts, offsets)]
+
+    blanks, letters, stops = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+    blanks[[32, 9, 10, 13]] = True
+    letters[[*range(65, 91), *range(97, 123)]] = True
+    stops[[44, 46]] = True
 
 
 @lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def unit_ids(path: str) -> UnitIds:
+    return UnitIds(path)
 
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -146,10 +197,10 @@ def packed(docs: DataFrame, name: str = "word_bpe_49k.json", directory: str | No
 
         from pyspark import TaskContext
 
-        from foliant.llm.differencing_pack import chunk_ids
+        from foliant.llm.differencing_pack import unit_ids
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = chunk_ids(vocabulary(name, directory))
+        known = unit_ids(vocabulary(name, directory))
         task = TaskContext.get().partitionId() << 32
         made = 0
         waiting: list[tuple] = []
@@ -173,12 +224,11 @@ def packed(docs: DataFrame, name: str = "word_bpe_49k.json", directory: str | No
 
         for batch in batches:
             done = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                split = [chunks(x or "") for x in part.column(1).to_pylist()]
-                known.learn(set().union(*split))
-                for doc, found in zip(part.column(0).to_pylist(), split, strict=True):
-                    ids = b"".join([known[c] for c in found]) + closing
+            for at, end, data, offsets in pieces(batch.column(1)):
+                flat, bounds = known.encode(data, offsets)
+                raw, bounds = flat.astype("<u4").tobytes(), bounds.tolist()
+                for k, doc in enumerate(batch.column(0).slice(at, end - at).to_pylist()):
+                    ids = raw[4 * bounds[k] : 4 * bounds[k + 1]] + closing
                     n = len(ids) // 4
                     for start, size in cuts(n, capacity, piece):
                         row = (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n)
@@ -194,7 +244,7 @@ def packed(docs: DataFrame, name: str = "word_bpe_49k.json", directory: str | No
         if waiting:
             yield batch_of(settle(waiting))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).mapInArrow(run, PACKED)
 
 
 def op2_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
