@@ -96,3 +96,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Starts, ends, row and hash (A-Z lower-cased) of each word between blanks (20, 09 to 0D)."""
     starts, ends = spans(~BLANK[data], offsets)
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1, hashes(data, starts, ends)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and each key's number among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number

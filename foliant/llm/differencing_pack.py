@@ -16,6 +16,7 @@ Defined results: a null text is an empty one and still holds the closing id; rep
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.byte_words import BASE, BYTE, hashes, mix, pieces, spans
+from foliant.llm.byte_words import BASE, BYTE, distinct, hashes, mix, pieces, spans
+from foliant.llm.prefix_bpe import byte_symbols
 from foliant.llm.vocabularies import MEMO_ENTRIES, vocabulary
 from foliant.sources.tables import table
 
@@ -110,14 +112,13 @@ class UnitIds:
     case counts.
     """
 
-    def __init__(self, path: str, entries: int = 3 * MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = 5 * MEMO_ENTRIES):
         from tokenizers import Tokenizer
 
         self.library, self.entries = Tokenizer.from_file(path), entries
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark = max(self.library.get_added_tokens_decoder())
-        self.between = self.library.get_added_tokens_decoder()[self.mark].content
+        self.model, self.symbols = self.library.model, byte_symbols()
         self.forget()
 
     def forget(self) -> None:
@@ -138,16 +139,21 @@ class UnitIds:
         self.place.update(zip(keys, range(first, first + n), strict=True))
 
     def _learn(self, keys: list[int], units: list[str]) -> None:
-        plain = [i for i, u in enumerate(units) if "<|" not in u]
-        if plain:
-            ids = np.array(self.library.encode_batch_fast([self.between.join([units[i] for i in plain])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            size = np.diff(ends, prepend=-1) - 1
-            self._store([keys[i] for i in plain], ids[ids != self.mark], size)
-        for i, u in enumerate(units):
-            if "<|" in u:
-                ids = self.library.encode(u, add_special_tokens=False).ids
-                self._store([keys[i]], np.array(ids, np.uint32), np.array([len(ids)]))
+        flat, size = [], []
+        for u in units:
+            got = self._word(u) if u.isalpha() else self.library.encode(u, add_special_tokens=False).ids
+            flat += got
+            size.append(len(got))
+        self._store(keys, np.array(flat, np.uint32), np.array(size, np.int64))
+
+    def _word(self, unit: str) -> list[int]:
+        """Ids of a unit of letters: the tokenizer's own steps, which make one pre-token of it, before its model."""
+        if unit.isascii():
+            return [t.id for t in self.model.tokenize(unit.lower())]
+        low = "".join([c.lower() for c in unicodedata.normalize("NFC", unit)])
+        if not low.isalpha():
+            return self.library.encode(unit, add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in low.encode("utf-8")]))]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of texts one after another, and n+1 offsets into them."""
@@ -160,8 +166,8 @@ class UnitIds:
         if signs.any() and len(starts):
             odd = np.logical_or.reduceat(signs, starts)
             key = np.where(odd, mix(hashes(data, starts, ends, BYTE) + BASE), key)
-        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        found, first, inverse = distinct(key)
+        keys = found.tolist()
         if len(self.place) + len(keys) > self.entries:
             self.forget()
         new = [i for i, k in enumerate(keys) if k not in self.place]
@@ -172,7 +178,7 @@ class UnitIds:
         entry = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
         size = self.size[entry]
         total = np.concatenate(([0], np.cumsum(size)))
-        flat = self.ids[np.arange(total[-1]) + np.repeat(self.start[entry] - total[:-1], size)]
+        flat = self.ids[np.arange(total[-1], dtype=np.int32) + np.repeat((self.start[entry] - total[:-1]).astype(np.int32), size)]
         return flat, total[np.searchsorted(starts, offsets)]
 
     blanks, letters, stops = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
