@@ -34,6 +34,8 @@ from foliant.sources.tables import table
 ORDER = 4
 DECAY = 0.7
 LANDMARKS = 24
+#: Share of a landmark's distinct letters that a word needs for a kernel with it.
+SHARED = 0.6
 LONG = 24
 FIRST, LAST = "\x01", "\x02"
 SAMPLE = 3000
@@ -88,12 +90,31 @@ def own_kernel(s: np.ndarray) -> np.ndarray:
 
 
 class Kernels:
-    """Normalised kernels of words with landmarks."""
+    """Normalised kernels of words with landmarks.
+
+    A word that has less than the share SHARED of a landmark's distinct letters has the kernel 0 with it by definition;
+    gaps and insertions take no letters away.
+    """
 
     def __init__(self, landmarks: list[str]):
-        self.t = letters(list(map(bounded, landmarks)), max(map(len, landmarks)) + 2)
+        size = max(map(len, landmarks)) + 2
+        self.t = letters(list(map(bounded, landmarks)), size)
         self.root = np.sqrt(np.maximum(own_kernel(self.t), 1e-12))
-        self.known = np.unique(self.t[self.t > 0])
+        known = sorted({c for w in landmarks for c in w}, key=lambda c: (-sum(c in w for w in landmarks), c))[:62]
+        self.code = np.array(list(map(ord, known)), np.uint32)
+        self.rank = np.argsort(self.code)
+        self.code = self.code[self.rank]
+        own = self.masks(self.t)
+        self.need = np.ceil(SHARED * np.bitwise_count(own)).astype(np.int64)
+        self.mask = own
+        length = (self.t > 0).sum(axis=1)
+        self.groups = [(int(n), np.flatnonzero(length == n)) for n in np.unique(length)]
+
+    def masks(self, s: np.ndarray) -> np.ndarray:
+        """One bit for each known letter that a row holds."""
+        at = np.minimum(np.searchsorted(self.code, s), len(self.code) - 1)
+        bit = np.where(self.code[at] == s, np.uint64(1) << self.rank[at].astype(np.uint64), np.uint64(0))
+        return np.bitwise_or.reduce(bit, axis=1)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """One row of kernels for each word, however long it is."""
@@ -106,15 +127,22 @@ class Kernels:
         out = np.zeros((len(words), len(self.root)), np.float32)
         order, owner = np.argsort(size, kind="stable"), np.array(owner, np.int64)
         codes = letters(parts) if parts else np.zeros((0, LONG), np.uint32)
-        for at in range(0, len(order), 2048):
-            pick = order[at : at + 2048]
+        for at in range(0, len(order), 8192):
+            pick = order[at : at + 8192]
             s = codes[pick, : max(1, size[pick].max())]
-            near = np.isin(s, self.known).sum(axis=1) >= ORDER  # fewer known letters: no common subsequence
-            pick, s = pick[near], s[near]
-            if not len(pick):
+            near = np.bitwise_count(self.masks(s)[:, None] & self.mask[None]) >= self.need[None]
+            some = np.flatnonzero(near.any(axis=1))
+            if not len(some):
                 continue
-            k = subsequence_kernel(s, self.t) / (self.root * np.sqrt(np.maximum(own_kernel(s), 1e-12))[:, None])
-            np.maximum.at(out, owner[pick], k)
+            root = np.zeros(len(s), np.float32)
+            root[some] = np.sqrt(np.maximum(own_kernel(s[some]), 1e-12))
+            for n, group in self.groups:
+                i, j = np.nonzero(near[:, group])
+                j = group[j]
+                for part in range(0, len(i), 8192):
+                    x, y = i[part : part + 8192], j[part : part + 8192]
+                    k = subsequence_kernel(s[x], self.t[y, None, :n])[:, 0] / (root[x] * self.root[y])
+                    np.maximum.at(out, (owner[pick[x]], y), k)
         return out
 
 
