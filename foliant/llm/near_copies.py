@@ -221,7 +221,7 @@ def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 1
 
     member = classes.select("d1", "d2", "rep").join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n", "d1", "d2").join(member, ["d1", "d2"], "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
