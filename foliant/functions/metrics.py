@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.textnorm import WORD_BREAK, bigrams, distinct_words, normalize, ratio, strip_marks
+from foliant.functions.textnorm import WORD_BREAK, bigrams, distinct_words, let, normalize, ratio, strip_marks
 
 #: Longest text, in letters, for which the table-filling built-in distance is used.
 SHORT = 512
@@ -32,11 +32,13 @@ def bit_distance(a: str, b: str) -> int:
     return score
 
 
-@F.pandas_udf("int")
-def _long_distance(a, b):
+def _long_distance(a: Column, b: Column) -> Column:
     import pandas as pd
 
-    return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    def distance(a, b):
+        return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return F.pandas_udf(distance, "int")(a, b)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -58,8 +60,7 @@ def coverage(extracted: Column, gold: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Intersection over union of distinct arrays; 1 if both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    return ratio(common, F.size(a) + F.size(b) - common, 1.0)
+    return let(F.struct(a.alias("a"), b.alias("b"), F.size(F.array_intersect(a, b)).alias("n")), lambda x: ratio(x["n"], F.size(x["a"]) + F.size(x["b"]) - x["n"], 1.0))
 
 
 def relative_length(extracted: Column, gold: Column) -> Column:
@@ -73,12 +74,13 @@ def valid_word(word: Column) -> Column:
     2 to 25 letters; capitals of at most 5 with a Latin capital are an abbreviation; otherwise only a-z once marks are
     off, with a vowel, no five consonants in a row, and vowels between 15 and 85 in a hundred.
     """
-    plain = F.lower(strip_marks(word))
-    n = F.length(plain)
-    vowels = F.length(F.regexp_replace(plain, "[^aeiouy]", ""))
-    fine = plain.rlike("^[a-z]+$") & (vowels > 0) & ~plain.rlike("[bcdfghjklmnpqrstvwxz]{5}") & (vowels / n >= 0.15) & (vowels / n <= 0.85)
+
+    def looks_right(plain: Column) -> Column:
+        n, vowels = F.length(plain), F.length(F.regexp_replace(plain, "[^aeiouy]", ""))
+        return plain.rlike("^[a-z]+$") & (vowels > 0) & ~plain.rlike("[bcdfghjklmnpqrstvwxz]{5}") & (vowels / n >= 0.15) & (vowels / n <= 0.85)
+
     short = (F.length(word) <= 5) & (word == F.upper(word)) & word.rlike("[A-Z]")
-    return F.length(word).between(2, 25) & (short | fine)
+    return F.length(word).between(2, 25) & (short | let(F.lower(strip_marks(word)), looks_right))
 
 
 def surplus_words(extracted: Column, gold: Column) -> Column:
@@ -86,17 +88,21 @@ def surplus_words(extracted: Column, gold: Column) -> Column:
 
     The raw text is split first and words are folded after, so marks of decomposed letters break words.
     """
-    spelled = F.filter(F.split(extracted, WORD_BREAK), lambda w: F.length(w) > 0)
-    folded = F.transform(spelled, lambda w: F.lower(strip_marks(w)))
-    known = distinct_words(gold)
-    new = F.filter(F.array_distinct(folded), lambda w: (F.length(w) > 0) & ~F.array_contains(known, w))
-    return F.transform(new, lambda w: F.element_at(spelled, F.array_position(folded, w).cast("int")))
+
+    def new(spelled: Column, folded: Column, known: Column) -> Column:
+        more = F.filter(F.array_distinct(folded), lambda w: (F.length(w) > 0) & ~F.array_contains(known, w))
+        return F.transform(more, lambda w: F.element_at(spelled, F.array_position(folded, w).cast("int")))
+
+    def with_folded(spelled: Column) -> Column:
+        folded = F.transform(spelled, lambda w: F.lower(strip_marks(w)))
+        return let(folded, lambda f: let(distinct_words(gold), lambda k: new(spelled, f, k)))
+
+    return let(F.filter(F.split(extracted, WORD_BREAK), lambda w: F.length(w) > 0), with_folded)
 
 
 def surplus_quality(extracted: Column, gold: Column) -> Column:
     """Share of valid words among the surplus; 1 without surplus."""
-    new = surplus_words(extracted, gold)
-    return ratio(F.size(F.filter(new, valid_word)), F.size(new), 1.0)
+    return let(surplus_words(extracted, gold), lambda new: ratio(F.size(F.filter(new, valid_word)), F.size(new), 1.0))
 
 
 def with_metrics(df: DataFrame, extracted: str, gold: str) -> DataFrame:

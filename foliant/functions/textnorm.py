@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def _bases() -> tuple[str, str]:
     return "".join(source), "".join(base)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """*body* of *value*, which is worked out once however often the body names it, in lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_marks(text: Column) -> Column:
     """Canonical decomposition without its marks; ASCII texts are passed over."""
     source, base = _bases()
@@ -59,9 +65,13 @@ def distinct_words(text: Column) -> Column:
 
 def bigrams(normalized: Column) -> Column:
     """Distinct pairs of neighbouring characters, blanks and marks included."""
-    n = F.length(normalized)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(normalized, i, F.lit(2)))
-    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        n = F.length(t)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
+        return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    return let(normalized, of)
 
 
 def half_up(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.textnorm import fold, split_words
+from foliant.functions.textnorm import fold, let, split_words
 from foliant.operators.pages import ordered
 
 LARGE = 100_000
@@ -84,13 +84,15 @@ def sentences(text: Column) -> Column:
 
 def clean_overlap(ocr: Column, vector: Column, share: float = OVERLAP) -> Column:
     """Sentences of *ocr* that the page's own text doesn't hold already; all of it if the page has no text."""
-    known = F.array_distinct(split_words(fold(vector), 2))
 
-    def new(sentence: Column) -> Column:
-        parts = split_words(fold(sentence), 2)
-        return (F.size(parts) > 0) & (F.size(F.filter(parts, lambda w: F.array_contains(known, w))) / F.size(parts) < share)
+    def cleaned(known: Column) -> Column:
+        def new(sentence: Column) -> Column:
+            shared = lambda parts: (F.size(parts) > 0) & (F.size(F.filter(parts, lambda w: F.array_contains(known, w))) / F.size(parts) < share)
+            return let(split_words(fold(sentence), 2), shared)
 
-    return F.when(F.size(known) == 0, ocr).otherwise(F.array_join(F.filter(sentences(ocr), new), " "))
+        return F.when(F.size(known) == 0, ocr).otherwise(F.array_join(F.filter(sentences(ocr), new), " "))
+
+    return let(F.array_distinct(split_words(fold(vector), 2)), cleaned)
 
 
 def merge_scales(texts: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def join_pages(pages: DataFrame, doc: str = "doc", page: str = "page_idx", text:
 
 def pad_pages(pages: DataFrame, counts: DataFrame, doc: str = "doc") -> DataFrame:
     """Pages 0 to num_pages-1 of each document of *counts*, empty where *pages* has none."""
-    all_ = counts.filter("num_pages > 0").select(doc, F.explode(F.sequence(F.lit(0), F.col("num_pages").cast("int") - 1)).cast("long").alias("page_idx"))
+    all_ = counts.filter("num_pages > 0").select(doc, F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_pages").cast("long") - 1)).alias("page_idx"))
     return all_.join(pages.select(doc, F.col("page_idx").cast("long"), "text"), [doc, "page_idx"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

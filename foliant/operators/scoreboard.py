@@ -64,4 +64,4 @@ def averages(results: DataFrame, by: str, values: list[str], error: str, registr
 
 def summary_line(row: Column, mean: Column, seconds: Column) -> Column:
     """One printed line per extractor."""
-    return F.concat(F.rpad(row, 32, " "), F.format_string("%8.4f %8.3fs", mean, seconds))
+    return F.concat(F.rpad(row, 32, " "), F.format_string("%12.4f %12.3fs", mean, seconds))

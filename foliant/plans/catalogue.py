@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from foliant.plans import table_queries, text_queries
+
+QUERIES: dict = text_queries.QUERIES | table_queries.QUERIES
+ORACLE: dict[str, str] = text_queries.ORACLE | table_queries.ORACLE
