@@ -41,7 +41,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def merge_run(old: DataFrame, new: DataFrame, filtered: bool, key: list[str] = KEY) -> DataFrame:
     """A filtered run is merged into what is there and sorted; a full run takes its place."""
-    return upsert(old, new, key).orderBy(*[F.col(k).collate("UNICODE") for k in key]) if filtered else new
+    return upsert(old, new, key).orderBy(*[F.collate(F.col(k), "UNICODE") for k in key]) if filtered else new
 
 
 def preserved(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:

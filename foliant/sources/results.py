@@ -28,10 +28,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     raw = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad", T.StringType())])
     rows = spark.read.schema(raw).options(**_CSV | {"header": False}, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True).csv(path)
     rows = rows.filter(~F.coalesce((F.col("pdf") == "pdf") & (F.col("extrator") == "extrator"), F.lit(False)))
-    # A missing eleventh field is null only in the older form: the writer always quotes an empty error.
-    old = F.col("_bad").isNotNull() & F.col("qualidade_excesso").try_cast("double").isNull()
+    # Rows of too few fields keep their raw line in _bad; its commas outside quotes tell how many there are.
+    commas = F.regexp_count(F.regexp_replace("_bad", r'"([^"]|"")*"', ""), F.lit(","))
+    rows = rows.filter(F.col("_bad").isNull() | (commas >= len(names) - 2))
+    old = F.col("_bad").isNotNull() & (commas == len(names) - 2)
     fixed = rows.withColumn("erro", F.when(old, F.col("qualidade_excesso")).otherwise(F.col("erro"))).withColumn("qualidade_excesso", F.when(old, F.lit("0")).otherwise(F.col("qualidade_excesso")))
-    fixed = fixed.filter(F.col("tamanho_relativo").isNotNull())
     return fixed.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.name == "erro" else F.col(f.name).try_cast(f.dataType).alias(f.name) for f in RESULT.fields])
 
 
