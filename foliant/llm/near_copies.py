@@ -11,8 +11,9 @@ postings share one among all but the last MATCHES-1 of either, so only these are
 *Skip.* Counting within a posting list skips what is decided: first each list's members meet its most connected
 member only (the sum of its postings' frequencies), and linked documents merge into components; afterwards a list
 counts only pairs whose components differ, in blocks of bounded size, with bit-exact collision counts, a length
-bound, and each pair at its first common posting only. Lists in a single component, as those of thousands of near
-copies are, are skipped whole. No list is cut short, so no link is lost but for what MinHash itself misses: a pair
+bound, and each pair at its first common posting only; documents with such a pair get their full sets, and a block
+gives the links that connect its documents, never its pairs. Lists in a single component are skipped whole. No list
+is cut short, so no link is lost but for what MinHash itself misses: a pair
 at a similarity of just 0.8 has fewer than 13 of 32 collisions with a probability of 2e-7.
 
 Documents with equal sets are one class before anything else, found by a 128-bit digest. Nothing is collected to
@@ -123,52 +124,101 @@ def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> Data
     return both.filter(ratio[1] * common >= ratio[0] * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
 
-def _counted(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of posting lists, from rows sorted by list and block; see the module's description."""
-
-    def compare(token: int, t: pa.Table) -> list[tuple[int, int]]:
-        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "comp", "n"))
-        sig = pa.concat_arrays([c.flatten() for c in t.column("sig").chunks]).to_numpy().reshape(len(ids), -1)
-        home, probe = t.column("home").to_numpy(zero_copy_only=False), t.column("probe").to_numpy(zero_copy_only=False)
-        posts = t.column("posts").to_pylist()
-        h, p, out = np.flatnonzero(home), np.flatnonzero(probe), []
-        for at in range(0, len(p), 64):
-            q = p[at : at + 64]
-            ok = (comp[h][:, None] != comp[q][None]) & ((ids[h][:, None] < ids[q][None]) | ~probe[h][:, None])
-            low, high = np.minimum(n[h][:, None], n[q][None]), np.maximum(n[h][:, None], n[q][None])
-            ok &= low * ratio[1] >= high * ratio[0]
-            i, j = np.nonzero(ok)
-            for part in range(0, len(i), 1 << 16):
-                x, y = h[i[part : part + (1 << 16)]], q[j[part : part + (1 << 16)]]
-                same = (sig[x] == sig[y]).sum(axis=1) >= MATCHES
-                for a, b in zip(x[same].tolist(), y[same].tolist(), strict=True):
-                    there = set(posts[b])
-                    if next(v for v in posts[a] if v in there) == token:
-                        out.append((int(ids[a]), int(ids[b])))
-        return out
+_ROW = "token long, block int, id long, comp long, n long, sig array<int>, posts array<long>, home boolean, probe boolean"
+
+
+def _collisions(token: int, t: pa.Table, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block of a posting list that collide often enough and meet here first."""
+    ids, comp, n = (t.column(c).to_numpy() for c in ("id", "comp", "n"))
+    sig = pa.concat_arrays([c.flatten() for c in t.column("sig").chunks]).to_numpy().reshape(len(ids), -1)
+    home, probe = t.column("home").to_numpy(zero_copy_only=False), t.column("probe").to_numpy(zero_copy_only=False)
+    posts = t.column("posts").to_pylist()
+    h, p, left, right = np.flatnonzero(home), np.flatnonzero(probe), [], []
+    for at in range(0, len(p), 64):
+        q = p[at : at + 64]
+        ok = (comp[h][:, None] != comp[q][None]) & ((ids[h][:, None] < ids[q][None]) | ~probe[h][:, None])
+        low, high = np.minimum(n[h][:, None], n[q][None]), np.maximum(n[h][:, None], n[q][None])
+        ok &= low * ratio[1] >= high * ratio[0]
+        i, j = np.nonzero(ok)
+        for part in range(0, len(i), 1 << 16):
+            x, y = h[i[part : part + (1 << 16)]], q[j[part : part + (1 << 16)]]
+            same = (sig[x] == sig[y]).sum(axis=1) >= MATCHES
+            for a, b in zip(x[same].tolist(), y[same].tolist(), strict=True):
+                there = set(posts[b])
+                if next(v for v in posts[a] if v in there) == token:
+                    left.append(a)
+                    right.append(b)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _spanning(t: pa.Table, left: np.ndarray, right: np.ndarray, ratio: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links among the pairs by their full sets; pairs that earlier links connect already are not looked at."""
+    ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
+    sets = [np.sort(np.asarray(x.values)) for c in t.column("set").chunks for x in c]
+    root = np.unique(comp, return_inverse=True)[1]
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    borders = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else left
+    out = []
+    for start, end in zip(borders.tolist(), [*borders[1:].tolist(), len(left)], strict=True):
+        a, todo = int(left[start]), right[start:end]
+        while len(todo := todo[root[todo] != root[a]]):
+            part, todo = todo[:256], todo[256:]
+            size = np.array([len(sets[b]) for b in part])
+            flat = np.concatenate([sets[b] for b in part])
+            place = np.minimum(np.searchsorted(sets[a], flat), len(sets[a]) - 1)
+            inside = sets[a][place] == flat
+            common = np.add.reduceat(inside, np.cumsum(size) - size, dtype=np.int64)
+            for b in part[ratio[1] * common >= ratio[0] * (size + len(sets[a]) - common)].tolist():
+                if root[b] != root[a]:
+                    root[root == root[b]] = root[a]
+                    out.append((int(ids[a]), int(ids[b])))
+            if not len(todo):
+                break
+    return out
+
+
+def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
+    """*work* on each (token, block) of *rows*, which come sorted by them."""
 
     def run(batches):
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
-            key = t.column("token").to_numpy(), t.column("block").to_numpy()
-            cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
-            found, last = [], 0
-            for c in cut.tolist():
-                found += compare(int(key[0][last]), t.slice(last, c - last))
+            token, block = t.column("token").to_numpy(), t.column("block").to_numpy()
+            last = 0
+            for c in (np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1])) + 1).tolist():
+                yield from work(int(token[last]), t.slice(last, c - last))
                 last = c
             rest = t.slice(last)
-            yield _pairs(found)
         if rest is not None and rest.num_rows:
-            yield _pairs(compare(int(rest.column("token")[0].as_py()), rest))
+            yield from work(int(rest.column("token")[0].as_py()), rest)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _counted(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """The rows that collide with another one of their block; see the module's description."""
+
+    def work(token: int, t: pa.Table):
+        left, right = _collisions(token, t, ratio)
+        if len(left):
+            yield from t.take(pa.array(np.unique(np.concatenate((left, right))))).combine_chunks().to_batches()
+
+    return _by_block(rows, work, _ROW)
+
 
-    return rows.mapInArrow(run, "a long, b long")
+def _linked(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Links between the rows of each block, on their full sets; no more than connect them."""
 
+    def work(token: int, t: pa.Table):
+        found = _spanning(t, *_collisions(token, t, ratio), ratio)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return _by_block(rows, work, "a long, b long")
 
 
 def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,7 +265,8 @@ def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 1
     blocks = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     rows = rows.withColumn("own", own).withColumn("block", F.explode(blocks)).withColumn("home", F.col("block") == F.col("own"))
     rows = rows.select("token", "block", "id", "comp", "n", "sig", "posts", "home", "probe").repartition("token", "block").sortWithinPartitions("token", "block")
-    more = _verified(_counted(rows, ratio), sets, ratio)
+    colliding = _counted(rows, ratio).join(sets, "id").repartition("token", "block").sortWithinPartitions("token", "block")
+    more = _linked(colliding, ratio)
     links = scratch.save(links.unionByName(more))
     whole = components(links, scratch)
 
