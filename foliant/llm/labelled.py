@@ -40,6 +40,9 @@ def with_scores(docs: DataFrame, scorer: Callable[[], Callable[[pa.Array], pa.Ar
     keep = [f for f in docs.schema.fields if f.name != "score"]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType())])
+    raw = "_text"
+    while raw in names:
+        raw += "_"
 
     def run(batches):
         score = scorer()
@@ -47,4 +50,4 @@ def with_scores(docs: DataFrame, scorer: Callable[[], Callable[[pa.Array], pa.Ar
             values = score(batch.column(len(names)).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], values], names=[*names, "score"])
 
-    return docs.select(*names, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias(raw)).mapInArrow(run, schema)

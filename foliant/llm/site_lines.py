@@ -43,7 +43,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     found = boilerplate(docs, host, text, ratio, min_pages)
     joined = docs.join(found, docs[host].eqNullSafe(found["_host"]), "left")
     lines = _lines(docs[text])
-    kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), F.xxhash64(F.trim(x)))))
+    kept = F.when(found["_lines"].isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(found["_lines"], F.xxhash64(F.trim(x)))))
     out = [F.array_join(kept, "\n").alias(c) if c == text else docs[c] for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
         n = F.coalesce(F.size(lines), F.lit(0))
