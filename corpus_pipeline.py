@@ -40,10 +40,10 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
-    chosen = near_copies(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
-    with_id = docs.filter("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("_kept"), "left_semi")
+    chosen = near_copies(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__foliant_kept"))
+    with_id = docs.filter("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("__foliant_kept"), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    once = with_id.withColumn("_turn", first).filter("_turn = 1").select(*docs.columns)
+    once = with_id.withColumn("__foliant_turn", first).filter("__foliant_turn = 1").select(*docs.columns)
     return once.unionByName(docs.filter("doc_id IS NULL"))
 
 
