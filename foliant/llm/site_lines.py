@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foliant.sources.tables import table
 
 #: Share of a host's pages above which a line is boilerplate, as a fraction.
-RATIO = (1, 20)
+RATIO = (1, 10)
 MIN_PAGES = 3
 
 
@@ -67,7 +67,7 @@ seen AS (SELECT DISTINCT rowid_, source, trim(line) AS line
          FROM (SELECT row_number() OVER () AS rowid_, source, unnest(lines) AS line FROM pages) WHERE trim(line) <> ''),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (SELECT s.source, s.line FROM seen s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source
-        GROUP BY s.source, s.line, t.total HAVING count(*) >= 3 AND count(*) * 20 > t.total),
+        GROUP BY s.source, s.line, t.total HAVING count(*) >= 3 AND count(*) * 10 > t.total),
 sets AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 cut AS (SELECT p.doc_id, p.lines,
                list_filter(p.lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(s.bad, []), trim(x))) AS kept
