@@ -34,7 +34,7 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that more than a twentieth of their site's pages hold."""
+    """Texts without the lines that more than a tenth of their site's pages hold."""
     return _counted(drop_boilerplate(docs))
 
 
