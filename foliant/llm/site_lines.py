@@ -3,9 +3,10 @@
 A line (what stands between line feeds, without blanks around it) is boilerplate on a host if more than RATIO of
 the host's pages hold it, and at least MIN_PAGES of them. All of it is DataFrame operations: each page's distinct
 lines are hashed to 64 bits and counted by host with partial sums before the shuffle; only lines that reach
-MIN_PAGES meet the host totals; what is left, at most lines-per-page / RATIO for a host, is gathered by host and
-joined back. Spark decides by the measured size whether that join is a broadcast; otherwise it is a sort-merge
-join whose large partitions adaptive execution splits, so a host with a third of all pages is no single task.
+MIN_PAGES meet the host totals; what is left, at most lines-per-page / RATIO for a host, is gathered by host, written,
+counted, and joined back: by broadcast up to BROADCAST hashes, so that texts stay where they are; beyond that by a
+sort-merge join whose large partitions adaptive execution splits, so a host with a third of all pages is no single
+task.
 
 Defined results: a null host is a host of its own; a null text stays null and counts as a page without lines;
 empty lines are never dropped; a line that repeats within a page counts once but is dropped everywhere; repeated
@@ -17,11 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.scratch import Scratch
 from foliant.sources.tables import table
 
 #: Share of a host's pages above which a line is boilerplate, as a fraction.
 RATIO = (1, 10)
 MIN_PAGES = 3
+#: Most hashes of boilerplate lines (8 bytes each), with 8 more for each host, that are sent to all executors.
+BROADCAST = 1 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -40,7 +44,9 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: tuple[int, int] = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
     """*docs* with boilerplate lines taken out of *text*; with *counts* also ``n_lines`` and ``n_dropped``."""
-    found = boilerplate(docs, host, text, ratio, min_pages)
+    found = Scratch(docs.sparkSession).save(boilerplate(docs, host, text, ratio, min_pages))
+    if found.agg(F.coalesce(F.sum(F.size("_lines") + 8), F.lit(0))).first()[0] <= BROADCAST:
+        found = F.broadcast(found)
     joined = docs.join(found, docs[host].eqNullSafe(found["_host"]), "left")
     lines = _lines(docs[text])
     kept = F.when(found["_lines"].isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(found["_lines"], F.xxhash64(F.trim(x)))))
