@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 
 from foliant.llm.byte_words import BASE, BYTE, mix, pieces, powers
 from foliant.llm.scratch import Scratch
+from foliant.llm.vocabularies import release_memos
 from foliant.sources.tables import table
 
 LENGTH = 400
@@ -44,7 +46,7 @@ LENGTH = 400
 LEVELS = (369, 33, 1)
 HOT = 256
 #: Bytes of text that are hashed at once, and bytes of segments that are sorted at once.
-PIECE, COLLECTION = 1 << 20, 1 << 23
+PIECE, COLLECTION = 1 << 18, 1 << 21
 _PLACE = 22  # bits of a place within a piece
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -97,14 +99,19 @@ _E = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "content", "d
 
 
 def _evidence(strings: DataFrame, length: int, anchors: int) -> DataFrame:
-    """Rows with a key: segments, one for each content in a piece of the input. Rows without: windows found repeated there."""
+    """Rows with a key: segments, one for each content in a piece of the input. Rows without: windows found repeated there.
+
+    The shorter the runs of windows, the more rows a byte gives, and the smaller the pieces.
+    """
+    most = max(512, PIECE * (anchors + 24) // (LEVELS[0] + 24))
 
     def run(batches):
+        release_memos()
         for batch in batches:
             ids, rk, base, many = (batch.column(i) for i in range(4))
-            for at, end, data, offsets in pieces(batch.column(4), PIECE):
+            for at, end, data, offsets in pieces(batch.column(4), most):
                 # A text longer than a piece is cut into overlapping parts; each window is in one of them.
-                step = PIECE if end - at == 1 and len(data) > 2 * PIECE else max(1, len(data))
+                step = most if end - at == 1 and len(data) > 2 * most else max(1, len(data))
                 for low in range(0, max(1, len(data)), step):
                     part = data[low : low + step + length - 1] if step < len(data) else data
                     bounds = offsets if step >= len(data) else np.array([0, len(part)])
@@ -118,7 +125,7 @@ def _evidence(strings: DataFrame, length: int, anchors: int) -> DataFrame:
                     group = np.cumsum(new) - 1
                     several = np.bincount(group)[group] > 1
                     row, absolute, windows, place = row[order], absolute[order], s["windows"][order], s["place"][order]
-                    own = np.array(many.take(pa.array(row)).to_pylist(), bool)
+                    own = many.take(pa.array(row)).to_numpy(zero_copy_only=False)
                     marks = several & ~own
                     keep = np.concatenate((np.flatnonzero(new), np.flatnonzero(marks)))
                     is_mark = np.arange(len(keep)) >= new.sum()
@@ -146,8 +153,8 @@ def repeated_windows(texts: list[bytes], group: np.ndarray, place: np.ndarray, l
     grid = np.zeros((width, m), np.int16)  # by column; 0 where a string has no symbol
     flat = np.frombuffer(b"".join(texts), np.uint8)
     total = np.concatenate(([0], np.cumsum(size)))
-    within = np.arange(total[-1]) - np.repeat(total[:-1], size)
-    grid[within + np.repeat(lead, size), np.repeat(np.arange(m), size)] = flat.astype(np.int16) + 1
+    column = np.arange(total[-1], dtype=np.int32) + np.repeat((lead - total[:-1]).astype(np.int32), size)
+    grid[column, np.repeat(np.arange(m, dtype=np.int32), size)] = flat.astype(np.int16) + 1
     order, common = np.arange(m), np.zeros(m, np.int32)  # common[i]: shared prefix of the strings at i-1 and i
     spread = max(1, int(np.bincount(group).max() - 1).bit_length())
     code = group.astype(np.int64) * 257
@@ -204,6 +211,7 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pick), t.column("rk").combine_chunks().take(pick), pa.array(pos + start[first]), pa.array(pos + start[last] + length)], names=["doc_id", "rk", "s", "e"])
 
     def run(batches):
+        release_memos()
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -274,15 +282,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     return union.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
+def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     """Spans in order, overlapping and touching ones made one."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    new = np.flatnonzero(np.append(True, s[1:] > e[:-1])[: len(s)])
+    return list(zip(s[new].tolist(), e[np.append(new[1:], len(s))[: len(new)] - 1].tolist(), strict=True))
+
+
+def merged_rows(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """The merged spans of each row, read as arrays; a row may hold one for each of its windows."""
+    bounds, values = column.offsets.to_numpy().tolist(), column.values
+    s, e = (values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield merged(s[a:b], e[a:b]) if b > a else []
 
 
 def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -295,24 +308,32 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
+_SPANS = "__foliant_spans"
+
+
 def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
-    """*docs* with the row's spans as ``_spans`` (null: none)."""
-    spans = repeated_spans(docs, length, doc_id, text).select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k"), F.col("spans").alias("_spans"))
-    return docs.withColumn("_rk", F.xxhash64(F.col(doc_id), F.col(text))).join(spans, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_rk") == F.col("_k")), "left").drop("_d", "_k", "_rk")
+    """*docs* with the row's spans in one more column; none is an empty array."""
+    spans = repeated_spans(docs, length, doc_id, text).select(F.col("doc_id").alias("__foliant_d"), F.col("rk").alias("__foliant_k"), F.col("spans").alias("__foliant_s"))
+    joined = docs.withColumn("__foliant_rk", F.xxhash64(F.col(doc_id), F.col(text))).join(spans, F.col(doc_id).cast("long").eqNullSafe(F.col("__foliant_d")) & (F.col("__foliant_rk") == F.col("__foliant_k")), "left")
+    return joined.select(*docs.columns, F.coalesce("__foliant_s", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias(_SPANS))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """*docs* with repeated windows cut out of *text*; letters that a cut divides go whole."""
+    place = docs.columns.index(text)
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        return pd.Series([t if s is None or t is None else kept(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
+    def run(batches):
+        release_memos()
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            new = columns[place].to_pylist()
+            for i, spans in enumerate(merged_rows(batch.columns[-1])):
+                if spans and new[i] is not None:
+                    new[i] = kept(new[i].encode(), spans).decode("utf-8", "ignore")
+            columns[place] = pa.array(new, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    rows = _with_spans(docs, length, doc_id, text)
-    new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_spans")))
-    return rows.withColumn(text, new).select(*docs.columns)
+    return _with_spans(docs, length, doc_id, text).mapInArrow(run, docs.schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -322,17 +343,17 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """What ``without_repeats`` does to the bytes of each row."""
 
     def run(batches):
+        release_memos()
         for batch in batches:
             rows = []
-            for raw, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for raw, cuts in zip(batch.column(1), merged_rows(batch.column(2)), strict=True):
                 raw = raw.as_py() or b""
-                cuts = merged(spans or [])
                 rows.append((len(raw), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(kept(raw, cuts)).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_spans(docs.select("doc_id", "text"), length, "doc_id", "text")
-    return rows.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8"), "_spans").mapInArrow(run, DIGEST)
+    return rows.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8"), _SPANS).mapInArrow(run, DIGEST)
 
 
 def op5_column_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

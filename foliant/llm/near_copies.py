@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from foliant.llm.byte_words import BASE, mix, pieces, words
 from foliant.llm.components import components
 from foliant.llm.scratch import Scratch
+from foliant.llm.vocabularies import release_memos
 from foliant.sources.tables import table
 
 COORDINATES = 32
@@ -89,6 +90,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     """Id, number of shingles, digest and signature of each document."""
 
     def run(batches):
+        release_memos()
         for batch in batches:
             for at, end, data, offsets in pieces(batch.column(1)):
                 value, bounds = shingles(data, offsets, width)
@@ -107,6 +109,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
+        release_memos()
         for batch in batches:
             for at, end, data, offsets in pieces(batch.column(1)):
                 value, bounds = shingles(data, offsets, width)
@@ -182,6 +185,7 @@ def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
     """*work* on each (token, block) of *rows*, which come sorted by them."""
 
     def run(batches):
+        release_memos()
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])

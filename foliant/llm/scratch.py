@@ -15,10 +15,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"file://{tempfile.gettempdir()}/foliant-checkpoints"
 
 
+#: Rows that go to a Python worker at once. Texts are long: Spark's default of 10,000 makes batches of 30 MB and more.
+ROWS_AT_ONCE = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in an Arrow batch to ROWS_AT_ONCE."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= ROWS_AT_ONCE:
+        spark.conf.set(_ROWS, str(ROWS_AT_ONCE))
+
+
 class Scratch:
     """Written tables of one run; what is not dropped before goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.folder = spark, f"{shared_folder(spark)}/foliant-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.clear)

@@ -383,7 +383,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None)
 
     def scorer():
         from foliant.llm.string_kernel import Scorer
+        from foliant.llm.vocabularies import release_memos
 
+        release_memos()
         return Scorer(model)
 
     return with_scores(docs, scorer)

@@ -7,6 +7,7 @@ them is copied.
 from __future__ import annotations
 
 import os
+import sys
 
 #: Entries that a worker's memo of encoded chunks may hold before it starts anew; bounds memory, not results.
 MEMO_ENTRIES = 300_000
@@ -37,3 +38,11 @@ class Memo(dict):
             self.clear()
         out = self[key] = self.make(key)
         return out
+
+
+def release_memos() -> None:
+    """Empties what token operators keep in this worker between tasks, before another operator needs the memory."""
+    for module, cache in (("differencing_pack", "unit_ids"), ("prefix_bpe", "encoder"), ("trie_counts", "trie")):
+        loaded = sys.modules.get(f"foliant.llm.{module}")
+        if loaded is not None:
+            getattr(loaded, cache).cache_clear()
