@@ -1,8 +1,8 @@
 """A training corpus from the documents table, in five stages that each write what they keep.
 
 Toxic documents go; boilerplate lines of a site are taken out; one document of each group of near copies stays
-(5-word shingles, similarity of 0.8 or more); strings of 400 bytes that occur more than once are cut out; what is
-left is packed into sequences of token ids. Every stage but the last returns the columns of its input.
+(5-word shingles, similarity of 0.8 or more); runs of 51 words and strings of 400 bytes that occur more than once are
+cut out; what is left is packed into sequences of token ids. Every stage but the last returns the columns of its input.
 
 Defined results: rows with a null id are scored, cleaned and packed like others and never count as copies; of
 repeated rows of one id the third stage keeps one; a text of which nothing is left stays as an empty text.
@@ -22,6 +22,9 @@ from foliant.llm.site_lines import drop_boilerplate
 from foliant.llm.string_kernel import THRESHOLD, toxicity
 from foliant.sources.tables import table
 
+#: Words of the shortest passage that no two places may share.
+PASSAGE = 51
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """*docs* with ``n_chars`` as its text now has."""
@@ -48,8 +51,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur more than once."""
-    return _counted(without_repeats(docs))
+    """Texts without passages of over 50 words, and strings of 400 bytes, that occur more than once."""
+    return _counted(without_repeats(docs, words=PASSAGE))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ longest runs of windows with one anchor, and only segments with the same anchor
    its segments are cut again by longer anchors, at last by the window itself, where equal windows are one key that
    is summed before the shuffle.
 
+Passages counted in words are found in the same way in texts that have a 64-bit hash of 8 bytes in place of each
+word (what stands between blanks): a window of n words is one of 8n bytes there.
+
 Rows are told apart by id and a 64-bit hash of id and text; segments by 128 bits of hashes.
 
 Defined results: null texts are empty; texts shorter than LENGTH have no windows; a repeated row repeats all its
@@ -36,7 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.byte_words import BASE, BYTE, mix, pieces, powers
+from foliant.llm.byte_words import BASE, BLANK, BYTE, hashes, mix, pieces, powers
+from foliant.llm.byte_words import spans as runs
 from foliant.llm.scratch import Scratch
 from foliant.llm.vocabularies import release_memos
 from foliant.sources.tables import table
@@ -48,6 +52,7 @@ HOT = 256
 #: Bytes of text that are hashed at once, and bytes of segments that are sorted at once.
 PIECE, COLLECTION = 1 << 18, 1 << 21
 _PLACE = 22  # bits of a place within a piece
+_WORD = 8  # bytes of a word's hash
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverses = np.ones(1, np.uint64)
@@ -239,10 +244,38 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rk"), raw.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, rk (hash of the row) and its spans of repeated windows, as an unmerged array of (s, e)."""
+def _in_words(strings: DataFrame) -> DataFrame:
+    """*strings* with the hashes of their words for texts."""
+
+    def run(batches):
+        release_memos()
+        for batch in batches:
+            for at, end, data, offsets in pieces(batch.column(2)):
+                starts, ends = runs(~BLANK[data], offsets)
+                bounds = (np.searchsorted(starts, offsets) * _WORD).astype(np.int32)
+                code = pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(hashes(data, starts, ends, BYTE).tobytes())])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns[:2]), code], names=batch.schema.names)
+
+    return strings.mapInArrow(run, strings.schema)
+
+
+def word_places(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes of *raw* where the words are that *spans* cover whole in the text of their hashes."""
+    starts, ends = runs(~BLANK[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
+    whole = [(-(-s // _WORD), e // _WORD) for s, e in spans]
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in whole]
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", words: bool = False) -> DataFrame:
+    """doc_id, rk (hash of the row) and its spans of repeated windows, as an unmerged array of (s, e).
+
+    With *words* the length is one in words, and the spans are places in the text of their hashes.
+    """
     scratch = Scratch(docs.sparkSession)
-    strings = _keyed(docs, doc_id, text).withColumn("base", F.lit(0).cast("long")).withColumn("many", F.lit(False))
+    strings = _keyed(docs, doc_id, text)
+    if words:
+        strings, length = _in_words(strings), length * _WORD
+    strings = strings.withColumn("base", F.lit(0).cast("long")).withColumn("many", F.lit(False))
     marks, below = [], None
     for number, share in enumerate(LEVELS):
         anchors = max(1, length * share // LENGTH)
@@ -308,32 +341,44 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-_SPANS = "__foliant_spans"
+_SPANS, _WORD_SPANS = "__foliant_spans", "__foliant_word_spans"
 
 
-def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
-    """*docs* with the row's spans in one more column; none is an empty array."""
-    spans = repeated_spans(docs, length, doc_id, text).select(F.col("doc_id").alias("__foliant_d"), F.col("rk").alias("__foliant_k"), F.col("spans").alias("__foliant_s"))
+def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str, words: int | None = None) -> DataFrame:
+    """*docs* with the row's spans in one more column, and those of *words* words in another; none is an empty array."""
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    spans = repeated_spans(docs, length, doc_id, text).select("doc_id", "rk", F.col("spans").alias("s"), none.alias("w"))
+    if words:
+        spans = spans.unionByName(repeated_spans(docs, words, doc_id, text, words=True).select("doc_id", "rk", none.alias("s"), F.col("spans").alias("w")))
+        spans = spans.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("w")).alias("w"))
+    spans = spans.select(F.col("doc_id").alias("__foliant_d"), F.col("rk").alias("__foliant_k"), F.col("s").alias("__foliant_s"), F.col("w").alias("__foliant_w"))
     joined = docs.withColumn("__foliant_rk", F.xxhash64(F.col(doc_id), F.col(text))).join(spans, F.col(doc_id).cast("long").eqNullSafe(F.col("__foliant_d")) & (F.col("__foliant_rk") == F.col("__foliant_k")), "left")
-    return joined.select(*docs.columns, F.coalesce("__foliant_s", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias(_SPANS))
+    return joined.select(*docs.columns, F.coalesce("__foliant_s", none).alias(_SPANS), F.coalesce("__foliant_w", none).alias(_WORD_SPANS))
+
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """*docs* with repeated windows cut out of *text*; letters that a cut divides go whole.
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """*docs* with repeated windows cut out of *text*; letters that a cut divides go whole."""
+    With *words* also what repeated runs of so many words cover, however short the words and whatever blanks part them.
+    """
     place = docs.columns.index(text)
 
     def run(batches):
         release_memos()
         for batch in batches:
-            columns = list(batch.columns[:-1])
+            columns = list(batch.columns[:-2])
             new = columns[place].to_pylist()
-            for i, spans in enumerate(merged_rows(batch.columns[-1])):
-                if spans and new[i] is not None:
-                    new[i] = kept(new[i].encode(), spans).decode("utf-8", "ignore")
+            for i, (spans, in_words) in enumerate(zip(*map(merged_rows, batch.columns[-2:]), strict=True)):
+                if (spans or in_words) and new[i] is not None:
+                    raw = new[i].encode()
+                    if in_words:
+                        s, e = np.array([*spans, *word_places(raw, in_words)], np.int64).T
+                        spans = merged(s, e)
+                    new[i] = kept(raw, spans).decode("utf-8", "ignore")
             columns[place] = pa.array(new, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
-    return _with_spans(docs, length, doc_id, text).mapInArrow(run, docs.schema)
+    return _with_spans(docs, length, doc_id, text, words).mapInArrow(run, docs.schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

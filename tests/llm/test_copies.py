@@ -126,6 +126,18 @@ def test_repeats_keep_columns_and_letters(spark):
     assert column_repeats.without_repeats(awkward(spark, {})).count() == 0
 
 
+def test_repeated_words(spark):
+    tiny, texts = " ".join("abcdefghijklmnopqrstuvwxyz" * 2)[: 2 * 51 - 1], {}
+    for n, passage in ((50, prose(50, 50)), (51, prose(51, 51)), (60, prose(60, 60)), (1, tiny), (2, "\u4e2d" * 140)):
+        texts |= {100 * n + i: prose(9000 + 100 * n + i, 30) + ("  " if i else "\n") + (passage.replace(" ", "\n", 2) if i else passage) + " " + prose(9500 + 100 * n + i, 30) for i in range(2)}
+    texts |= {7: tiny, 8: None, 9: ""}
+    out = {r["doc_id"]: r["text"] for r in column_repeats.without_repeats(awkward(spark, texts), words=51).collect()}
+    for n in (51, 60, 1, 2):
+        assert [out[100 * n + i].split() for i in range(2)] == [(prose(9000 + 100 * n + i, 30) + " " + prose(9500 + 100 * n + i, 30)).split() for i in range(2)], n
+    assert all(out[5000 + i] == texts[5000 + i] for i in range(2))
+    assert out[7] == "" and out[8] is None and out[9] == ""
+
+
 def test_columns_against_brute_force():
     g = random.Random(5)
     texts = [bytes(g.choices(b"ab", k=g.randint(0, 14))) + b"XYZ" + bytes(g.choices(b"ab", k=g.randint(0, 14))) for _ in range(60)]

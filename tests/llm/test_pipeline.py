@@ -57,6 +57,17 @@ def test_stages(spark, folder, tmp_path):
     check_packing(rows, final, 2048)
 
 
+def test_short_passages(spark):
+    """Passages of 51 to 60 words, which are shorter than 400 bytes, go; one of 50 words stays."""
+    planted = {n: " ".join(x[:6] for x in prose(700 + n, n).split(" ")) for n in range(50, 61)}
+    assert all(len(p) < 400 for p in planted.values())
+    rows = [(10 * n + i, f"{prose(10 * n + i, 40)} {p} {prose(5000 + 10 * n + i, 40)}", "en", "s", 1, 1) for n, p in planted.items() for i in range(2)]
+    out = {r["doc_id"]: r for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    for i, text, *_ in rows:
+        assert (planted[i // 10] in out[i]["text"]) == (i // 10 == 50) and prose(i, 40) in out[i]["text"]
+        assert out[i]["n_chars"] == len(out[i]["text"]) and (i // 10 == 50) == (out[i]["text"] == text)
+
+
 def test_run_equals_the_stages(spark, folder):
     path = folder[0]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()} >= {None, 1000, 1105}
