@@ -18,7 +18,7 @@ from foliant.llm.column_repeats import without_repeats
 from foliant.llm.differencing_pack import packed
 from foliant.llm.near_copies import near_copies
 from foliant.llm.scratch import Scratch
-from foliant.llm.site_lines import drop_boilerplate
+from foliant.llm.site_lines import RARE, drop_boilerplate
 from foliant.llm.string_kernel import THRESHOLD, toxicity
 from foliant.sources.tables import table
 
@@ -37,8 +37,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that more than a tenth of their site's pages hold."""
-    return _counted(drop_boilerplate(docs))
+    """Texts without the lines that more than a tenth of their site's pages hold, or a twentieth of its many texts."""
+    return _counted(drop_boilerplate(docs, rare=RARE))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ counted, and joined back: by broadcast up to BROADCAST hashes, so that texts sta
 sort-merge join whose large partitions adaptive execution splits, so a host with a third of all pages is no single
 task.
 
+With a RARE ratio, lines count as boilerplate too that at least RARE_PAGES different texts hold and more than that
+smaller share of the host's different texts; the pages of a group of copies, which share all their lines, are then
+too few on a small host, and exact copies count once.
+
 Defined results: a null host is a host of its own; a null text stays null and counts as a page without lines;
 empty lines are never dropped; a line that repeats within a page counts once but is dropped everywhere; repeated
 rows are pages of their own; columns of any other name are passed through.
@@ -24,6 +28,9 @@ from foliant.sources.tables import table
 #: Share of a host's pages above which a line is boilerplate, as a fraction.
 RATIO = (1, 10)
 MIN_PAGES = 3
+#: The smaller share for lines of at least RARE_PAGES different texts.
+RARE = (1, 20)
+RARE_PAGES = 10
 #: Most hashes of boilerplate lines (8 bytes each), with 8 more for each host, that are sent to all executors.
 BROADCAST = 1 << 20
 
@@ -32,19 +39,26 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: tuple[int, int] = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: tuple[int, int] = RATIO, min_pages: int = MIN_PAGES, rare: tuple[int, int] | None = None) -> DataFrame:
     """One row for each host that has boilerplate: ``_host`` and the hashes of its lines, ``_lines``."""
     pages = docs.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
     hashes = F.transform(F.filter(_lines(F.col("_text")), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x)))
-    counted = pages.select("_host", F.explode(F.array_distinct(hashes)).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= min_pages)
-    totals = pages.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("_total"))
-    common = counted.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).filter(F.col("_pages") * ratio[1] > F.col("_total") * ratio[0])
+    number, lines = [F.count("*")], [F.explode(F.array_distinct(hashes)).alias("_line")]
+    if rare:
+        pages = pages.withColumn("_page", F.xxhash64("_text"))
+        number, lines = [*number, F.count_distinct("_page")], [*lines, "_page"]
+    counted = pages.select("_host", *lines).groupBy("_host", "_line").agg(*(n.alias(c) for n, c in zip(number, ("_pages", "_texts"), strict=False))).filter(F.col("_pages") >= min_pages)
+    totals = pages.groupBy(F.col("_host").alias("_of")).agg(*(n.alias(c) for n, c in zip(number, ("_total", "_all_texts"), strict=False)))
+    often = F.col("_pages") * ratio[1] > F.col("_total") * ratio[0]
+    if rare:
+        often |= (F.col("_texts") >= RARE_PAGES) & (F.col("_texts") * rare[1] > F.col("_all_texts") * rare[0])
+    common = counted.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).filter(often)
     return common.groupBy("_host").agg(F.array_sort(F.collect_set("_line")).alias("_lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: tuple[int, int] = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: tuple[int, int] = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, rare: tuple[int, int] | None = None) -> DataFrame:
     """*docs* with boilerplate lines taken out of *text*; with *counts* also ``n_lines`` and ``n_dropped``."""
-    found = Scratch(docs.sparkSession).save(boilerplate(docs, host, text, ratio, min_pages))
+    found = Scratch(docs.sparkSession).save(boilerplate(docs, host, text, ratio, min_pages, rare))
     if found.agg(F.coalesce(F.sum(F.size("_lines") + 8), F.lit(0))).first()[0] <= BROADCAST:
         found = F.broadcast(found)
     joined = docs.join(found, docs[host].eqNullSafe(found["_host"]), "left")

@@ -57,6 +57,20 @@ def test_stages(spark, folder, tmp_path):
     check_packing(rows, final, 2048)
 
 
+def test_rare_boilerplate(spark):
+    """Lines on 6 to 10 % of a large host's pages go; those of copies, and of groups of copies on a small host, stay."""
+    texts = {i: prose(i, 12) for i in range(400)}
+    for line, pages in (("Six", range(24)), ("Ten", range(20, 60)), ("Five", range(60, 80)), ("Three", range(80, 100, 2))):
+        texts |= {i: f"{line}\n{texts[i]}" for i in pages}
+    copies = {i: "Copied\n" + prose(7777, 12) for i in range(400, 430)}
+    small = {i: prose(i, 12) for i in range(500, 546)} | {i: f"Group\n{prose(8888, 12)}\n{i}" for i in range(546, 550)}
+    rows = [(i, t, "en", "small" if i >= 500 else "large", 1, 1) for i, t in (texts | copies | small).items()]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    assert not any(w in out[i] for i in range(400) for w in ("Six", "Ten"))
+    assert all(out[i] == texts[i] for i in range(60, 100))
+    assert all(out[i] == t for i, t in (copies | small).items())
+
+
 def test_short_passages(spark):
     """Passages of 51 to 60 words, which are shorter than 400 bytes, go; one of 50 words stays."""
     planted = {n: " ".join(x[:6] for x in prose(700 + n, n).split(" ")) for n in range(50, 61)}
