@@ -5,7 +5,8 @@ Toxic documents go; boilerplate lines of a site are taken out; one document of e
 cut out; what is left is packed into sequences of token ids. Every stage but the last returns the columns of its input.
 
 Defined results: rows with a null id are scored, cleaned and packed like others and never count as copies; of
-repeated rows of one id the third stage keeps one; a text of which nothing is left stays as an empty text.
+repeated rows of one id and text the third stage keeps one, and rows of one id with unlike texts are documents of
+their own; a text of which nothing is left stays as an empty text.
 """
 
 from __future__ import annotations
@@ -42,10 +43,16 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    chosen = near_copies(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__foliant_kept"))
-    with_id = docs.filter("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("__foliant_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    """One document of each group of near copies, the one with the smallest id.
+
+    Ids may repeat with other texts, so documents are told apart by a hash of id and text.
+    """
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("__foliant_row", F.xxhash64("doc_id", "text"))
+    groups = near_copies(rows, doc_id="__foliant_row").select(F.col("doc_id").alias("__foliant_row"), F.col("component_id").alias("__foliant_group"))
+    least = F.min(F.struct("doc_id", "__foliant_row"))
+    chosen = groups.distinct().join(rows.select("doc_id", "__foliant_row"), "__foliant_row").groupBy("__foliant_group").agg(least.alias("__foliant_least")).select(F.col("__foliant_least.__foliant_row").alias("__foliant_kept"))
+    with_id = rows.join(chosen, F.col("__foliant_row") == F.col("__foliant_kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("__foliant_row").orderBy("doc_id"))
     once = with_id.withColumn("__foliant_turn", first).filter("__foliant_turn = 1").select(*docs.columns)
     return once.unionByName(docs.filter("doc_id IS NULL"))
 

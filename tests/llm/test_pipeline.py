@@ -57,6 +57,15 @@ def test_stages(spark, folder, tmp_path):
     check_packing(rows, final, 2048)
 
 
+def test_unlike_texts_of_one_id(spark):
+    """Rows of one id whose texts are unlike are all kept; repeated rows, and copies of either text, are not."""
+    a, b, c = prose(1, 120), prose(2, 120), prose(3, 120)
+    rows = [(5, a), (5, b), (5, b), (3, a + " end"), (7, b + " end"), (8, c), (8, c), (9, ""), (9, None), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1) for i, t in rows], COLUMNS)
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([(5, b), (3, a + " end"), (8, c), (9, ""), (9, None), (None, c)], key=str)
+
+
 def test_rare_boilerplate(spark):
     """Lines on 6 to 10 % of a large host's pages go; those of copies, and of groups of copies on a small host, stay."""
     texts = {i: prose(i, 12) for i in range(400)}
