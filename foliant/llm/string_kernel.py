@@ -34,8 +34,6 @@ from foliant.sources.tables import table
 ORDER = 4
 DECAY = 0.7
 LANDMARKS = 24
-#: Share of a landmark's distinct letters that a word needs for a kernel with it.
-SHARED = 0.6
 LONG = 24
 FIRST, LAST = "\x01", "\x02"
 SAMPLE = 3000
@@ -92,29 +90,32 @@ def own_kernel(s: np.ndarray) -> np.ndarray:
 class Kernels:
     """Normalised kernels of words with landmarks.
 
-    A word that has less than the share SHARED of a landmark's distinct letters has the kernel 0 with it by definition;
-    gaps and insertions take no letters away.
+    Only pairs with a common subsequence of ORDER letters are worked out; all others have the kernel 0.
     """
 
     def __init__(self, landmarks: list[str]):
         size = max(map(len, landmarks)) + 2
         self.t = letters(list(map(bounded, landmarks)), size)
         self.root = np.sqrt(np.maximum(own_kernel(self.t), 1e-12))
-        known = sorted({c for w in landmarks for c in w}, key=lambda c: (-sum(c in w for w in landmarks), c))[:62]
-        self.code = np.array(list(map(ord, known)), np.uint32)
-        self.rank = np.argsort(self.code)
-        self.code = self.code[self.rank]
-        own = self.masks(self.t)
-        self.need = np.ceil(SHARED * np.bitwise_count(own)).astype(np.int64)
-        self.mask = own
+        self.code = np.unique(self.t[self.t > 0])
+        at = np.searchsorted(self.code, self.t)
+        self.places = np.zeros((len(self.code) + 1, len(self.t)), np.uint64)  # a bit for each place of a letter; the last row is of unknown ones
+        for j in range(min(64, self.t.shape[1])):
+            i = np.flatnonzero(self.t[:, j])
+            self.places[at[i, j], i] |= np.uint64(1) << np.uint64(j)
         length = (self.t > 0).sum(axis=1)
+        self.long = length > 64
         self.groups = [(int(n), np.flatnonzero(length == n)) for n in np.unique(length)]
 
-    def masks(self, s: np.ndarray) -> np.ndarray:
-        """One bit for each known letter that a row holds."""
+    def alike(self, s: np.ndarray) -> np.ndarray:
+        """Which landmarks share a subsequence of ORDER letters with each row (bit-parallel longest common subsequence)."""
         at = np.minimum(np.searchsorted(self.code, s), len(self.code) - 1)
-        bit = np.where(self.code[at] == s, np.uint64(1) << self.rank[at].astype(np.uint64), np.uint64(0))
-        return np.bitwise_or.reduce(bit, axis=1)
+        at = np.where(self.code[at] == s, at, len(self.code))
+        free = np.full((len(s), len(self.t)), np.iinfo(np.uint64).max)
+        for letter in at.T:
+            met = free & self.places[letter]
+            free = (free + met) | (free - met)
+        return (np.bitwise_count(~free) >= ORDER) | self.long
 
     def rows(self, words: list[str]) -> np.ndarray:
         """One row of kernels for each word, however long it is."""
@@ -130,7 +131,7 @@ class Kernels:
         for at in range(0, len(order), 8192):
             pick = order[at : at + 8192]
             s = codes[pick, : max(1, size[pick].max())]
-            near = np.bitwise_count(self.masks(s)[:, None] & self.mask[None]) >= self.need[None]
+            near = self.alike(s)
             some = np.flatnonzero(near.any(axis=1))
             if not len(some):
                 continue

@@ -37,6 +37,18 @@ def test_kernels_tolerate_gaps_and_insertions():
     assert k[1, 0] > 0.1 and k[2, 0] > 0.5 and k[3, 0] < 0.1 and k[5].max() == 0 and k[6].max() == 0 and k[7, 0] > 0
 
 
+def test_kernels_of_masked_words():
+    landmarks, words = ["pathetic", "idiot", "x" * 70], ["p*th*t*c", "1d10t", "id10t", "aidt", "tc", "patio", "xx", "toidi", "cite-path"]
+    got = string_kernel.Kernels(landmarks).rows(words)
+    full = {w: string_kernel.bounded(w) for w in [*words, *landmarks]}
+    own = {w: brute_kernel(f, f, string_kernel.ORDER, string_kernel.DECAY) for w, f in full.items() if len(w) < 20}
+    for i, w in enumerate(words):
+        for j, t in enumerate(landmarks[:2]):
+            want = brute_kernel(full[w], full[t], string_kernel.ORDER, string_kernel.DECAY)
+            assert got[i, j] == pytest.approx(want / (own[w] * own[t]) ** 0.5, rel=1e-3, abs=1e-7), (w, t)
+    assert got[0, 0] > 0 and got[1, 1] > 0 and got[6, 2] > 0
+
+
 def test_sentences_join_spelled_words():
     got = string_kernel.sentences(b"You i d i o t. Fine day! a b")
     assert ["you", "i", "d", "i", "o", "t"] in got and ["idiot"] in got and ["fine", "day"] in got
