@@ -4,32 +4,40 @@ A window is a string of LENGTH bytes at a place of a text. Two equal windows hol
 of their substrings of a fixed size with the least hash, at the same place. So texts are cut into segments, the
 longest runs of windows with one anchor, and only segments with the same anchor are compared:
 
-1. Segments are described by two hashes, of anchor and of content; most anchors occur once in a corpus, and what
-   occurs once needs no text. Equal segments (copies) are found by their hashes alone, within a task first.
-2. Distinct segments of one anchor are compared by a collection of strings aligned at the anchor. Column by
-   column, from the last to the first, one symbol of each string goes before its suffix: the strings are sorted
-   anew by (anchor, symbol), stably, which with the order of the column before gives the order of the longer
-   suffixes; the symbols in that order are the column of the Burrows-Wheeler transform, and the common prefixes of
-   neighbours follow from those of the column before by range minima. A window is repeated where a neighbour
-   shares LENGTH bytes. What a column finds is appended to a file and read back in order once all columns are in.
+1. Anchors are hashed and counted; a segment whose anchor occurs once in the corpus is left out. Hashes do no more
+   than that and send strings to their collections; what repeats is found by the construction alone. (One exception:
+   a text that repeats itself, such as a run of one word, has a segment for every byte; segments of one piece of a
+   text that are equal by two hashes are marked, and one of them goes on.)
+2. A collection holds strings aligned at their anchors, up to BOUND of one anchor. Column by column, from the last to
+   the first, one symbol of each string goes before its suffix: the symbols in the order of the suffixes behind them
+   are the column of the Burrows-Wheeler transform; sorting by (anchor, symbol), stably, gives the order of the longer
+   suffixes, and the common prefixes of neighbours follow from those of the column before by range minima. Each
+   column of the transform and of the prefixes is appended to a file. Both files are then read once in the order of
+   writing: the transform gives the order back, a window is repeated where a neighbour shares LENGTH bytes, and
+   strings that are equal as a whole are found where they begin. One of them goes on, marked as one of several.
    Anchoring bounds the number of columns (below 2 * LENGTH) however long the texts are, which the construction
    over whole texts can't: it has one round for each byte of the longest text.
-3. An anchor with more than HOT distinct segments (a line or passage in very many documents) is no single task:
-   its segments are cut again by longer anchors, at last by the window itself, where equal windows are one key that
-   is summed before the shuffle.
+3. Collections are built first of what one task holds, so that groups of copies shrink before any string is shuffled,
+   then of what all tasks hand on. An anchor with over BOUND strings is dealt out to several collections, round by
+   round, until what is left of it fits into one; so copies shrink by up to BOUND times in a round. Where half of the
+   strings or more are left they differ (a line or passage in very many documents): these are cut again by longer
+   anchors, at last by the window itself, of which each collection leaves one.
 
 Passages counted in words are found in the same way in texts that have a 64-bit hash of 8 bytes in place of each
 word (what stands between blanks): a window of n words is one of 8n bytes there.
 
-Rows are told apart by id and a 64-bit hash of id and text; segments by 128 bits of hashes.
+Rows are told apart by id and a 64-bit hash of id and text. The files lie in Spark's own folder for shuffle files, have
+no name, and live as long as their collection is worked on; a lost executor's are made again with its task.
 
 Defined results: null texts are empty; texts shorter than LENGTH have no windows; a repeated row repeats all its
-windows; null ids are rows like others.
+windows; null ids are rows like others; an empty table gives an empty one; very long texts are read in overlapping
+pieces; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -48,7 +56,10 @@ from foliant.sources.tables import table
 LENGTH = 400
 #: Numbers of anchors in a window, by level; 1 is the window itself.
 LEVELS = (369, 33, 1)
-HOT = 256
+#: Strings of one anchor that a collection may hold (on average, where an anchor's strings are dealt out).
+BOUND = 256
+#: Anchors with more than this share of all segments (so fewer than 1,000 of them) are told to all tasks.
+SHARE = 1000
 #: Bytes of text that are hashed at once, and bytes of segments that are sorted at once.
 PIECE, COLLECTION = 1 << 18, 1 << 21
 _PLACE = 22  # bits of a place within a piece
@@ -100,11 +111,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, anchors: int) -
     return {"row": rows[at], "start": at, "windows": windows, "place": place[at] - at, "key": mix(anchor[place[at]]).view(np.int64), "content": content.view(np.int64)}
 
 
-_E = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "content", "doc_id", "rk", "base", "pos")] + [T.StructField(c, T.IntegerType()) for c in ("windows", "place")] + [T.StructField("many", T.BooleanType())])
+_E = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "doc_id", "rk", "base", "pos")] + [T.StructField(c, T.IntegerType()) for c in ("windows", "place")] + [T.StructField("many", T.BooleanType())])
 
 
 def _evidence(strings: DataFrame, length: int, anchors: int) -> DataFrame:
-    """Rows with a key: segments, one for each content in a piece of the input. Rows without: windows found repeated there.
+    """Rows with a key: segments, one of those that a piece of a text repeats. Rows without: the windows of these.
 
     The shorter the runs of windows, the more rows a byte gives, and the smaller the pieces.
     """
@@ -124,12 +135,12 @@ def _evidence(strings: DataFrame, length: int, anchors: int) -> DataFrame:
                     if not len(s["row"]):
                         continue
                     row, absolute = s["row"] + at, low + s["start"] - bounds[s["row"]]
-                    order = np.lexsort((absolute, row, s["content"], s["key"]))
-                    key, content = s["key"][order], s["content"][order]
-                    new = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+                    order = np.lexsort((absolute, s["content"], s["key"], row))
+                    row, key, content = row[order], s["key"][order], s["content"][order]
+                    new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
                     group = np.cumsum(new) - 1
                     several = np.bincount(group)[group] > 1
-                    row, absolute, windows, place = row[order], absolute[order], s["windows"][order], s["place"][order]
+                    absolute, windows, place = absolute[order], s["windows"][order], s["place"][order]
                     own = many.take(pa.array(row)).to_numpy(zero_copy_only=False)
                     marks = several & ~own
                     keep = np.concatenate((np.flatnonzero(new), np.flatnonzero(marks)))
@@ -138,7 +149,7 @@ def _evidence(strings: DataFrame, length: int, anchors: int) -> DataFrame:
                     take = pa.array(row[keep])
                     b = np.asarray(base.take(take))
                     columns = [
-                        pa.array(key[keep], mask=is_mark), pa.array(content[keep]), ids.take(take), rk.take(take), pa.array(b), pa.array(b + absolute[keep]),
+                        pa.array(key[keep], mask=is_mark), ids.take(take), rk.take(take), pa.array(b), pa.array(b + absolute[keep]),
                         pa.array(windows[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(np.where(is_mark, True, np.append(flags, np.zeros(marks.sum(), bool)))),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=_E.fieldNames())
@@ -146,97 +157,163 @@ def _evidence(strings: DataFrame, length: int, anchors: int) -> DataFrame:
     return strings.select("doc_id", "rk", "base", "many", "text").mapInArrow(run, _E)
 
 
-def repeated_windows(texts: list[bytes], group: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows (string, start) that another string of the same group has too, at the same distance from its anchor.
+def _file():
+    """A nameless file in the folder that Spark gives this worker."""
+    return tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
 
-    *group* must be in order; *place* is where each string's anchor begins.
-    """
+
+def _turn(group: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The stable order by (group, symbol), as two passes of a radix sort."""
+    first = np.argsort(symbol, kind="stable")
+    return first[np.argsort(group[first], kind="stable")]
+
+
+def _minima(common: np.ndarray, left: np.ndarray, right: np.ndarray, spread: int) -> np.ndarray:
+    """The least of *common* in each range left..right, from minima over 2, 4, ... neighbours."""
+    low = [common]
+    for k in range(spread):
+        step, before = 1 << k, low[-1]
+        after = before.copy()
+        after[:-step] = np.minimum(before[:-step], before[step:])
+        low.append(after)
+    level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
+    stack = np.stack(low)
+    return np.minimum(stack[level, left], stack[level, right - (1 << level) + 1])
+
+
+def _build(texts: list[bytes], group: np.ndarray, lead: np.ndarray, size: np.ndarray, transform, prefixes) -> int:
+    """Writes the columns of the transform and of the common prefixes, the last column first; their number."""
     m = len(texts)
-    size = np.fromiter(map(len, texts), np.int64, m)
-    lead = place.max() - place
     width = int((lead + size).max())
-    grid = np.zeros((width, m), np.int16)  # by column; 0 where a string has no symbol
-    flat = np.frombuffer(b"".join(texts), np.uint8)
+    grid = np.zeros((width, m), np.uint16)  # by column; 0 where a string has no symbol
     total = np.concatenate(([0], np.cumsum(size)))
     column = np.arange(total[-1], dtype=np.int32) + np.repeat((lead - total[:-1]).astype(np.int32), size)
-    grid[column, np.repeat(np.arange(m, dtype=np.int32), size)] = flat.astype(np.int16) + 1
-    order, common = np.arange(m), np.zeros(m, np.int32)  # common[i]: shared prefix of the strings at i-1 and i
+    grid[column, np.repeat(np.arange(m, dtype=np.int32), size)] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+    order, common = np.arange(m), np.zeros(m, np.int32)  # common[i]: shared prefix of the suffixes at i-1 and i
     spread = max(1, int(np.bincount(group).max() - 1).bit_length())
-    code = group.astype(np.int64) * 257
-    with tempfile.SpooledTemporaryFile(max_size=1 << 25) as found:
+    for column in range(width - 1, -1, -1):
+        symbol = grid[column][order]
+        transform.write(symbol.tobytes())
+        of = group[order]
+        turn = _turn(of, symbol)
+        ranked, of = symbol[turn], of[turn]
+        joined = (ranked[1:] == ranked[:-1]) & (of[1:] == of[:-1]) & (ranked[1:] > 0)
+        new = np.zeros(m, np.int32)
+        if joined.any():
+            # Two neighbours share what all between their places in the last column share.
+            new[1:][joined] = 1 + _minima(common, turn[:-1][joined] + 1, turn[1:][joined], spread)
+        order, common = order[turn], new
+        prefixes.write(common.tobytes())
+    return width
+
+
+def construct(texts: list[bytes], group: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What strings of a group share: runs of windows that another one has too (string, first start, last start), by
+    string; whether a string is the first of those that equal it; whether there are several of these.
+
+    *group* must be in order; *place* is where each string's anchor begins. Only windows at one distance from the
+    anchor are compared.
+    """
+    m = len(texts)
+    size = np.fromiter(map(len, texts), np.int64, m)
+    lead = place.max() - place
+    group = group.astype(np.uint16 if group[-1] < 1 << 16 else np.uint32)
+    begins = set(lead.tolist())
+    first, several = np.zeros(m, bool), np.zeros(m, bool)
+    with _file() as transform, _file() as prefixes:
+        width = _build(texts, group, lead, size, transform, prefixes)
+        transform.seek(0)
+        prefixes.seek(0)
+        found, order = np.zeros((width + 2, m), bool), np.arange(m)
         for column in range(width - 1, -1, -1):
-            symbol = grid[column][order]
-            whole = code[order] + symbol
-            turn = np.argsort(whole, kind="stable")
-            low = [common]
-            for k in range(spread):  # minima over 2, 4, ... neighbours
-                step, before = 1 << k, low[-1]
-                after = before.copy()
-                after[:-step] = np.minimum(before[:-step], before[step:])
-                low.append(after)
-            ranked = whole[turn]
-            left, right = turn[:-1] + 1, turn[1:]  # the range whose minimum two neighbours share
-            joined = (ranked[1:] == ranked[:-1]) & (symbol[turn[1:]] > 0)
-            left, right = left[joined], right[joined]
-            level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
-            stack = np.stack(low)
-            new = np.zeros(m, np.int32)
-            new[1:][joined] = 1 + np.minimum(stack[level, left], stack[level, right - (1 << level) + 1])
-            order, common = order[turn], new
+            symbol = np.frombuffer(transform.read(2 * m), np.uint16)
+            order = order[_turn(group[order], symbol)]
+            common = np.frombuffer(prefixes.read(4 * m), np.int32)
             near = common >= length
             if near.any():
-                hit = near.copy()
-                hit[:-1] |= near[1:]
-                found.write(np.column_stack((order[hit], np.full(hit.sum(), column))).astype("<i4").tobytes())
-        found.seek(0)
-        hits = np.frombuffer(found.read(), "<i4").reshape(-1, 2).astype(np.int64)
-    return hits[:, 0], hits[:, 1] - lead[hits[:, 0]]
-
-
-_MARK = "doc_id long, rk long, s long, e long"
-
-
-def _compared(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated windows in segments sorted by key."""
-
-    def collection(t: pa.Table) -> pa.RecordBatch:
-        texts = t.column("text").to_pylist()
-        key = t.column("key").to_numpy()
-        group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        string, start = repeated_windows(texts, group, t.column("place").to_numpy().astype(np.int64), length)
-        wanted = ~np.array(t.column("many").to_pylist(), bool)
-        use = wanted[string]
-        string, start = string[use], start[use]
-        order = np.lexsort((start, string))
-        string, start = string[order], start[order]
-        first = np.flatnonzero(np.append(True, (string[1:] != string[:-1]) | (start[1:] != start[:-1] + 1))[: len(string)])
-        last = np.append(first[1:], len(string))[: len(first)] - 1
-        pick = pa.array(string[first])
-        pos = t.column("pos").to_numpy()[string[first]]
-        return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pick), t.column("rk").combine_chunks().take(pick), pa.array(pos + start[first]), pa.array(pos + start[last] + length)], names=["doc_id", "rk", "s", "e"])
+                near[:-1] |= near[1:]
+                found[column + 1, order[near]] = True
+            if column in begins:
+                left = (lead + size - column)[order]
+                same = np.zeros(m, bool)  # as a whole the string before, from this column on
+                same[1:] = (common[1:] == left[1:]) & (left[1:] == left[:-1]) & (left[1:] > 0)
+                here = np.flatnonzero(lead[order] == column)
+                kind = np.cumsum(~same)[here]
+                _, at, of, count = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+                first[order[here[at]]] = True
+                several[order[here]] = count[of] > 1
+    edge = found[1:] != found[:-1]
+    string, turn = np.nonzero(edge.T)
+    return string[::2], turn[::2] - lead[string[::2]], turn[1::2] - 1 - lead[string[::2]], first, several
+
+
+_S = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "doc_id", "rk", "pos", "e")] + [T.StructField("place", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("text", T.BinaryType())])
+
+
+def _collection(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows without a key: spans of windows found repeated. Rows with one: one string of those that are equal."""
+    t = t.combine_chunks()
+    key, salt = t.column("key").to_numpy(), t.column("salt").to_numpy()
+    order = np.lexsort((salt, key))
+    key, salt = key[order], salt[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
+    group = np.cumsum(new) - 1
+    alone = np.bincount(group)[group] == 1
+    single, order = order[alone], order[~alone]
+    many = t.column("many").to_numpy(zero_copy_only=False).copy()
+    stay = single
+    if len(order):
+        group = np.unique(group[~alone], return_inverse=True)[1]
+        texts = t.column("text").take(pa.array(order)).to_pylist()
+        string, start, end, first, several = construct(texts, group, t.column("place").to_numpy()[order].astype(np.int64), length)
+        wanted = ~many[order][string]
+        string, start, end = order[string[wanted]], start[wanted], end[wanted]
+        if len(string):
+            pick, pos = pa.array(string), t.column("pos").to_numpy()[string]
+            none = [pa.nulls(len(string), k) for k in (pa.int64(), pa.int32(), pa.bool_(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([none[0], none[0], *(t.column(c).take(pick).combine_chunks() for c in ("doc_id", "rk")), pa.array(pos + start), pa.array(pos + end + length), *none[1:]], names=_S.fieldNames())
+        many[order] |= several
+        stay = np.concatenate((single, order[first]))
+    pick = pa.array(np.sort(stay))
+    out = {c: t.column(c).take(pick).combine_chunks() for c in ("key", "n", "doc_id", "rk", "pos", "place", "text")}
+    out |= {"e": pa.nulls(len(stay), pa.int64()), "many": pa.array(many[np.sort(stay)])}
+    yield from pa.Table.from_pydict({c: out[c] for c in _S.fieldNames()}).to_batches(max_chunksize=1000)
+
+
+def _settled(rows: DataFrame, length: int, whole: bool) -> DataFrame:
+    """Collections of *rows*; with *whole* rows come sorted by key and salt, and none of these is divided."""
 
     def run(batches):
         release_memos()
-        rest = None
+        held, size = [], 0
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            while rest.num_rows:
-                size = np.cumsum(np.array(rest.column("size")))
-                if size[-1] <= COLLECTION:
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index("text")).nbytes
+            if size <= COLLECTION:
+                continue
+            t = pa.Table.from_batches(held)
+            if not whole:
+                yield from _collection(t, length)
+                held, size = [], 0
+                continue
+            total = np.cumsum([len(x.as_buffer()) for x in t.column("text")])
+            key, salt = t.column("key").to_numpy(), t.column("salt").to_numpy()
+            borders = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+            at = 0
+            while at < t.num_rows:
+                done = total[at - 1] if at else 0
+                fit = borders[(borders > at) & (total[borders - 1] - done <= COLLECTION)]
+                cut = int(fit[-1]) if len(fit) else int(next(iter(borders[borders > at]), t.num_rows))
+                if cut == t.num_rows or total[-1] - done <= COLLECTION:
                     break
-                key = rest.column("key").to_numpy()
-                borders = np.flatnonzero(key[1:] != key[:-1]) + 1
-                fit = borders[size[borders - 1] <= COLLECTION]
-                if not len(borders):
-                    break
-                cut = int(fit[-1]) if len(fit) else int(borders[0])
-                yield collection(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield collection(rest)
+                yield from _collection(t.slice(at, cut - at), length)
+                at = cut
+            rest = t.slice(at)
+            held, size = rest.to_batches(), int(total[-1] - (total[at - 1] if at else 0))
+        if held:
+            yield from _collection(pa.Table.from_batches(held), length)
 
-    return rows.select("key", "doc_id", "rk", "pos", "place", "many", "text", F.length("text").alias("size")).mapInArrow(run, _MARK)
+    return rows.select("key", "salt", "n", "doc_id", "rk", "pos", "place", "many", "text").mapInArrow(run, _S)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -266,6 +343,39 @@ def word_places(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(starts[a]), int(ends[b - 1])) for a, b in whole]
 
 
+def _shared(seen: DataFrame, scratch: Scratch) -> DataFrame:
+    """The segments whose anchor occurs more than once, with the number ``n`` of these; some of them are not marked yet."""
+    rows = seen.filter("key IS NOT NULL")
+    twice = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("many").alias("done")).filter("n >= 2 AND NOT done").drop("done"))
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.broadcast(twice.filter(F.col("n") * SHARE > total))  # fewer than SHARE rows
+    rare = rows.join(F.broadcast(often.select("key")), "key", "left_anti").join(twice, "key")
+    return scratch.save(rows.join(often, "key").unionByName(rare))
+
+
+def _rounds(found: DataFrame, length: int, last: bool, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
+    """Marks of the strings of each anchor, in collections, and the strings of anchors that no collection can hold."""
+    marks, hot, number = [], None, 0
+    while True:
+        number += 1
+        salt = F.pmod(F.xxhash64("doc_id", "rk", "pos", F.lit(number)), F.ceil(F.col("n") / BOUND))
+        rows = found.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key", "salt")
+        done = scratch.save(_settled(rows, length, whole=True))
+        marks.append(scratch.save(done.filter("key IS NULL").select("doc_id", "rk", F.col("pos").alias("s"), "e")))
+        left = done.filter((F.col("n") > BOUND) & F.col("key").isNotNull())
+        sizes = scratch.save(left.groupBy("key").agg(F.count("*").alias("m"), F.first("n").alias("before"), F.bool_and("many").alias("done")).filter("m >= 2 AND NOT done").drop("done"))
+        if sizes.isEmpty():
+            return marks, hot
+        open_ = scratch.save(left.join(sizes, "key").withColumn("n", F.col("m")))
+        scratch.drop(done)
+        fewer = F.lit(last) | (F.col("m") <= BOUND) | (2 * F.col("m") <= F.col("before"))
+        more = open_.filter(~fewer).select("doc_id", "rk", F.col("pos").alias("base"), "many", "text")
+        hot = more if hot is None else hot.unionByName(more)
+        found = open_.filter(fewer).select("key", "n", "doc_id", "rk", "pos", "place", "many", "text")
+        if found.isEmpty():
+            return marks, hot
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", words: bool = False) -> DataFrame:
     """doc_id, rk (hash of the row) and its spans of repeated windows, as an unmerged array of (s, e).
 
@@ -276,39 +386,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     if words:
         strings, length = _in_words(strings), length * _WORD
     strings = strings.withColumn("base", F.lit(0).cast("long")).withColumn("many", F.lit(False))
-    marks, below = [], None
+    marks = []
     for number, share in enumerate(LEVELS):
-        anchors = max(1, length * share // LENGTH)
-        seen = scratch.save(_evidence(strings, length, anchors))
-        span = ["doc_id", "rk", F.col("pos").alias("s"), (F.col("pos") + F.col("windows") + (length - 1)).alias("e")]
-        twice = seen.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("_n")).filter("_n >= 2").select("key")
-        shared = scratch.save(seen.filter("key IS NOT NULL").join(twice, "key"))
-        marks.append(scratch.save(seen.filter("key IS NULL").select(*span)))
+        seen = scratch.save(_evidence(strings, length, max(1, length * share // LENGTH)))
+        marks.append(scratch.save(seen.filter("key IS NULL").select("doc_id", "rk", F.col("pos").alias("s"), (F.col("pos") + F.col("windows") + (length - 1)).alias("e"))))
+        shared = _shared(seen, scratch)
         scratch.drop(seen)
-        owner = F.struct("doc_id", "rk", "base", "pos", "windows", "place")
-        contents = scratch.save(shared.groupBy("key", "content").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c"), F.min(owner).alias("o")))
-        copies = contents.filter("c >= 2").select("key", "content")
-        marks.append(scratch.save(shared.filter("NOT many").join(copies, ["key", "content"]).select(*span)))
-        distinct = contents.groupBy("key").agg(F.count("*").alias("d")).filter("d >= 2")
-        asked = contents.join(distinct, "key").select("key", (F.col("c") >= 2).alias("many"), "d", "o.*")
-        asked = asked.groupBy("doc_id", "rk", "base").agg(F.collect_list(F.struct("key", "many", "d", "pos", "windows", "place")).alias("r"))
-        if number == len(LEVELS) - 1:
-            break
+        asked = shared.groupBy("doc_id", "rk", "base").agg(F.collect_set(F.struct("key", "many", "n", "pos", "windows", "place")).alias("r"))
         source = strings.select("doc_id", "rk", "base", "text")
         asked = asked.select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k"), F.col("base").alias("_b"), "r")
         met = source.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rk") == F.col("_k")) & (F.col("base") == F.col("_b")))
         piece = lambda r: F.col("text").substr((r["pos"] - F.col("base") + 1).cast("int"), r["windows"] + (length - 1))
-        cut = F.transform("r", lambda r: F.struct(r["key"].alias("key"), r["many"].alias("many"), r["d"].alias("d"), r["pos"].alias("pos"), r["place"].alias("place"), piece(r).alias("text")))
-        found = scratch.save(met.select("doc_id", "rk", F.explode(cut).alias("x")).select("doc_id", "rk", "x.*"))
-        cold = found.filter(F.col("d") <= HOT).repartition("key").sortWithinPartitions("key")
-        marks.append(scratch.save(_compared(cold, length)))
-        scratch.drop(shared, contents)
-        if below is not None:
-            scratch.drop(below)
-        hot = found.filter(F.col("d") > HOT)
-        if hot.isEmpty():
+        cut = F.transform("r", lambda r: F.struct(r["key"].alias("key"), r["many"].alias("many"), r["n"].alias("n"), r["pos"].alias("pos"), r["place"].alias("place"), piece(r).alias("text")))
+        pieces_ = met.select("doc_id", "rk", F.explode(cut).alias("x")).select("doc_id", "rk", "x.*").withColumn("salt", F.lit(0).cast("long"))
+        found = scratch.save(_settled(pieces_, length, whole=False))
+        scratch.drop(shared)
+        marks.append(scratch.save(found.filter("key IS NULL").select("doc_id", "rk", F.col("pos").alias("s"), "e")))
+        more, hot = _rounds(found.filter("key IS NOT NULL"), length, number == len(LEVELS) - 1, scratch)
+        marks += more
+        if hot is None or hot.isEmpty():
             break
-        strings, below = hot.select("doc_id", "rk", F.col("pos").alias("base"), "many", "text"), found
+        strings = hot
     union = marks[0]
     for m in marks[1:]:
         union = union.unionByName(m)

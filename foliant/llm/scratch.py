@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set, as in tests on one machine."""
+    """The session's spark.checkpoint.dir; a temporary folder only where none is set and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or f"file://{tempfile.gettempdir()}/foliant-checkpoints"
 
 
@@ -20,17 +25,22 @@ ROWS_AT_ONCE = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's number of rows in an Arrow batch to ROWS_AT_ONCE."""
-    if not 0 < int(spark.conf.get(_ROWS)) <= ROWS_AT_ONCE:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Lowers the session's number of rows in an Arrow batch to ROWS_AT_ONCE for what runs meanwhile."""
+    before = spark.conf.get(_ROWS)
+    if not 0 < int(before) <= ROWS_AT_ONCE:
         spark.conf.set(_ROWS, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 class Scratch:
     """Written tables of one run; what is not dropped before goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
-        small_batches(spark)
         self.spark, self.folder = spark, f"{shared_folder(spark)}/foliant-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.clear)
@@ -39,7 +49,8 @@ class Scratch:
         """*df* written as Parquet and read again, so that a lost executor costs no more than one step."""
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

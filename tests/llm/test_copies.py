@@ -107,9 +107,9 @@ def repeats_table():
     return texts
 
 
-@pytest.mark.parametrize(("hot", "piece"), [(256, 1 << 20), (2, 1 << 20), (2, 1000)])
-def test_repeats(spark, monkeypatch, hot, piece):
-    monkeypatch.setattr(column_repeats, "HOT", hot)
+@pytest.mark.parametrize(("bound", "piece"), [(256, 1 << 20), (2, 1 << 20), (2, 1000)])
+def test_repeats(spark, monkeypatch, bound, piece):
+    monkeypatch.setattr(column_repeats, "BOUND", bound)
     monkeypatch.setattr(column_repeats, "PIECE", piece)
     texts = [*repeats_table().items(), (3, repeats_table()[3]), (None, prose(8, 300))]
     want = sorted(((i or -1), *w) for (i, _), w in zip(texts, brute_removed([t for _, t in texts], 60), strict=True))
@@ -140,7 +140,7 @@ def test_repeated_words(spark):
 
 def test_columns_against_brute_force():
     g = random.Random(5)
-    texts = [bytes(g.choices(b"ab", k=g.randint(0, 14))) + b"XYZ" + bytes(g.choices(b"ab", k=g.randint(0, 14))) for _ in range(60)]
+    texts = [bytes(g.choices(b"ab", k=g.randint(0, 14))) + b"XYZ" + bytes(g.choices(b"ab", k=g.randint(0, 14))) for _ in range(57)] + [b"aXYZbb"] * 3
     group, place = np.repeat(np.arange(12), 5), np.array([t.index(b"XYZ") for t in texts])
     want = {
         (i, p)
@@ -149,8 +149,11 @@ def test_columns_against_brute_force():
         for j, u in enumerate(texts)
         if i != j and group[i] == group[j] and (q := p - place[i] + place[j]) >= 0 and len(u) >= q + 9 and t[p : p + 9] == u[q : q + 9]
     }
-    string, start = column_repeats.repeated_windows(texts, group, place, 9)
-    assert set(zip(string.tolist(), start.tolist(), strict=True)) == want and want
+    string, start, end, first, several = column_repeats.construct(texts, group, place, 9)
+    assert {(i, p) for i, a, b in zip(string.tolist(), start.tolist(), end.tolist(), strict=True) for p in range(a, b + 1)} == want and want
+    like = [[j for j, u in enumerate(texts) if group[i] == group[j] and t == u and place[i] == place[j]] for i, t in enumerate(texts)]
+    assert several.tolist() == [len(x) > 1 for x in like]
+    assert all(sum(first[j] for j in x) == 1 for x in like)
 
 
 def test_site_lines(spark):
