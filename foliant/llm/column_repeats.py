@@ -61,7 +61,7 @@ BOUND = 256
 #: Anchors with more than this share of all segments (so fewer than 1,000 of them) are told to all tasks.
 SHARE = 1000
 #: Bytes of text that are hashed at once, and bytes of segments that are sorted at once.
-PIECE, COLLECTION = 1 << 18, 1 << 21
+PIECE, COLLECTION = 1 << 18, 1 << 22
 _PLACE = 22  # bits of a place within a piece
 _WORD = 8  # bytes of a word's hash
 
@@ -250,8 +250,11 @@ def construct(texts: list[bytes], group: np.ndarray, place: np.ndarray, length:
 _S = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "doc_id", "rk", "pos", "e")] + [T.StructField("place", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("text", T.BinaryType())])
 
 
-def _collection(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows without a key: spans of windows found repeated. Rows with one: one string of those that are equal."""
+def _collection(t: pa.Table, length: int, more_than: int) -> Iterator[pa.RecordBatch]:
+    """Rows without a key: spans of windows found repeated. Rows with one: one string of those that are equal.
+
+    Of anchors with up to *more_than* strings all are here, so that none of them goes on.
+    """
     t = t.combine_chunks()
     key, salt = t.column("key").to_numpy(), t.column("salt").to_numpy()
     order = np.lexsort((salt, key))
@@ -274,14 +277,17 @@ def _collection(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([none[0], none[0], *(t.column(c).take(pick).combine_chunks() for c in ("doc_id", "rk")), pa.array(pos + start), pa.array(pos + end + length), *none[1:]], names=_S.fieldNames())
         many[order] |= several
         stay = np.concatenate((single, order[first]))
-    pick = pa.array(np.sort(stay))
+    stay = np.sort(stay)
+    stay = stay[t.column("n").to_numpy()[stay] > more_than]
+    pick = pa.array(stay)
     out = {c: t.column(c).take(pick).combine_chunks() for c in ("key", "n", "doc_id", "rk", "pos", "place", "text")}
-    out |= {"e": pa.nulls(len(stay), pa.int64()), "many": pa.array(many[np.sort(stay)])}
+    out |= {"e": pa.nulls(len(stay), pa.int64()), "many": pa.array(many[stay])}
     yield from pa.Table.from_pydict({c: out[c] for c in _S.fieldNames()}).to_batches(max_chunksize=1000)
 
 
 def _settled(rows: DataFrame, length: int, whole: bool) -> DataFrame:
     """Collections of *rows*; with *whole* rows come sorted by key and salt, and none of these is divided."""
+    more_than = BOUND if whole else 0
 
     def run(batches):
         release_memos()
@@ -293,7 +299,7 @@ def _settled(rows: DataFrame, length: int, whole: bool) -> DataFrame:
                 continue
             t = pa.Table.from_batches(held)
             if not whole:
-                yield from _collection(t, length)
+                yield from _collection(t, length, more_than)
                 held, size = [], 0
                 continue
             total = np.cumsum([len(x.as_buffer()) for x in t.column("text")])
@@ -306,12 +312,12 @@ def _settled(rows: DataFrame, length: int, whole: bool) -> DataFrame:
                 cut = int(fit[-1]) if len(fit) else int(next(iter(borders[borders > at]), t.num_rows))
                 if cut == t.num_rows or total[-1] - done <= COLLECTION:
                     break
-                yield from _collection(t.slice(at, cut - at), length)
+                yield from _collection(t.slice(at, cut - at), length, more_than)
                 at = cut
             rest = t.slice(at)
             held, size = rest.to_batches(), int(total[-1] - (total[at - 1] if at else 0))
         if held:
-            yield from _collection(pa.Table.from_batches(held), length)
+            yield from _collection(pa.Table.from_batches(held), length, more_than)
 
     return rows.select("key", "salt", "n", "doc_id", "rk", "pos", "place", "many", "text").mapInArrow(run, _S)
 
@@ -362,7 +368,7 @@ def _rounds(found: DataFrame, length: int, last: bool, scratch: Scratch) -> tupl
         rows = found.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key", "salt")
         done = scratch.save(_settled(rows, length, whole=True))
         marks.append(scratch.save(done.filter("key IS NULL").select("doc_id", "rk", F.col("pos").alias("s"), "e")))
-        left = done.filter((F.col("n") > BOUND) & F.col("key").isNotNull())
+        left = done.filter("key IS NOT NULL")
         sizes = scratch.save(left.groupBy("key").agg(F.count("*").alias("m"), F.first("n").alias("before"), F.bool_and("many").alias("done")).filter("m >= 2 AND NOT done").drop("done"))
         if sizes.isEmpty():
             return marks, hot
@@ -403,6 +409,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         scratch.drop(shared)
         marks.append(scratch.save(found.filter("key IS NULL").select("doc_id", "rk", F.col("pos").alias("s"), "e")))
         more, hot = _rounds(found.filter("key IS NOT NULL"), length, number == len(LEVELS) - 1, scratch)
+        scratch.drop(found)
         marks += more
         if hot is None or hot.isEmpty():
             break
