@@ -10,7 +10,9 @@ arbitrary bytes losslessly as the ancillary data of silent layer III frames, 576
 
 Defined results: null content reads as empty; bytes without any frame give 0 frames, duration 0 and an empty
 offset list; repeated rows give repeated results; columns of other names are passed through, those named like
-an output column are replaced by it.
+an output column are replaced by it; an empty table gives an empty one; contents of any length are read whole, in
+memory. A protected frame too short for what its checksum covers counts as bad; a VBRI mark in a frame too short for
+a table is none. Free-format frames count as junk.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def header(four: bytes) -> dict | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and group == 2 else 1152
     size = (12000 * kbps // hertz + padding) * 4 if layer == 1 else samples * 125 * kbps // hertz + padding
     side = 0 if layer != 3 else {(1, True): 17, (1, False): 32, (2, True): 9, (2, False): 17}[group, mode == 3]
-    return {"version": version, "layer": layer, "kbps": kbps, "hertz": hertz, "samples": samples, "size": size, "mode": mode, "side": side, "protected": not four[1] & 1}
+    return {"version": version, "layer": layer, "kbps": kbps, "hertz": hertz, "samples": samples, "size": size, "mode": mode, "extension": four[3] >> 4 & 3, "side": side, "protected": not four[1] & 1}
 
 
 def _crc_table() -> list[int]:
@@ -72,14 +74,61 @@ _CRC = _crc_table()
 
 
 @lru_cache(maxsize=4096)
-def crc16(data: bytes) -> int:
-    """CRC-16 of a frame: polynomial 8005, start FFFF."""
-    c = 0xFFFF
-    for b in data:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 of a frame's bytes, or of their first *bits* bits: polynomial 8005, start FFFF."""
+    c, whole = 0xFFFF, len(data) if bits is None else bits // 8
+    for b in data[:whole]:
         c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+    for i in range(0 if bits is None else bits % 8):
+        c = (c << 1 ^ (0x8005 if (c >> 15 ^ data[whole] >> 7 - i) & 1 else 0)) & 0xFFFF
     return c
 
 
+# Fixed values of ISO/IEC 11172-3 and 13818-3, layer II: the allocation tables, as (subbands, bits of an allocation) runs.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def _allocation(h: dict) -> str:
+    """The allocation table of a layer II frame, by rate a channel and sampling frequency."""
+    if h["version"] != 3:
+        return "low"
+    rate = h["kbps"] // (1 if h["mode"] == 3 else 2)
+    if rate <= 48:
+        return "d" if h["hertz"] == 32000 else "c"
+    return "a" if rate <= 80 or h["hertz"] == 48000 else "b"
+
+
+def protected_bits(h: dict, body: bytes) -> int:
+    """How many bits behind the checksum it covers: side information, allocations, in layer II also scale factor selections.
+
+    *body* are the frame's bytes behind the checksum. 0 if the frame ends before.
+    """
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    channels = 1 if h["mode"] == 3 else 2
+    bound = 4 * (h["extension"] + 1) if h["mode"] == 1 else 32
+    if h["layer"] == 1:
+        out = 4 * (channels * min(bound, 32) + max(0, 32 - bound))
+        return out if out <= 8 * len(body) else 0
+    at, chosen, band = 0, 0, 0
+    bits = int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+    for count, width in ALLOCATION[_allocation(h)]:
+        for _ in range(count):
+            one = band >= bound  # both channels share the allocation of a band above the bound
+            for _ in range(1 if one else channels):
+                chosen += (channels if one else 1) * bool(bits >> 512 - at - width & (1 << width) - 1)
+                at += width
+            band += 1
+    out = at + 2 * chosen
+    return out if out <= 8 * len(body) else 0
+
+
 def _synchsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
@@ -115,7 +164,7 @@ def _vbr(frame: bytes, h: dict) -> dict | None:
         if flags & 4:
             out["toc"] = list(frame[at : at + 100])
         return out
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, entries, scale, width, step = struct.unpack(">IIHHHH", frame[46:62])
         body = frame[62 : 62 + entries * width]
         toc = [scale * int.from_bytes(body[i : i + width], "big") for i in range(0, len(body), max(1, width))]
@@ -144,9 +193,10 @@ def scan(data: bytes | None) -> dict:
             at += h["size"]
             junk_from = at
             continue
-        if h["protected"] and h["side"]:
+        if h["protected"]:
+            covered = protected_bits(h, frame[6:])
             checked += 1
-            bad += crc16(frame[2:4] + frame[6 : 6 + h["side"]]) != int.from_bytes(frame[4:6], "big")
+            bad += not covered or crc16(frame[2:4] + frame[6 : 6 + -(-covered // 8)], 16 + covered) != int.from_bytes(frame[4:6], "big")
         offsets.append(at)
         sizes.append(h["size"])
         samples += h["samples"]

@@ -50,6 +50,43 @@ def test_variable_rate_tables_and_checksums():
     assert s["vbr"]["kind"] == "VBRI" and s["vbr"]["frames"] == 4 and s["vbr"]["toc"] == [417, 418]
 
 
+def test_short_frames_have_no_table():
+    short = frame(version=2, rate=2, pitch=1)
+    assert len(short) == 48
+    data = short[:36] + b"VBRI" + short[40:]
+    assert m.scan(data * 3)["n_frames"] == 3 and m.scan(data * 3)["vbr"] is None
+
+
+def bitwise_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ b else 0)
+    return c
+
+
+def test_checksums_of_layers_one_and_two():
+    cases = [  # layer, rate index, pitch, mode, fields: (bits, value) ...
+        (1, 9, 0, 3, [(4, i % 15) for i in range(32)]),
+        (1, 9, 0, 0, [(4, i % 15) for i in range(64)]),
+        (1, 9, 0, 1, [(4, i % 15) for i in range(8 + 28)]),  # joint from band 4 on
+        (2, 8, 0, 3, [(4, 1)] * 11 + [(3, 0)] * 12 + [(2, 1)] * 7 + [(2, 3)] * 18),  # mono, 30 bands
+        (2, 1, 0, 3, [(4, 1)] * 2 + [(3, 2)] * 6 + [(2, 1)] * 8),  # mono, low rate, 8 bands
+        (2, 12, 1, 0, [(4, 0)] * 22 + [(3, 1)] * 24 + [(2, 0)] * 8 + [(2, 2)] * 24),  # two channels, 27 bands
+    ]
+    for layer, rate, pitch, mode, fields in cases:
+        head = bytes((0xFF, 0xE0 | 3 << 3 | (4 - layer) << 1, rate << 4 | pitch << 2, mode << 6))
+        h = m.header(head)
+        bits = [v >> n - 1 - i & 1 for n, v in fields for i in range(n)]
+        body = bytes(int("".join(map(str, (bits + [1] * 16)[i : i + 8])), 2) for i in range(0, len(bits) + 8, 8))
+        crc = bitwise_crc([x >> 7 - i & 1 for x in head[2:] for i in range(8)] + bits)
+        whole = (head + crc.to_bytes(2, "big") + body).ljust(h["size"], b"\0")
+        s = m.scan(whole * 3)
+        assert (s["n_frames"], s["crc_checked"], s["crc_bad"]) == (3, 3, 0), (layer, rate, mode)
+        broken = bytearray(whole)
+        broken[4] ^= 1
+        assert m.scan(whole + bytes(broken) + whole)["crc_bad"] == 1
+
+
 def test_nothing_is_no_error():
     for x in (None, b"", b"\xff", b"\xff" * 999, b"TAG", b"ID3"):
         assert m.scan(x)["n_frames"] == 0 and m.scan(x)["duration_us"] == 0
