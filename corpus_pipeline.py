@@ -6,7 +6,8 @@ cut out; what is left is packed into sequences of token ids. Every stage but the
 
 Defined results: rows with a null id are scored, cleaned and packed like others and never count as copies; of
 repeated rows of one id and text the third stage keeps one, and rows of one id with unlike texts are documents of
-their own; a text of which nothing is left stays as an empty text.
+their own; a text of which nothing is left stays as an empty text; empty tables give empty tables; columns of any
+other name, those of the operators' own results too, pass through as they are.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string kernel's machine does not take for toxic."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return toxicity(docs, table(spark, sf_dir, "labels"), out="__foliant_score").filter(F.col("__foliant_score") < THRESHOLD).select(*docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

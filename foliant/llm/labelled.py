@@ -32,14 +32,14 @@ def sampled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(chosen), "_id")
 
 
-def with_scores(docs: DataFrame, scorer: Callable[[], Callable[[pa.Array], pa.Array]], text: str = "text") -> DataFrame:
-    """*docs* with a column ``score``; *scorer* is called in the worker and gives a function of a column of UTF-8 texts.
+def with_scores(docs: DataFrame, scorer: Callable[[], Callable[[pa.Array], pa.Array]], text: str = "text", out: str = "score") -> DataFrame:
+    """*docs* with a column *out*; *scorer* is called in the worker and gives a function of a column of UTF-8 texts.
 
-    Other columns pass through; one named ``score`` is replaced.
+    Other columns pass through; one named *out* is replaced.
     """
-    keep = [f for f in docs.schema.fields if f.name != "score"]
+    keep = [f for f in docs.schema.fields if f.name != out]
     names = [f.name for f in keep]
-    schema = T.StructType([*keep, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*keep, T.StructField(out, T.DoubleType())])
     raw = "_text"
     while raw in names:
         raw += "_"
@@ -48,6 +48,6 @@ def with_scores(docs: DataFrame, scorer: Callable[[], Callable[[pa.Array], pa.Ar
         score = scorer()
         for batch in batches:
             values = score(batch.column(len(names)).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], values], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], values], names=[*names, out])
 
     return docs.select(*names, F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias(raw)).mapInArrow(run, schema)

@@ -378,8 +378,8 @@ class Scorer:
             np.maximum.at(high, np.array([r for r, _ in spelled]), more)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """*docs* with ``score`` (probability that label ``toxic`` is 1); the model is fitted on *known*, or on *docs* themselves."""
+def toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, out: str = "score") -> DataFrame:
+    """*docs* with *out* (probability that label ``toxic`` is 1); the model is fitted on *known*, or on *docs* themselves."""
     model = fit(docs if known is None else known, labels)
 
     def scorer():
@@ -389,7 +389,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None)
         release_memos()
         return Scorer(model)
 
-    return with_scores(docs, scorer)
+    return with_scores(docs, scorer, out=out)
 
 
 def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
