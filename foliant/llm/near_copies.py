@@ -16,12 +16,15 @@ gives the links that connect its documents, never its pairs. Lists in a single c
 is cut short, so no link is lost but for what MinHash itself misses: a pair
 at a similarity of just 0.8 has fewer than 13 of 32 collisions with a probability of 2e-7.
 
-Documents with equal sets are one class before anything else, found by a 128-bit digest. Nothing is collected to
-the driver. Joins on hot keys are sort-merge joins whose large partitions adaptive execution splits; a hot posting
-list is cut in blocks.
-
-Defined results: null and empty texts have no shingles and no links; null ids are never linked and are kept;
-repeated rows of an id are equal and get equal results.
+Documents with equal sets are one class before anything else, found by a 128-bit digest; classes have numbers of their
+own, so that rows of one id may have unlike texts. Nothing is collected to the driver. Joins on hot keys are
+sort-merge joins whose large partitions adaptive execution splits; a hot posting list is cut in blocks: members of its
+most connected member's component and all others are dealt out to chunks of CHUNK / 2 on average, and a block holds
+two chunks of which at least one is of the others.
+
+Defined results: null and empty texts have no shingles and no links; null ids are never linked and are kept; repeated
+rows of an id get equal results, rows of one id with unlike texts are linked each by its own text; ties go to the
+smaller id; an empty table gives an empty one; texts are read whole however long; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from foliant.sources.tables import table
 
 COORDINATES = 32
 MATCHES = 13
-#: Members of a posting list that are compared with the probes of the list in one task.
+#: Members of a posting list that are compared at once; two chunks of a longer list hold about as many.
 CHUNK = 1024
 
 _G = np.random.Generator(np.random.PCG64(7))
@@ -86,6 +89,11 @@ def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+def _digests(value: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each set of hashes, none of them empty."""
+    return [np.add.reduceat(mix(value ^ salt), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64) for salt in (BASE, ~BASE)]
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """Id, number of shingles, digest and signature of each document."""
 
@@ -96,9 +104,8 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 value, bounds = shingles(data, offsets, width)
                 n = np.diff(bounds)
                 has = n > 0
-                starts = bounds[:-1][has]
-                digests = [np.add.reduceat(mix(value ^ salt), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64) for salt in (BASE, ~BASE)]
-                sig = signatures(value, bounds) if len(starts) else np.zeros((0, COORDINATES), np.int32)
+                digests = _digests(value, bounds[:-1][has])
+                sig = signatures(value, bounds) if has.any() else np.zeros((0, COORDINATES), np.int32)
                 place = np.where(has, np.cumsum(has) - 1, -1)
                 pick = pa.array(place, pa.int64(), mask=~has)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, COORDINATES), pa.int32()), pa.array(sig.ravel()))
@@ -108,15 +115,21 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """The sets of the classes in ``found``, an array of class, d1, d2 beside each text, that a row's text belongs to."""
+
     def run(batches):
         release_memos()
         for batch in batches:
-            for at, end, data, offsets in pieces(batch.column(1)):
+            wanted = batch.column(1).to_pylist()
+            for at, end, data, offsets in pieces(batch.column(0)):
                 value, bounds = shingles(data, offsets, width)
+                has = np.flatnonzero(np.diff(bounds))
+                digests = dict(zip(has.tolist(), zip(*(d.tolist() for d in _digests(value, bounds[has])), strict=True), strict=True))
+                got = [(i, c["id"]) for i in range(end - at) for c in wanted[at + i] if (c["d1"], c["d2"]) == digests.get(i)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), lists], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([c for _, c in got], pa.int64()), lists.take(pa.array([i for i, _ in got], pa.int64()))], names=["id", "set"])
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+    return docs.select("text", "found").mapInArrow(run, "id long, set array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
@@ -127,7 +140,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> Data
     return both.filter(ratio[1] * common >= ratio[0] * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
 
-_ROW = "token long, block int, id long, comp long, n long, sig array<int>, posts array<long>, home boolean, probe boolean"
+_ROW = "token long, block long, id long, comp long, n long, sig array<int>, posts array<long>, home boolean, probe boolean"
 
 
 def _collisions(token: int, t: pa.Table, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +238,28 @@ def _linked(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     return _by_block(rows, work, "a long, b long")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """*rows* of posting lists once for each ``block`` of the list that they are in, as its ``home`` or its ``probe`` side.
+
+    *m* and *p* are the list's numbers of rows in its main component and of others, ``probe`` marks the latter. A block
+    is two chunks, one of the main component and one of the others, or two of the others, or one chunk of the others
+    with itself; each pair of rows that has a probe meets in one block. A list of up to CHUNK rows is one block.
+    """
+    chunks = lambda c: F.ceil(2 * F.col(c) / CHUNK)
+    rows = rows.withColumn("_m", chunks("m")).withColumn("_p", chunks("p"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("probe"), F.col("_p")).otherwise(F.col("_m")))
+    place = lambda block, home, probe: F.struct(block.cast("long").alias("block"), home.alias("home"), probe.alias("probe"))
+    yes, no = F.lit(True), F.lit(False)
+    with_others = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda x: place(F.col("_own") * F.col("_p") + x, yes, no))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda x: place(x * F.col("_p") + F.col("_own"), no, yes))
+    low, high = lambda x: F.least("_own", x), lambda x: F.greatest("_own", x)
+    among = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda x: place(-1 - low(x) * F.col("_p") - high(x), F.col("_own") <= x, F.col("_own") >= x))
+    one = F.array(place(F.lit(0), yes, F.col("probe")))
+    blocks = F.when(F.col("m") + F.col("p") <= CHUNK, one).when(F.col("probe"), F.concat(with_main, among)).otherwise(with_others)
+    rows = rows.withColumn("_own", own).withColumn("_place", F.explode(blocks))
+    return rows.drop("probe").select("*", "_place.block", "_place.home", "_place.probe")
+
+
 def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document.
 
@@ -233,7 +268,8 @@ def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 1
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
     base = scratch.save(_signed(source, width))
-    classes = scratch.save(base.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = base.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()))  # the numbers hold as they are written
 
     # Postings that at least two classes hold, by class, the rare ones first.
     token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -254,27 +290,30 @@ def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 1
     same = F.size(F.filter(F.zip_with("_s", "_t", lambda x, y: x == y), lambda x: x))
     alike = F.least("_n", "_m") * ratio[1] >= F.greatest("_n", "_m") * ratio[0]
     stars = stars.filter(alike & (same >= MATCHES)).select("a", "b")
-    sets = scratch.save(_sets(source.join(members.select("id"), "id", "left_semi"), width).dropDuplicates(["id"]))
+    wanted = members.select("id").join(classes.select(F.col("rep").alias("id"), "first_id", "d1", "d2"), "id")
+    wanted = wanted.groupBy(F.col("first_id").alias("_of")).agg(F.collect_list(F.struct("id", "d1", "d2")).alias("found"))
+    sets = scratch.save(_sets(source.join(wanted, F.col("id") == F.col("_of")), width).dropDuplicates(["id"]))
     links = scratch.save(_verified(stars, sets, ratio))
     reached = scratch.save(components(links, scratch))
 
     # Lists whose members are still in several components: pairs across components, in blocks.
     state = members.join(reached, "id", "left").select("id", "n", "sig", "posts", F.coalesce("component", "id").alias("comp"))
     lists = state.select("id", "comp", F.explode("posts").alias("token"))
-    open_ = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     main = lists.join(centers.select("token", F.col("a").alias("id")), ["token", "id"]).select("token", F.col("comp").alias("main"))
-    open_ = open_.join(main, "token").select("token", "main", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    rows = lists.join(open_, "token").join(state.select("id", "n", "sig", "posts"), "id").withColumn("probe", F.col("comp") != F.col("main"))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    blocks = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
-    rows = rows.withColumn("own", own).withColumn("block", F.explode(blocks)).withColumn("home", F.col("block") == F.col("own"))
+    of_main, n = F.col("comp") == F.col("main"), F.col("count")
+    shares = lists.groupBy("token", "comp").count().join(main, "token").groupBy("token").agg(F.first("main").alias("main"), F.sum(F.when(of_main, n)).alias("m"), F.sum(F.when(~of_main, n)).alias("p"))
+    rows = lists.join(shares.filter("p > 0"), "token").join(state.select("id", "n", "sig", "posts"), "id")
+    rows = in_blocks(rows.withColumn("probe", F.col("comp") != F.col("main")))
     rows = rows.select("token", "block", "id", "comp", "n", "sig", "posts", "home", "probe").repartition("token", "block").sortWithinPartitions("token", "block")
     colliding = _counted(rows, ratio).join(sets, "id").repartition("token", "block").sortWithinPartitions("token", "block")
     more = _linked(colliding, ratio)
     links = scratch.save(links.unionByName(more))
     whole = components(links, scratch)
 
-    member = classes.select("d1", "d2", "rep").join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    member = classes.select("d1", "d2", "rep", "first_id").join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    member = member.withColumn("component", F.coalesce("component", "rep"))
+    least = member.groupBy("component").agg(F.min("first_id").alias("least"))
+    member = member.join(least, "component").select("d1", "d2", F.col("least").alias("component"))
     out = base.select("id", "n", "d1", "d2").join(member, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import column_repeats, exact_topk, near_copies, site_lines
 from foliant.llm.components import components
@@ -68,6 +69,33 @@ def test_near_copies(spark, monkeypatch, chunk):
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_blocks_are_bounded(spark, monkeypatch):
+    """Thousands of members of one posting list that no link joins: small blocks, and each pair with a probe meets once."""
+    monkeypatch.setattr(near_copies, "CHUNK", 64)
+    for m, p in ((1, 5000), (3000, 40), (20, 30)):
+        rows = spark.range(m + p).select(F.lit(7).cast("long").alias("token"), "id", F.lit(m).cast("long").alias("m"), F.lit(p).cast("long").alias("p"), (F.col("id") >= m).alias("probe"))
+        blocks = near_copies.in_blocks(rows).groupBy("block").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("h"), F.sum(F.col("probe").cast("int")).alias("q"), F.sum((F.col("home") & F.col("probe")).cast("int")).alias("b")).collect()
+        assert max(r["n"] for r in blocks) <= 128
+        assert sum(r["h"] * r["q"] - r["b"] * (r["b"] + 1) // 2 for r in blocks) == m * p + p * (p - 1) // 2
+
+
+def test_templated_pages_are_never_linked_in_big_blocks(spark, monkeypatch):
+    """Pages that share half of their words, and so posting lists, but are no near copies; a few are."""
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    shared = prose(1, 60)
+    texts = {i: shared + " " + prose(1000 + i, 25) for i in range(80)} | {200 + i: edited(shared + " " + prose(1000 + i, 25), i, 1) for i in range(0, 80, 9)}
+    want = brute_components(texts, 4, 80, 100)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_copies.near_copies(awkward(spark, texts), width=4).collect()}
+    assert got == want
+
+
+def test_unlike_texts_of_one_id(spark):
+    a, b = prose(1, 100), prose(2, 100)
+    rows = [(5, a), (5, b), (3, a), (9, b), (9, b), (7, edited(b, 1, 1))]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_copies.near_copies(awkward(spark, rows), width=4).collect())
+    assert got == sorted([(5, 3, False), (5, 5, True), (3, 3, True), (9, 5, False), (9, 5, False), (7, 5, False)])
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies.near_copies(awkward(spark, {})).count() == 0
     assert [tuple(r) for r in near_copies.near_copies(awkward(spark, {1: ""})).collect()] == [(1, 0, 1, True)]
