@@ -1,16 +1,17 @@
 """Exact BPE encoding and decoding by dynamic programming over prefixes.
 
 For byte pair encoding with ranked merges, every prefix of a word has one encoding, and so one last token. The
-encoder walks a word once: an Aho-Corasick automaton over the vocabulary names the tokens that end at each
-position; of these, the last token of the prefix is the one that is compatible with the last token of the shorter
-prefix before it. Two tokens are compatible if no merge across their border would come before those that made
+encoder walks a word once through a suffix automaton of the vocabulary: its state at each position is the longest
+suffix that occurs in any token, and the whole tokens on the state's chain of suffix links are those that end there; of
+these, the last token of the prefix is the one that is compatible with the last token of the shorter prefix before it. Two tokens are compatible if no merge across their border would come before those that made
 them, which undoing their merges one by one decides. Back-pointers from the word's end give the ids.
 
 ``word_bpe_49k`` marks a word's end in its last symbol ("x</w>"), so tokens with that mark are matched against
 the word with an end sign, all others against proper prefixes.
 
 Defined results: null texts are empty, with no ids; special tokens' own strings in a text get their ids, as the
-tokenizers library does it.
+tokenizers library does it; repeated rows and null ids are rows like others; an empty table gives an empty one; texts
+are read whole however long, a part between blanks at a time; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -38,11 +39,55 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class SuffixAutomaton:
+    """The minimal automaton of all substrings of the keys: transitions, suffix links, and the length of each state's
+    longest string. A key is the longest string of its state, since nothing precedes it where it is inserted."""
+
+    def __init__(self, keys: dict[str, int]):
+        step, link, length, value = [{}], [-1], [0], {}
+        for key, v in keys.items():
+            last = 0
+            for c in key:
+                q = step[last].get(c)
+                if q is None:
+                    new, p = len(step), last
+                    step.append({})
+                    length.append(length[last] + 1)
+                    link.append(0)
+                    while p >= 0 and (q := step[p].get(c)) is None:
+                        step[p][c] = new
+                        p = link[p]
+                    if p >= 0:
+                        link[new] = q if length[q] == length[p] + 1 else self._split(step, link, length, p, c, q)
+                    last = new
+                else:
+                    last = q if length[q] == length[last] + 1 else self._split(step, link, length, last, c, q)
+            value[last] = v
+        self.step, self.link, self.length = step, link, length
+        # For each state the keys on its chain, itself included, the longest first: their lengths and values.
+        self.ends = [()] * len(step)
+        for state in sorted(range(1, len(step)), key=length.__getitem__):
+            above = self.ends[link[state]]
+            self.ends[state] = ((length[state], value[state]), *above) if state in value else above
+
+    @staticmethod
+    def _split(step: list, link: list, length: list, p: int, c: str, q: int) -> int:
+        """A state for the strings of *q* up to the one that *p* and *c* make; what leads to these leads to it."""
+        new = len(step)
+        step.append(dict(step[q]))
+        length.append(length[p] + 1)
+        link.append(link[q])
+        link[q] = new
+        while p >= 0 and step[p].get(c) == q:
+            step[p][c] = new
+            p = link[p]
+        return new
+
+
 class PrefixEncoder:
     """Encoder and decoder for a ``tokenizers`` BPE file whose words end in a suffix."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -69,12 +114,7 @@ class PrefixEncoder:
         for t in sorted(self.rank, key=self.rank.get):
             a, b = self.parts[t]
             sound[t] = sound[a] and sound[b] and self._settled(a, b, self.rank[t])
-        self.automaton = ahocorasick.Automaton()
-        for t, i in vocab.items():
-            if t not in self.special and sound[i]:
-                key = t[: -len(suffix)] + END if t.endswith(suffix) else t
-                self.automaton.add_word(key, (i, len(key)))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton({t[: -len(suffix)] + END if t.endswith(suffix) else t: i for t, i in vocab.items() if t not in self.special and sound[i]})
         self.stable: dict[int, bool] = {}
         self.chunk = Memo(self._chunk)
 
@@ -95,24 +135,34 @@ class PrefixEncoder:
 
     def word(self, word: str) -> list[int]:
         """The ids of one pre-token."""
-        s = "".join([self.symbols[b] for b in word.encode("utf-8")])
-        n, stable = len(s), self.stable
+        s = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.symbols[b] for b in word.encode("utf-8")])
+        n, stable, automaton = len(s), self.stable, self.automaton
+        step, link, length, ends = automaton.step, automaton.link, automaton.length, automaton.ends
         last, back = [-1] * (n + 2), [0] * (n + 2)
-        for end, (token, size) in self.automaton.iter(s + END):
-            i, start = end + 1, end + 1 - size
-            if last[i] >= 0 or end == n - 1:
+        state = size = 0
+        for i, c in enumerate(s + END, 1):
+            while (to := step[state].get(c)) is None and state:
+                state = link[state]
+                size = length[state]
+            if to is None:  # no token has this symbol
+                continue
+            state, size = to, size + 1
+            if i == n:  # the last symbol's token holds the end sign too
                 continue
-            if start:
-                p = last[start]
-                key = p << 20 | token
-                ok = stable.get(key)
-                if ok is None:
-                    if len(stable) > 2_000_000:
-                        stable.clear()
-                    ok = stable[key] = self._settled(p, token)
-                if not ok:
-                    continue
-            last[i], back[i] = token, start
+            for long, token in ends[state if size == length[state] else link[state]]:
+                start = i - long
+                if start:
+                    p = last[start]
+                    key = p << 20 | token
+                    ok = stable.get(key)
+                    if ok is None:
+                        if len(stable) > 2_000_000:
+                            stable.clear()
+                        ok = stable[key] = p >= 0 and self._settled(p, token)
+                    if not ok:
+                        continue
+                last[i], back[i] = token, start
+                break
         out, i = [], n + 1
         while i > 0:
             out.append(last[i])

@@ -133,3 +133,22 @@ def test_trie_counts(spark):
         assert (got[i]["n_pretokens"], got[i]["n_tokens"], got[i]["cost_micronats"]) == (len(parts), total & mask, total >> trie_counts.SHIFT)
     assert got[7]["n_tokens"] > 0
     assert trie_counts.token_counts(awkward(spark, {})).count() == 0
+
+
+def test_suffix_automaton_names_all_keys_that_end_at_a_place():
+    import random
+
+    from foliant.llm.prefix_bpe import SuffixAutomaton
+
+    g = random.Random(3)
+    keys = {"".join(g.choices("abc", k=g.randint(1, 6))): i for i in range(150)}
+    a = SuffixAutomaton(keys)
+    for _ in range(50):
+        text, state, size = "".join(g.choices("abcd", k=30)), 0, 0
+        for i, c in enumerate(text, 1):
+            while (to := a.step[state].get(c)) is None and state:
+                state = a.link[state]
+                size = a.length[state]
+            state, size = (to, size + 1) if to is not None else (0, 0)
+            got = a.ends[state if size == a.length[state] else a.link[state]] if state else ()
+            assert list(got) == sorted(((len(k), v) for k, v in keys.items() if text[:i].endswith(k)), reverse=True)
