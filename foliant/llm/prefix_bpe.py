@@ -16,18 +16,24 @@ are read whole however long, a part between blanks at a time; columns other than
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.vocabularies import Memo, chunks, vocabulary
+from foliant.llm.vocabularies import chunks, vocabulary
 from foliant.sources.tables import table
 
+#: Letters of texts whose new words are worked out at once.
+AT_ONCE = 1 << 21
+#: Chunks that a worker's memo may hold before it starts anew; bounds memory, not results.
+MEMO_ENTRIES = 600_000
 END = "\n"  # never a symbol: byte-level symbols are printable
 
 
@@ -94,6 +100,7 @@ class PrefixEncoder:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.tokens = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        self.decimal = {i: str(i) for i in self.tokens}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words, self.blank = regex.compile(pattern), regex.compile(r"\s+")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -116,7 +123,7 @@ class PrefixEncoder:
             sound[t] = sound[a] and sound[b] and self._settled(a, b, self.rank[t])
         self.automaton = SuffixAutomaton({t[: -len(suffix)] + END if t.endswith(suffix) else t: i for t, i in vocab.items() if t not in self.special and sound[i]})
         self.stable: dict[int, bool] = {}
-        self.chunk = Memo(self._chunk)
+        self.memo: dict[str, tuple[int, str, str] | None] = {}
 
     def _settled(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether the border between adjacent tokens *a* and *b* outlives all merges of a rank below *limit*."""
@@ -133,68 +140,99 @@ class PrefixEncoder:
             else:  # equal merges go from left to right, so one across the border would come first
                 limit, b = rb + 1, parts[b][0]
 
-    def word(self, word: str) -> list[int]:
-        """The ids of one pre-token."""
-        s = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.symbols[b] for b in word.encode("utf-8")])
-        n, stable, automaton = len(s), self.stable, self.automaton
+    def words_ids(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each pre-token and its ids. In sorted order a word goes on where it parts from the one before, since what was
+        found for their common prefixes holds for both."""
+        stable, automaton = self.stable, self.automaton
         step, link, length, ends = automaton.step, automaton.link, automaton.length, automaton.ends
-        last, back = [-1] * (n + 2), [0] * (n + 2)
-        state = size = 0
-        for i, c in enumerate(s + END, 1):
-            while (to := step[state].get(c)) is None and state:
-                state = link[state]
-                size = length[state]
-            if to is None:  # no token has this symbol
-                continue
-            state, size = to, size + 1
-            if i == n:  # the last symbol's token holds the end sign too
-                continue
-            for long, token in ends[state if size == length[state] else link[state]]:
-                start = i - long
-                if start:
-                    p = last[start]
-                    key = p << 20 | token
-                    ok = stable.get(key)
-                    if ok is None:
-                        if len(stable) > 2_000_000:
-                            stable.clear()
-                        ok = stable[key] = p >= 0 and self._settled(p, token)
-                    if not ok:
-                        continue
-                last[i], back[i] = token, start
-                break
-        out, i = [], n + 1
-        while i > 0:
-            out.append(last[i])
-            i = back[i]
-        return out[::-1]
-
-    def _ids(self, chunk: str) -> list[int]:
+        symbols, settled = self.symbols, self._settled
+        coded = sorted((w if w.isascii() and w.isprintable() and " " not in w else "".join([symbols[b] for b in w.encode("utf-8")]), w) for w in words)
+        room = max((len(s) for s, _ in coded), default=0) + 2
+        last, back, states, sizes = [-1] * room, [0] * room, [0] * room, [0] * room  # by length of the prefix
+        before = ""
+        for s, word in coded:
+            i = 0
+            for x, y in zip(s, before, strict=False):
+                if x != y:
+                    break
+                i += 1
+            before, state, size = s, states[i], sizes[i]
+            for c in s[i:] + END:
+                i += 1
+                while (to := step[state].get(c)) is None and state:
+                    state = link[state]
+                    size = length[state]
+                state, size = (0, 0) if to is None else (to, size + 1)  # a symbol that no token has is left out
+                states[i], sizes[i], last[i] = state, size, -1
+                for long, token in ends[state if size == length[state] else link[state]]:
+                    start = i - long
+                    if start:
+                        p = last[start]
+                        key = p << 20 | token
+                        ok = stable.get(key)
+                        if ok is None:
+                            if len(stable) > 2_000_000:
+                                stable.clear()
+                            ok = stable[key] = p >= 0 and settled(p, token)
+                        if not ok:
+                            continue
+                    last[i], back[i] = token, start
+                    break
+            ids = []
+            while i > 0:
+                ids.append(last[i])
+                i = back[i]
+            yield word, ids[::-1]
+
+    def _pieces(self, chunk: str) -> list[str | int]:
+        """The pre-tokens of a chunk, and the ids of special tokens in it."""
+        if "<" not in chunk:
+            return self.words.findall(self._lower(chunk))
         out = []
-        for piece in self.cut.split(chunk) if "<" in chunk else (chunk,):
-            if piece in self.special:
-                out.append(self.special[piece])
-                continue
-            if not piece.isascii():
-                piece = self.blank.sub(" ", unicodedata.normalize("NFC", piece))
-                piece = "".join([c.lower() for c in piece])  # letter by letter: a final sigma is an inner one here
-            else:
-                piece = piece.lower()
-            for w in self.words.findall(piece):
-                out += self.word(w)
+        for piece in self.cut.split(chunk):
+            out += (self.special[piece],) if piece in self.special else self.words.findall(self._lower(piece))
         return out
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str] | None:
-        """The number of ids, the ids in decimal, and their decoded text; None if there are no ids."""
-        ids = self._ids(chunk)
-        return (len(ids), " ".join(map(str, ids)), self.decode(ids)) if ids else None
+    def _lower(self, piece: str) -> str:
+        if piece.isascii():
+            return piece.lower()
+        piece = unicodedata.normalize("NFC", piece)
+        if not piece.isprintable():  # no blank but the space is
+            piece = self.blank.sub(" ", piece)
+        # Letter by letter where it matters: a final sigma is an inner one here.
+        return "".join([c.lower() for c in piece]) if "\u03a3" in piece else piece.lower()
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        decimal = self.decimal
+        return len(ids), " ".join([decimal[i] for i in ids]), self.decode(ids)
+
+    def learn(self, parts: Iterable[str]) -> dict[str, tuple[int, str, str] | None]:
+        """The memo with all of *parts* in it, chunks each of which has a number of ids, the ids in decimal, and their
+        decoded text; None if there are no ids."""
+        memo = self.memo
+        new = {c for c in parts if c not in memo}
+        if len(memo) + len(new) > MEMO_ENTRIES:
+            memo.clear()
+            new = set(parts)
+        pieces = {c: self._pieces(c) for c in new}
+        of = {w: self._entry(ids) for w, ids in self.words_ids({w for found in pieces.values() for w in found if w.__class__ is str})}
+        for c, found in pieces.items():
+            if len(found) == 1 and found[0] in of:
+                memo[c] = of[found[0]]
+            else:
+                whole = [of[w] if w.__class__ is str else self._entry([w]) for w in found]
+                memo[c] = (sum([x[0] for x in whole]), " ".join([x[1] for x in whole]), " ".join([x[2] for x in whole])) if whole else None
+        return memo
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for c in chunks(text) if (got := self.chunk[c]) for x in got[1].split(" ")]
+        parts = chunks(text)
+        memo = self.learn(parts)
+        return [int(x) for c in parts if (got := memo[c]) for x in got[1].split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """As the library does it for a file without a decoder: the tokens with spaces between them."""
-        return " ".join([self.tokens[i] for i in ids])
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -203,21 +241,41 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
+def _texts(column: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about AT_ONCE letters; nulls are empty."""
+    some, size = [], 0
+    for text in column:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size > AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def encoded(docs: DataFrame, name: str = "word_bpe_49k.json", directory: str | None = None) -> DataFrame:
     """One row a document: number and digest of its ids, digest of what they decode to; map-only."""
 
     def run(batches):
         from foliant.llm.prefix_bpe import encoder
 
-        memo = encoder(vocabulary(name, directory)).chunk
-        for batch in batches:
-            counts, ids, texts = [], [], []
-            for text in batch.column(1):
-                parts = list(filter(None, [memo[c] for c in chunks(text.as_py() or "")]))
-                counts.append(sum([p[0] for p in parts]))
-                ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                texts.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        known = encoder(vocabulary(name, directory))
+        gc.disable()  # nothing here refers to itself, and the collector would walk the memo again and again
+        try:
+            for batch in batches:
+                counts, ids, texts = [], [], []
+                for some in _texts(batch.column(1)):
+                    divided = [chunks(text) for text in some]
+                    memo = known.learn({c for parts in divided for c in parts})
+                    for parts in divided:
+                        found = list(filter(None, map(memo.__getitem__, parts)))
+                        counts.append(sum([p[0] for p in found]))
+                        ids.append(hashlib.sha256(" ".join([p[1] for p in found]).encode()).hexdigest())
+                        texts.append(hashlib.sha256(" ".join([p[2] for p in found]).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
