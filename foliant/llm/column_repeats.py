@@ -61,7 +61,7 @@ BOUND = 256
 #: Anchors with more than this share of all segments (so fewer than 1,000 of them) are told to all tasks.
 SHARE = 1000
 #: Bytes of text that are hashed at once, and bytes of segments that are sorted at once.
-PIECE, COLLECTION = 1 << 18, 1 << 22
+PIECE, COLLECTION = 1 << 18, 1 << 21
 _PLACE = 22  # bits of a place within a piece
 _WORD = 8  # bytes of a word's hash
 
@@ -114,16 +114,26 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, anchors: int) -
 _E = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "doc_id", "rk", "base", "pos")] + [T.StructField(c, T.IntegerType()) for c in ("windows", "place")] + [T.StructField("many", T.BooleanType())])
 
 
-def _evidence(strings: DataFrame, length: int, anchors: int) -> DataFrame:
+def _in_words(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """*batch*, in parts, with the hashes of their words for texts in its last column."""
+    for at, end, data, offsets in pieces(batch.columns[-1]):
+        starts, ends = word_spans(data, offsets)
+        bounds = (np.searchsorted(starts, offsets) * _WORD).astype(np.int32)
+        code = pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(hashes(data, starts, ends, BYTE).tobytes())])
+        yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns[:-1]), code], names=batch.schema.names)
+
+
+def _evidence(strings: DataFrame, length: int, anchors: int, words: bool = False) -> DataFrame:
     """Rows with a key: segments, one of those that a piece of a text repeats. Rows without: the windows of these.
 
-    The shorter the runs of windows, the more rows a byte gives, and the smaller the pieces.
+    The shorter the runs of windows, the more rows a byte gives, and the smaller the pieces. With *words* the hashes of
+    words stand for texts.
     """
     most = max(512, PIECE * (anchors + 24) // (LEVELS[0] + 24))
 
     def run(batches):
         release_memos()
-        for batch in batches:
+        for batch in (part for whole in batches for part in (_in_words(whole) if words else (whole,))):
             ids, rk, base, many = (batch.column(i) for i in range(4))
             for at, end, data, offsets in pieces(batch.column(4), most):
                 # A text longer than a piece is cut into overlapping parts; each window is in one of them.
@@ -327,24 +337,25 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rk"), raw.alias("text"))
 
 
-def _in_words(strings: DataFrame) -> DataFrame:
+def _word_texts(strings: DataFrame) -> DataFrame:
     """*strings* with the hashes of their words for texts."""
 
     def run(batches):
         release_memos()
         for batch in batches:
-            for at, end, data, offsets in pieces(batch.column(2)):
-                starts, ends = runs(~BLANK[data], offsets)
-                bounds = (np.searchsorted(starts, offsets) * _WORD).astype(np.int32)
-                code = pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(hashes(data, starts, ends, BYTE).tobytes())])
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns[:2]), code], names=batch.schema.names)
+            yield from _in_words(batch)
 
     return strings.mapInArrow(run, strings.schema)
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words: what stands between blanks."""
+    return runs(~BLANK[data], offsets)
+
+
 def word_places(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The bytes of *raw* where the words are that *spans* cover whole in the text of their hashes."""
-    starts, ends = runs(~BLANK[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
+    starts, ends = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     whole = [(-(-s // _WORD), e // _WORD) for s, e in spans]
     return [(int(starts[a]), int(ends[b - 1])) for a, b in whole]
 
@@ -388,13 +399,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     With *words* the length is one in words, and the spans are places in the text of their hashes.
     """
     scratch = Scratch(docs.sparkSession)
-    strings = _keyed(docs, doc_id, text)
-    if words:
-        strings, length = _in_words(strings), length * _WORD
-    strings = strings.withColumn("base", F.lit(0).cast("long")).withColumn("many", F.lit(False))
+    plain = _keyed(docs, doc_id, text).select("doc_id", "rk", F.lit(0).cast("long").alias("base"), F.lit(False).alias("many"), "text")
+    strings, length = (_word_texts(plain), length * _WORD) if words else (plain, length)
     marks = []
     for number, share in enumerate(LEVELS):
-        seen = scratch.save(_evidence(strings, length, max(1, length * share // LENGTH)))
+        coded = words and not number  # from the second level on strings are parts of the hashes of words
+        seen = scratch.save(_evidence(plain if coded else strings, length, max(1, length * share // LENGTH), coded))
         marks.append(scratch.save(seen.filter("key IS NULL").select("doc_id", "rk", F.col("pos").alias("s"), (F.col("pos") + F.col("windows") + (length - 1)).alias("e"))))
         shared = _shared(seen, scratch)
         scratch.drop(seen)
@@ -414,6 +424,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         if hot is None or hot.isEmpty():
             break
         strings = hot
+    scratch.sweep()
     union = marks[0]
     for m in marks[1:]:
         union = union.unionByName(m)
@@ -430,7 +441,7 @@ def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
 
 def merged_rows(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
     """The merged spans of each row, read as arrays; a row may hold one for each of its windows."""
-    bounds, values = column.offsets.to_numpy().tolist(), column.values
+    bounds, values = column.offsets.to_numpy().tolist(), column.values  # of a slice only its own rows' offsets
     s, e = (values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         yield merged(s[a:b], e[a:b]) if b > a else []
@@ -470,7 +481,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
 
     def run(batches):
         release_memos()
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             columns = list(batch.columns[:-2])
             new = columns[place].to_pylist()
             for i, (spans, in_words) in enumerate(zip(*map(merged_rows, batch.columns[-2:]), strict=True)):

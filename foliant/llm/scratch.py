@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -60,6 +61,11 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def sweep(self) -> None:
+        """Asks the driver for its garbage: shuffle files go only once nothing there refers to their plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         if self.spark.sparkContext._jsc is not None:
             self._delete(self.folder)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.byte_words import BLANK, hashes, pieces, spans
 from foliant.llm.labelled import remainder, sample, sampled, with_scores
+from foliant.llm.vocabularies import release_memos
 from foliant.sources.tables import table
 
 ORDER = 4
@@ -285,6 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     rows = sampled(docs, chosen)
 
     def words_of(batches):
+        release_memos()
         for batch in batches:
             ys, ws = [], []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -306,6 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
         return Model([], np.array([0.0]), 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
 
     def describe(batches):
+        release_memos()
         kernels, known = Kernels(landmarks), {}
         for batch in batches:
             ids, ys, places, vectors = [], [], [], []
@@ -416,7 +419,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None,
 
     def scorer():
         from foliant.llm.string_kernel import Scorer
-        from foliant.llm.vocabularies import release_memos
 
         release_memos()
         return Scorer(model)

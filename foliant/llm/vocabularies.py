@@ -6,9 +6,13 @@ them is copied.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 
+import pyarrow as pa
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 #: Entries that a worker's memo of encoded chunks may hold before it starts anew; bounds memory, not results.
 MEMO_ENTRIES = 300_000
 
@@ -41,8 +45,12 @@ class Memo(dict):
 
 
 def release_memos() -> None:
-    """Empties what token operators keep in this worker between tasks, before another operator needs the memory."""
+    """Empties what token operators keep in this worker between tasks, and gives freed memory back, before another
+    operator needs it."""
     for module, cache in (("differencing_pack", "unit_ids"), ("prefix_bpe", "encoder"), ("trie_counts", "trie")):
         loaded = sys.modules.get(f"foliant.llm.{module}")
         if loaded is not None:
             getattr(loaded, cache).cache_clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
