@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.textnorm import WORD_BREAK, bigrams, distinct_words, let, normalize, ratio, strip_marks
+from foliant.functions.textnorm import WORD_BREAK, bigrams, distinct_words, let, normalize, ratio, split_words, strip_marks
 
 #: Longest text, in letters, for which the table-filling built-in distance is used.
 SHORT = 512
@@ -68,54 +68,72 @@ def relative_length(extracted: Column, gold: Column) -> Column:
     return ratio(F.length(extracted), F.length(gold), 0.0)
 
 
-def valid_word(word: Column) -> Column:
-    """Whether a word in its first spelling looks like one of a language.
+def valid_word(word: Column, plain: Column | None = None) -> Column:
+    """Whether a word in its first spelling looks like one of a language; *plain* is the word in lower case without marks.
 
     2 to 25 letters; capitals of at most 5 with a Latin capital are an abbreviation; otherwise only a-z once marks are
     off, with a vowel, no five consonants in a row, and vowels between 15 and 85 in a hundred.
     """
+    plain = folded_word(word) if plain is None else plain
+    n, vowels = F.length(plain), F.length(F.regexp_replace(plain, "[^aeiouy]", ""))
+    right = plain.rlike("^[a-z]+$") & ~plain.rlike("[bcdfghjklmnpqrstvwxz]{5}") & (vowels > 0) & (vowels / n >= 0.15) & (vowels / n <= 0.85)
+    short = (F.length(word) <= 5) & (word == F.upper(word)) & word.rlike("[A-Z]")
+    return F.length(word).between(2, 25) & (short | right)
 
-    def looks_right(plain: Column) -> Column:
-        n, vowels = F.length(plain), F.length(F.regexp_replace(plain, "[^aeiouy]", ""))
-        return plain.rlike("^[a-z]+$") & (vowels > 0) & ~plain.rlike("[bcdfghjklmnpqrstvwxz]{5}") & (vowels / n >= 0.15) & (vowels / n <= 0.85)
 
-    short = (F.length(word) <= 5) & (word == F.upper(word)) & word.rlike("[A-Z]")
-    return F.length(word).between(2, 25) & (short | let(F.lower(strip_marks(word)), looks_right))
+def folded_word(word: Column) -> Column:
+    """A word in lower case without marks."""
+    return F.lower(strip_marks(word))
 
 
-def surplus_words(extracted: Column, gold: Column) -> Column:
-    """The words that the extracted text has beyond the gold's, each in the spelling that comes first.
+def spelled_words(text: Column) -> Column:
+    """The words of a raw text as they stand there."""
+    return F.array_remove(F.split(text, WORD_BREAK), "")
+
+
+def surplus_pairs(spelled: Column, gold_words: Column) -> Column:
+    """Folded words of *spelled* that the gold's distinct words lack, each (f) with the spelling (w) that comes first.
 
     The raw text is split first and words are folded after, so marks of decomposed letters break words.
     """
 
-    def new(spelled: Column, folded: Column, known: Column) -> Column:
-        more = F.filter(F.array_distinct(folded), lambda w: (F.length(w) > 0) & ~F.array_contains(known, w))
-        return F.transform(more, lambda w: F.element_at(spelled, F.array_position(folded, w).cast("int")))
+    def new(folded: Column) -> Column:
+        more = F.array_except(F.array_remove(folded, ""), gold_words)
+        return F.transform(more, lambda f: F.struct(f.alias("f"), F.element_at(spelled, F.array_position(folded, f).cast("int")).alias("w")))
 
-    def with_folded(spelled: Column) -> Column:
-        folded = F.transform(spelled, lambda w: F.lower(strip_marks(w)))
-        return let(folded, lambda f: let(distinct_words(gold), lambda k: new(spelled, f, k)))
+    return let(F.transform(spelled, folded_word), new)
 
-    return let(F.filter(F.split(extracted, WORD_BREAK), lambda w: F.length(w) > 0), with_folded)
+
+def surplus_words(extracted: Column, gold: Column) -> Column:
+    """The words that the extracted text has beyond the gold's, each in the spelling that comes first."""
+    return F.transform(surplus_pairs(spelled_words(extracted), distinct_words(gold)), lambda x: x["w"])
+
+
+def pairs_quality(pairs: Column) -> Column:
+    """Share of valid words among ``surplus_pairs``; 1 without any."""
+    return ratio(F.size(F.filter(pairs, lambda x: valid_word(x["w"], x["f"]))), F.size(pairs), 1.0)
 
 
 def surplus_quality(extracted: Column, gold: Column) -> Column:
     """Share of valid words among the surplus; 1 without surplus."""
-    return let(surplus_words(extracted, gold), lambda new: ratio(F.size(F.filter(new, valid_word)), F.size(new), 1.0))
+    return let(surplus_pairs(spelled_words(extracted), distinct_words(gold)), pairs_quality)
 
 
 def with_metrics(df: DataFrame, extracted: str, gold: str) -> DataFrame:
-    """*df* with the five metrics as columns of their own, so that unused ones are pruned."""
-    a, b = normalize(F.col(extracted)), normalize(F.col(gold))
-    base = df.withColumns({"_a": a, "_b": b})
+    """*df* with the five metrics as columns of their own, so that unused ones are pruned.
+
+    What several metrics need is projected first: normalized texts, their distinct words, their bigrams, the surplus.
+    """
+    base = df.withColumns({"_a": normalize(F.col(extracted)), "_b": normalize(F.col(gold))})
+    base = base.withColumns({"_wa": F.array_distinct(split_words(F.col("_a"))), "_wb": F.array_distinct(split_words(F.col("_b"))), "_ba": bigrams(F.col("_a")), "_bb": bigrams(F.col("_b")), "_s": spelled_words(F.col(extracted))})
+    base = base.withColumns({"_u": surplus_pairs(F.col("_s"), F.col("_wb")), "_n": F.size(F.array_intersect("_ba", "_bb"))})
     return base.withColumns({
         "sim_lev": edit_similarity(F.col("_a"), F.col("_b")),
-        "cov": coverage(distinct_words(F.col(extracted)), distinct_words(F.col(gold))),
-        "sim_bi": jaccard(bigrams(F.col("_a")), bigrams(F.col("_b"))),
+        "cov": coverage(F.col("_wa"), F.col("_wb")),
+        "sim_bi": ratio(F.col("_n"), F.size("_ba") + F.size("_bb") - F.col("_n"), 1.0),
         "rel_len": relative_length(F.col("_a"), F.col("_b")),
-        "excess_q": surplus_quality(F.col(extracted), F.col(gold)),
-    }).drop("_a", "_b")
+        "excess_q": pairs_quality(F.col("_u")),
+    }).drop("_a", "_b", "_wa", "_wb", "_ba", "_bb", "_s", "_u", "_n")
 
 
 def shared_words(extracted: DataFrame, gold: DataFrame, extracted_id: str, gold_id: str, text: str = "text") -> DataFrame:

@@ -51,7 +51,8 @@ def normalize(text: Column) -> Column:
 
 def split_words(folded: Column, least: int = 1) -> Column:
     """Words of a folded text, those of at least *least* letters."""
-    return F.filter(F.split(folded, WORD_BREAK), lambda w: F.length(w) >= least)
+    parts = F.array_remove(F.split(folded, WORD_BREAK), "")
+    return parts if least <= 1 else F.filter(parts, lambda w: F.length(w) >= least)
 
 
 def words(text: Column) -> Column:
@@ -64,14 +65,11 @@ def distinct_words(text: Column) -> Column:
 
 
 def bigrams(normalized: Column) -> Column:
-    """Distinct pairs of neighbouring characters, blanks and marks included."""
+    """Distinct pairs of neighbouring characters, blanks and marks included.
 
-    def of(t: Column) -> Column:
-        n = F.length(t)
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-        return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
-
-    return let(normalized, of)
+    One pass of a pattern that looks ahead; taking substrings by place would read the text anew for each of them.
+    """
+    return F.array_distinct(F.coalesce(F.regexp_extract_all(normalized, F.lit("(?s)(?=(..))"), 1), F.array().cast("array<string>")))
 
 
 def half_up(x: Column) -> Column:

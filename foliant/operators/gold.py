@@ -39,7 +39,11 @@ def refused(stop_reason: Column, tokens_in: Column, tokens_out: Column) -> Colum
 
 
 def rate_limited(error: Column) -> Column:
-    return F.coalesce(error.contains("429") | error.contains("rate_limit"), F.lit(False))
+    return F.coalesce(F.lower(error).rlike("429|rate_limit"), F.lit(False))
+
+
+def _limited(error: str) -> bool:
+    return any(mark in error.lower() for mark in ("429", "rate_limit"))
 
 
 def call_pages(ranges: DataFrame, client: Callable[[], GoldClient], wait: Callable[[float], None] = time.sleep) -> DataFrame:
@@ -59,10 +63,10 @@ def call_pages(ranges: DataFrame, client: Callable[[], GoldClient], wait: Callab
                         break
                     except Exception as e:  # noqa: BLE001  the client's failure is the row's error
                         error = str(e)
-                        if not ("429" in error or "rate_limit" in error) or turn == RETRIES:
+                        if not _limited(error) or turn == RETRIES:
                             break
                         wait(FIRST_WAIT * 2**turn)
-                if error and ("429" in error or "rate_limit" in error):
+                if error and _limited(error):
                     error = f"RATE_LIMIT: {error}"
                 rows.append((r.doc, r.start, r.end, r.depth, got.get("text", ""), got.get("tokens_in", 0), got.get("tokens_out", 0), got.get("stop_reason"), error))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")])
@@ -126,3 +130,31 @@ def bisection_tree(spark: SparkSession, pages: int) -> DataFrame:
           SELECT IF(h.k = 0, first, first + (last - first) DIV 2), IF(h.k = 0, first + (last - first) DIV 2, last), depth + 1
           FROM t CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) h WHERE last - first > 1 AND depth < {MOST_DEPTH})
         SELECT first, last, depth FROM t""")
+
+
+#: What the model is asked when the caller gives no prompt.
+PROMPT = "Transcribe all text of these pages in reading order, images of text included. Answer with the text alone."
+
+
+class OfflineClient:
+    """A client without a model: the files' own text, so that runs need no network. Tokens are counted as words."""
+
+    def __init__(self, pages: dict[str, list[str]], prompt: str = PROMPT):
+        self.pages, self.prompt = pages, prompt
+
+    def __call__(self, doc: str, start: int, end: int) -> dict:
+        text = PAGE_BREAK.join(self.pages[doc][start:end])
+        return {"text": text, "tokens_in": len(self.prompt.split()), "tokens_out": len(text.split()), "stop_reason": "end_turn"}
+
+
+def metadata_rows(assembled: DataFrame, seconds: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of the gold metadata, in the published names: those with an error have no characters and no chunks."""
+    rows = assembled.join(counts, "doc").join(seconds, "doc", "left")
+    failed = F.col("refused") | F.col("partial")
+    first = F.filter("chunks", lambda c: c["error"].isNotNull())[0]["error"]
+    chunks = F.transform("chunks", lambda c: F.struct(c["pages"].alias("paginas"), c["depth"].alias("depth"), c["stop_reason"].alias("stopReason"), c["error"].alias("erro"), c["was_split"].alias("foiDividido")))
+    return rows.select(
+        "doc", F.col("num_pages").cast("int").alias("numPaginas"), F.when(~failed, F.length("text")).cast("int").alias("numCaracteres"), places(F.coalesce("seconds", F.lit(0.0)), 2).alias("tempoSegundos"),
+        F.col("tokens_in").alias("tokensInput"), F.col("tokens_out").alias("tokensOutput"), F.col("cost_usd").alias("custoUsd"), F.when(~failed, F.col("num_chunks")).cast("int").alias("numChunks"),
+        F.when(~failed, chunks).alias("chunks"), F.when(failed, first).alias("erro"), F.when(failed, F.col("refused")).alias("recusaDetectada"),
+    )

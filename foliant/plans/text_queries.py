@@ -111,9 +111,9 @@ def q_relative_length(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, count(*) AS n_words, CAST(count(*) FILTER ({duck.valid_word("w")}) AS BIGINT) AS n_valid FROM w GROUP BY doc_id""")
 def q_word_validity(spark: SparkSession, d: str) -> DataFrame:
     """Words of every document that look like words of a language."""
-    spelled = F.filter(F.split("text", n.WORD_BREAK), lambda w: F.length(w) > 0)
-    rows = table(spark, d, "documents").select("doc_id", F.explode(spelled).alias("w"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(m.valid_word(F.col("w"))).alias("n_valid"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(m.spelled_words(F.col("text"))).alias("w"))
+    rows = rows.select("doc_id", "w", m.folded_word(F.col("w")).alias("f"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(m.valid_word(F.col("w"), F.col("f"))).alias("n_valid"))
 
 
 _SURPLUS = f"""
@@ -127,8 +127,9 @@ s AS (SELECT p.conv_id, p.turn, coalesce(q.n, 0) AS n_surplus, {duck.places("CAS
 
 @query(f"WITH {duck.PAIRS}, {_SURPLUS} SELECT conv_id, turn, CAST(n_surplus AS BIGINT) AS n_surplus, excess_q FROM s")
 def q_surplus_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = turn_pairs(spark, d).withColumn("u", m.surplus_words(F.col("extracted"), F.col("gold")))
-    return rows.select("conv_id", "turn", long(F.size("u")).alias("n_surplus"), n.places(n.ratio(F.size(F.filter("u", m.valid_word)), F.size("u"), 1.0), 4).alias("excess_q"))
+    rows = turn_pairs(spark, d).select("conv_id", "turn", m.spelled_words(F.col("extracted")).alias("s"), n.distinct_words(F.col("gold")).alias("g"))
+    rows = rows.select("conv_id", "turn", m.surplus_pairs(F.col("s"), F.col("g")).alias("u"))
+    return rows.select("conv_id", "turn", long(F.size("u")).alias("n_surplus"), n.places(m.pairs_quality(F.col("u")), 4).alias("excess_q"))
 
 
 @query(f"""WITH {duck.PAIRS}, {_SURPLUS},

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -29,7 +30,7 @@ COMMANDS = {
 
 
 def convert(files: DataFrame, command: list[str], suffix: str = ".md", timeout: int = 1800) -> DataFrame:
-    """doc, text and error of each binary file (doc, content) by a command that writes a text file.
+    """doc, text, error and seconds of each binary file (doc, content) by a command that writes a text file.
 
     Each call has a folder of its own, which goes when it is read. A missing command, a failing one and one that
     writes nothing give an error and no text.
@@ -41,7 +42,7 @@ def convert(files: DataFrame, command: list[str], suffix: str = ".md", timeout:
         for batch in batches:
             rows = []
             for doc, content in zip(batch["doc"], batch["content"], strict=True):
-                text, error = "", None
+                text, error, began = "", None, time.perf_counter()
                 with tempfile.TemporaryDirectory() as folder:
                     pdf, out = os.path.join(folder, "in.pdf"), os.path.join(folder, "out")
                     os.mkdir(out)
@@ -59,14 +60,16 @@ def convert(files: DataFrame, command: list[str], suffix: str = ".md", timeout:
                                 text = f.read()
                     except (OSError, subprocess.TimeoutExpired) as e:
                         error = f"{type(e).__name__}: {e}"
-                rows.append((doc, text, error))
-            yield pd.DataFrame(rows, columns=["doc", "text", "error"])
+                rows.append((doc, text, error, time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["doc", "text", "error", "seconds"])
 
-    return files.select("doc", "content").mapInPandas(run, "doc string, text string, error string")
+    return files.select("doc", "content").mapInPandas(run, "doc string, text string, error string, seconds double")
 
 
 def recognize(images: DataFrame, engine: Callable[[], OcrEngine], scales: tuple[float, ...] = (1.0,), binarize: bool = False, model: str = "standard") -> DataFrame:
-    """OCR words of distinct images (hash, width, height, channels, bytes); the engine starts with the first image.
+    """OCR words of distinct images (hash, width, height, channels, bytes, maybe format); the engine starts with the first.
+
+    Pixels are binarized and scaled and go to the engine as PNG; JPEG files go to it as they are.
 
     An image that fails has no words.
     """
@@ -83,14 +86,18 @@ def recognize(images: DataFrame, engine: Callable[[], OcrEngine], scales: tuple[
                 for scale in scales:
                     try:
                         ocr = ocr or engine()
-                        rgba = png.to_rgba(r.bytes, r.width, r.height, r.channels)
-                        words = ocr(png.encode(png.scaled(png.binarized(rgba) if binarize else rgba, scale)))
+                        if getattr(r, "format", "raw") != "raw":  # an image file of its own, which the engine reads
+                            words = ocr(bytes(r.bytes))
+                        else:
+                            rgba = png.to_rgba(r.bytes, r.width, r.height, r.channels)
+                            words = ocr(png.encode(png.scaled(png.binarized(rgba) if binarize else rgba, scale)))
                     except Exception:  # noqa: BLE001  a failing image is left out
                         words = []
                     rows += [(r.hash, model, binarize, scale, i, w, c) for i, (w, c) in enumerate(words)]
             yield pd.DataFrame(rows, columns=["hash", "model", "prep", "scale", "word_idx", "text", "confidence"])
 
-    return images.dropDuplicates(["hash"]).select("hash", "width", "height", "channels", "bytes").mapInPandas(run, "hash string, model string, prep boolean, scale double, word_idx int, text string, confidence double")
+    columns = ["hash", "width", "height", "channels", "bytes", *(["format"] if "format" in images.columns else [])]
+    return images.dropDuplicates(["hash"]).select(*columns).mapInPandas(run, "hash string, model string, prep boolean, scale double, word_idx int, text string, confidence double")
 
 
 def recognize_pages(files: DataFrame, wanted: DataFrame, render: Callable[[], Renderer], engine: Callable[[], OcrEngine], scale: float = 2.0, renderer: str = "mupdf") -> DataFrame:

@@ -8,6 +8,7 @@ graphics state that places them. Encrypted files and other filters raise; the ta
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from dataclasses import dataclass, field
 
@@ -18,6 +19,10 @@ _SPACE, _DELIM = b" \t\r\n\f\0", b"()<>[]{}/%"
 _TOKEN = re.compile(rb"[^ \t\r\n\f\0()<>\[\]{}/%]+")
 
 
+#: Filters whose streams are image files of their own (fixed values).
+JPEG = {"DCTDecode": "jpeg", "DCT": "jpeg", "JPXDecode": "jpx"}
+
+
 class Name(str):
     """A PDF name."""
 
@@ -35,10 +40,11 @@ class Stream:
     info: dict
     raw: bytes
 
-    def data(self) -> bytes:
+    def data(self, all_but_last: bool = False) -> bytes:
+        """The bytes unpacked; with *all_but_last* the last filter's own form is left as it is."""
         kinds = self.info.get("Filter", [])
-        out = self.raw
-        for kind in kinds if isinstance(kinds, list) else [kinds]:
+        out, kinds = self.raw, kinds if isinstance(kinds, list) else [kinds]
+        for kind in kinds[:-1] if all_but_last else kinds:
             if kind not in ("FlateDecode", "Fl"):
                 raise ValueError(f"filter {kind}")
             out = zlib.decompressobj().decompress(out)
@@ -202,7 +208,8 @@ class Document:
             raise ValueError("encrypted")
         if root is None:
             raise ValueError("no catalog")
-        self.pages = [self._page(p) for p in self._leaves(root.get("Pages"), {})]
+        self.root = root
+        self.pages = [self._page(p) for p in self.leaves()]
 
     def get(self, x):
         for _ in range(32):
@@ -211,6 +218,10 @@ class Document:
             x = self.objects.get(int(x))
         return None
 
+    def leaves(self) -> list[dict]:
+        """The dictionaries of the pages, with what they inherit."""
+        return list(self._leaves(self.root.get("Pages"), {}))
+
     def _leaves(self, node, inherited: dict, depth: int = 0):
         node = self.get(node)
         if not isinstance(node, dict) or depth > 64:
@@ -322,15 +333,19 @@ def _read(files: DataFrame, schema: str, rows) -> DataFrame:
 
 
 def read_pages(files: DataFrame) -> DataFrame:
-    """Pages of binary files (doc, content): page_idx, text, width, height; a file that can't be read is one row with an error."""
+    """Pages of binary files (doc, content): page_idx, text, width, height, and the seconds that reading the file took; a
+    file that can't be read is one row with an error."""
 
     def rows(doc, content):
+        start = time.perf_counter()
         try:
-            return [(doc, i, p.text(), p.width, p.height, None) for i, p in enumerate(Document(content).pages)]
+            got = [(doc, i, p.text(), p.width, p.height, None) for i, p in enumerate(Document(content).pages)]
         except Exception as e:  # noqa: BLE001  any damage is the row's error
-            return [(doc, None, None, None, None, f"{type(e).__name__}: {e}")]
+            got = [(doc, None, None, None, None, f"{type(e).__name__}: {e}")]
+        seconds = time.perf_counter() - start
+        return [(*r, seconds) for r in got]
 
-    return _read(files, "doc string, page_idx int, text string, width double, height double, error string", rows)
+    return _read(files, "doc string, page_idx int, text string, width double, height double, error string, seconds double", rows)
 
 
 def read_items(files: DataFrame) -> DataFrame:
@@ -346,23 +361,30 @@ def read_items(files: DataFrame) -> DataFrame:
 
 
 def read_images(files: DataFrame) -> DataFrame:
-    """Images on pages with their bytes' hash; an image that can't be decoded has no bytes, an unreadable file no rows."""
+    """Images on pages with their bytes' hash: pixels ("raw"), or the whole file of a JPEG ("jpeg", "jpx") as it is stored.
+
+    An image in another form, or one that can't be unpacked, and an unreadable file have no rows.
+    """
 
     def rows(doc, content):
         out = []
         try:
             for i, p in enumerate(Document(content).pages):
                 for k, image in enumerate(p.images):
+                    stream = image["stream"]
+                    last = stream.info.get("Filter", [])
+                    last = last[-1] if isinstance(last, list) and last else last
+                    form = JPEG.get(last if isinstance(last, str) else None, "raw")
                     try:
-                        data = image["stream"].data()
+                        data = stream.data(all_but_last=form != "raw")
                     except (ValueError, zlib.error):
                         continue
-                    out.append((doc, i, k, image["width"], image["height"], image["channels"], data))
+                    out.append((doc, i, k, image["width"], image["height"], image["channels"], data, form))
         except Exception:  # noqa: BLE001
             return []
         return out
 
-    return _read(files, "doc string, page_idx int, img_idx int, width int, height int, channels int, bytes binary", rows).withColumn("hash", F.sha2("bytes", 256))
+    return _read(files, "doc string, page_idx int, img_idx int, width int, height int, channels int, bytes binary, format string", rows).withColumn("hash", F.sha2("bytes", 256))
 
 
 def read_operators(files: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ metric is 0 and the tenth is the error; rows of fewer fields are left out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +17,14 @@ from foliant.operators.scoreboard import METRICS, RESULT
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The result table at *path*; an empty one if nothing is there."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], RESULT)
     names = [f.name for f in RESULT.fields]
     raw = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad", T.StringType())])
@@ -37,9 +39,29 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(rows: DataFrame, path: str) -> None:
-    """*rows* as CSV with fixed decimals."""
+    """*rows* as one CSV file with fixed decimals, in a folder; a table of scores is small (a row for each run)."""
     shown = rows.withColumns({"tempo_seg": F.format_string("%.3f", "tempo_seg")} | {m: F.format_string("%.4f", m) for m in METRICS} | {"erro": F.coalesce("erro", F.lit(""))})
-    shown.select(*[f.name for f in RESULT.fields]).write.mode("overwrite").options(**_CSV, emptyValue='""', quoteAll=False).csv(path)
+    shown.select(*[f.name for f in RESULT.fields]).coalesce(1).write.mode("overwrite").options(**_CSV, emptyValue='""', quoteAll=False).csv(path)
+
+
+def replace_results(rows: DataFrame, path: str) -> None:
+    """``write_results`` for rows that may have been read from *path*: written beside it and then put in its place."""
+    spark, beside = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    write_results(rows, beside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(hadoop.Path(path), True)
+    system.rename(hadoop.Path(beside), hadoop.Path(path))
+
+
+def write_value(spark: SparkSession, value: str, path: str) -> None:
+    """One small text as a file of its own."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    out = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop.Path(path), True)
+    try:
+        out.write(bytearray(value.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def averages_json(rows: DataFrame, key: str) -> DataFrame:
@@ -49,14 +71,43 @@ def averages_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.to_json(F.struct(F.map_from_entries(entries).alias("porExtrator"))).alias("value"))
 
 
+def _one_file_each(spark: SparkSession, path: str, into: str, suffix: str) -> None:
+    """Moves the only file of each folder ``name=value`` of *path* to *into*/value.suffix, over an older one.
+
+    Only names pass the driver, a few bytes for each document; the files stay where they are.
+    """
+    hadoop, jvm = spark._jvm.org.apache.hadoop.fs, spark._jvm
+    there = hadoop.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(into))
+    for folder in system.listStatus(there):
+        name = folder.getPath().getName()
+        if "=" not in name:
+            continue
+        value = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.split("=", 1)[1])
+        for part in system.listStatus(folder.getPath()):
+            if part.getPath().getName().startswith("part-"):
+                to = hadoop.Path(hadoop.Path(into), value.replace("/", "_") + suffix)
+                system.delete(to, False)
+                system.rename(part.getPath(), to)
+    system.delete(there, True)
+
+
 def write_json(rows: DataFrame, path: str, by: str) -> None:
-    """One folder of JSON for each document."""
-    rows.write.mode("overwrite").partitionBy(by).json(path)
+    """A file <document>.json for each row below *path*; files of other documents stay."""
+    part = f"{path.rstrip('/')}/.parts-{uuid.uuid4().hex}"
+    rows.write.partitionBy(by).json(part)
+    _one_file_each(rows.sparkSession, part, path, ".json")
 
 
 def write_texts(texts: DataFrame, path: str, by: str = "doc", text: str = "text") -> None:
-    """One folder of text for each document."""
-    texts.select(by, F.col(text).alias("value")).write.mode("overwrite").partitionBy(by).option("lineSep", "\n").text(path)
+    """A file <document>.txt for each row below *path*, which ``scan_gold`` reads back; files of other documents stay.
+
+    Each file ends with a line feed.
+    """
+    part = f"{path.rstrip('/')}/.parts-{uuid.uuid4().hex}"
+    texts.select(by, F.col(text).alias("value")).write.partitionBy(by).option("lineSep", "\n").text(part)
+    _one_file_each(texts.sparkSession, part, path, ".txt")
 
 
 ENTRY = "struct<tipo:string,area:string,fonte:string,temImagens:boolean,copyright:boolean,notas:string>"
@@ -76,9 +127,30 @@ def read_gold_metadata(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", f"map<string,{GOLD}>")).alias("doc", "m")).select("doc", "m.*")
 
 
+def gold_metadata_json(rows: DataFrame, by: str = "doc") -> DataFrame:
+    """One row: an object of the rows' metadata by document, empty fields left out."""
+    rest = F.struct(*[c for c in rows.columns if c != by])
+    entries = F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), F.to_json(rest).alias("v"))))
+    lines = F.transform(entries, lambda e: F.concat(F.regexp_replace(F.to_json(F.array(e["k"])), r"^\[|\]$", ""), F.lit(":"), e["v"]))
+    return rows.agg(F.concat(F.lit("{"), F.array_join(lines, ","), F.lit("}")).alias("value"))
+
+
+def save_gold_metadata(spark: SparkSession, new: DataFrame, path: str) -> None:
+    """Puts *new* rows in place of those of the same documents in the metadata file at *path*, one line of JSON."""
+    old = read_gold_metadata(spark, path) if exists(spark, path) else spark.createDataFrame([], new.schema)
+    names = [c for c in new.columns if c != "doc"]
+    kept = old.join(new.select("doc"), "doc", "left_anti")
+    kept = kept.select("doc", *[F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in names])
+    value = gold_metadata_json(kept.unionByName(new)).first()["value"]  # one small object, as the file is
+    write_value(spark, value, path)
+
+
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """PDF files below *path*: name without extension, size in bytes and MB, bytes; in no order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(path)
+    """PDF files in the folder *path*: name without extension, size in bytes and MB, bytes; in no order, as tables are.
+
+    ``orderBy("doc")`` gives the order of code units, the names' own.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
     name = F.regexp_extract(F.url_decode("path"), r"([^/]+)\.[^./]+$", 1)
     return files.select(name.alias("doc"), "path", "length", F.round(F.col("length") / 1048576, 2).alias("mb"), "content")
 
