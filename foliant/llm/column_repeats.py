@@ -50,6 +50,7 @@ from pyspark.sql import types as T
 from foliant.llm.byte_words import BASE, BLANK, BYTE, hashes, mix, pieces, powers
 from foliant.llm.byte_words import spans as runs
 from foliant.llm.scratch import Scratch
+from foliant.llm.skew import with_counted
 from foliant.llm.vocabularies import release_memos
 from foliant.sources.tables import table
 
@@ -58,8 +59,6 @@ LENGTH = 400
 LEVELS = (369, 33, 1)
 #: Strings of one anchor that a collection may hold (on average, where an anchor's strings are dealt out).
 BOUND = 256
-#: Anchors with more than this share of all segments (so fewer than 1,000 of them) are told to all tasks.
-SHARE = 1000
 #: Bytes of text that are hashed at once, and bytes of segments that are sorted at once.
 PIECE, COLLECTION = 1 << 18, 1 << 21
 _PLACE = 22  # bits of a place within a piece
@@ -364,10 +363,7 @@ def _shared(seen: DataFrame, scratch: Scratch) -> DataFrame:
     """The segments whose anchor occurs more than once, with the number ``n`` of these; some of them are not marked yet."""
     rows = seen.filter("key IS NOT NULL")
     twice = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("many").alias("done")).filter("n >= 2 AND NOT done").drop("done"))
-    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = F.broadcast(twice.filter(F.col("n") * SHARE > total))  # fewer than SHARE rows
-    rare = rows.join(F.broadcast(often.select("key")), "key", "left_anti").join(twice, "key")
-    return scratch.save(rows.join(often, "key").unionByName(rare))
+    return scratch.save(with_counted(rows, twice, "key", "n"))
 
 
 def _rounds(found: DataFrame, length: int, last: bool, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:

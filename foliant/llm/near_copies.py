@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from foliant.llm.byte_words import BASE, mix, pieces, words
 from foliant.llm.components import components
 from foliant.llm.scratch import Scratch
+from foliant.llm.skew import with_counted
 from foliant.llm.vocabularies import release_memos
 from foliant.sources.tables import table
 
@@ -274,8 +275,8 @@ def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 1
     # Postings that at least two classes hold, by class, the rare ones first.
     token = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     posted = classes.select("rep", F.posexplode("sig")).select("rep", token.alias("token"))
-    common = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df >= 2")
-    posts = posted.join(common, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("posts")).filter(F.size("posts") >= MATCHES)
+    common = scratch.save(posted.groupBy("token").agg(F.count("*").alias("df")).filter("df >= 2"))
+    posts = with_counted(posted, common, "token", "df").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("posts")).filter(F.size("posts") >= MATCHES)
     prefix = F.slice(F.transform("posts", lambda x: x["token"]), 1, F.size("posts") - (MATCHES - 1))
     weight = F.aggregate("posts", F.lit(0).cast("long"), lambda s, x: s + x["df"])
     kept = posts.select("rep", prefix.alias("posts"), weight.alias("weight")).join(classes.select("rep", "n", "sig"), "rep")
@@ -284,7 +285,8 @@ def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 1
     # Each list's members with its most connected member.
     lists = members.select("id", "weight", F.explode("posts").alias("token"))
     centers = lists.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("top"), F.count("*").alias("size")).filter("size >= 2").select("token", (-F.col("top.i")).alias("a"), "size")
-    stars = lists.join(centers, "token").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    centers = scratch.save(centers)
+    stars = with_counted(lists, centers, "token", "size").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     sig = members.select("id", "sig", "n")
     stars = stars.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("_s"), F.col("n").alias("_n")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("_t"), F.col("n").alias("_m")), "a")
     same = F.size(F.filter(F.zip_with("_s", "_t", lambda x, y: x == y), lambda x: x))
@@ -302,7 +304,8 @@ def near_copies(docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (80, 1
     main = lists.join(centers.select("token", F.col("a").alias("id")), ["token", "id"]).select("token", F.col("comp").alias("main"))
     of_main, n = F.col("comp") == F.col("main"), F.col("count")
     shares = lists.groupBy("token", "comp").count().join(main, "token").groupBy("token").agg(F.first("main").alias("main"), F.sum(F.when(of_main, n)).alias("m"), F.sum(F.when(~of_main, n)).alias("p"))
-    rows = lists.join(shares.filter("p > 0"), "token").join(state.select("id", "n", "sig", "posts"), "id")
+    shares = scratch.save(shares.filter("p > 0").withColumn("size", F.col("m") + F.col("p")))
+    rows = with_counted(lists, shares, "token", "size").join(state.select("id", "n", "sig", "posts"), "id")
     rows = in_blocks(rows.withColumn("probe", F.col("comp") != F.col("main")))
     rows = rows.select("token", "block", "id", "comp", "n", "sig", "posts", "home", "probe").repartition("token", "block").sortWithinPartitions("token", "block")
     colliding = _counted(rows, ratio).join(sets, "id").repartition("token", "block").sortWithinPartitions("token", "block")
