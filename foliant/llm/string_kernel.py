@@ -6,8 +6,8 @@ letters keeps most of its subsequences. Landmarks are words of the labelled samp
 that are unlike each other. A sentence is described by the kernels of its most insulting word with all landmarks,
 multiplied by the inverse root of the landmarks' own kernel matrix (Nystrom); which word that is follows from the
 machine, so training goes back and forth between choosing words and fitting (squared hinge loss). A text's margin
-is its highest sentence's; Platt's sigmoid, fitted to margins by machines that have not seen the document and weighted
-to the classes' true shares, makes it a probability.
+is its highest sentence's; isotonic regression on margins by machines that have not seen the document, weighted to the
+classes' true shares, makes it a probability.
 
 Words are parts between blanks without marks at their ends and without regard to case; a word with marks in it is read
 without them too, and the larger kernel holds; runs of three or more single letters are read as one word too; words over
@@ -21,8 +21,6 @@ or 1 by the only class, 0 without any.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -229,22 +227,25 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the sigmoid that fits labels to margins, with Platt's smoothed targets."""
-    up, down = y.sum(), (1 - y).sum()
-    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([(weight * (p - target) * margin).sum(), (weight * (p - target)).sum()])
-        q = weight * p * (1 - p)
-        h = np.array([[(q * margin**2).sum(), (q * margin).sum()], [(q * margin).sum(), q.sum()]]) + 1e-6 * np.eye(2) * weight.sum()
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(a), float(b)
+def steps(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and rising shares of label 1 at them, to be joined by straight lines: isotonic regression.
+
+    Neighbours in the order of margins are pooled as long as a share would fall; each pool counts one more document,
+    of the classes' true *share*, so that few documents don't give certainty.
+    """
+    pools: list[list[float]] = []  # least margin, largest margin, weight, weight of label 1
+    order = np.argsort(margin, kind="stable")
+    of = lambda x: (x[3] + share) / (x[2] + 1)
+    for m, label, w in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        if pools and pools[-1][1] == m:
+            pools[-1][2] += w
+            pools[-1][3] += w * label
+        else:
+            pools.append([m, m, w, w * label])
+        while len(pools) > 1 and of(pools[-2]) >= of(pools[-1]):
+            _, high, w, one = pools.pop()
+            pools[-1] = [pools[-1][0], high, pools[-1][2] + w, pools[-1][3] + one]
+    return np.array([x for p in pools for x in p[:2]]), np.array([of(p) for p in pools for _ in range(2)])
 
 
 def pick_landmarks(words: list[str], most: int = LANDMARKS) -> list[str]:
@@ -266,16 +267,23 @@ def pick_landmarks(words: list[str], most: int = LANDMARKS) -> list[str]:
 
 
 class Model:
-    """What scoring needs, all of bounded size."""
+    """What scoring needs, all of bounded size: landmarks, coefficients, and shares of label 1 (*ps*) by margin (*xs*)."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray, xs: np.ndarray, ps: np.ndarray):
+        self.landmarks, self.weights, self.xs, self.ps = landmarks, weights, xs, ps
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, slope: float, shift: float):
-        self.landmarks, self.weights, self.slope, self.shift = landmarks, weights, slope, shift
+    @classmethod
+    def constant(cls, p: float) -> Model:
+        return cls([], np.zeros(1), np.zeros(1), np.full(1, p))
 
     def margins(self, kernels: np.ndarray) -> np.ndarray:
         return kernels @ self.weights[:-1] + self.weights[-1]
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+        """The share at each margin; a thousandth of it is a sigmoid, so that larger margins always score higher."""
+        if not self.landmarks:
+            return np.full(len(margin), self.ps[0])
+        return 0.999 * np.interp(margin, self.xs, self.ps) + 0.001 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
@@ -298,14 +306,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     sizes = {r["_y"]: r["n"] for r in chosen.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return Model([], np.array([0.0]), 0.0, 40.0 if n1 else -40.0)
+        return Model.constant(float(n1 > 0))
     seen = rows.select("_y", "_text").mapInArrow(words_of, "y int, w string").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     part = lambda k, n: F.when(k > 0, k * F.log(k / (n * (F.col("a") + F.col("b")) / (n1 + n0)))).otherwise(0.0)
     merit = part(F.col("a"), n1) + part(F.col("b"), n0)
     best = seen.filter((F.col("a") * n0 > F.col("b") * n1) & (merit >= MERIT)).orderBy(F.desc(F.round(merit, 6)), "w").limit(CANDIDATES).select("w")
     landmarks = pick_landmarks([r["w"] for r in best.collect()])
     if not landmarks:
-        return Model([], np.array([0.0]), 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+        return Model.constant(share)
 
     def describe(batches):
         release_memos()
@@ -339,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
 
 
 def train(landmarks: list[str], ids: np.ndarray, y: np.ndarray, k: np.ndarray, share: float) -> Model:
-    """Machine and sigmoid from the words of the sample's sentences: document, label, kernels with the landmarks."""
+    """Machine and steps from the words of the sample's sentences: document, label, kernels with the landmarks."""
     order = np.lexsort((*k.T[::-1], ids))
     ids, y, k = ids[order], y[order], k[order]
     t = Kernels(landmarks).rows(landmarks).astype(np.float64)
@@ -365,7 +373,7 @@ def train(landmarks: list[str], ids: np.ndarray, y: np.ndarray, k: np.ndarray, s
             margin = x @ w[:-1] + w[-1]
         return w
 
-    # The sigmoid is fitted to margins of documents that their machine has not seen.
+    # The steps are fitted to margins of documents that their machine has not seen.
     high = np.full(len(docs), -np.inf)
     fold = np.arange(len(docs)) % FOLDS
     for part in range(FOLDS):
@@ -375,8 +383,8 @@ def train(landmarks: list[str], ids: np.ndarray, y: np.ndarray, k: np.ndarray, s
     w = machine(np.ones(len(docs), bool))
     weights = np.append(half @ w[:-1], w[-1])
     n1, n0 = max(1, of.sum()), max(1, (1 - of).sum())
-    slope, shift = platt(high, of, np.where(of > 0, share / n1, (1 - share) / n0) * len(docs))
-    return Model(landmarks, weights, slope, shift)
+    xs, ps = steps(high, of, np.where(of > 0, share / n1, (1 - share) / n0) * len(docs), share)
+    return Model(landmarks, weights, xs, ps)
 
 
 class Scorer:
