@@ -10,7 +10,9 @@ Everything happens within a task, block by block, so it is one map-only pass who
 input. A window's id is made of the task's number and its own within the task, which a task that runs again
 repeats.
 
-Defined results: a null text is an empty one and still holds the closing id; repeated rows are packed once each.
+Defined results: a null text is an empty one and still holds the closing id; repeated rows are packed once each, null ids
+like others; an empty table gives an empty one; texts are read whole however long (a text's ids are in memory at once);
+columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ otherwise, where a score that doesn't fit a long is an error.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, neither do null
 ids; a query meets vectors of its own length only; rows with the query's own id are no candidates; repeated
-candidate rows count once each; fewer candidates than k give all of them; ties go to the smaller id.
+candidate rows count once each; fewer candidates than k give all of them; ties go to the smaller id. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ too few on a small host, and exact copies count once.
 
 Defined results: a null host is a host of its own; a null text stays null and counts as a page without lines;
 empty lines are never dropped; a line that repeats within a page counts once but is dropped everywhere; repeated
-rows are pages of their own; columns of any other name are passed through.
+rows are pages of their own; columns of any other name are passed through; an empty table gives an empty one.
+
+MIN_PAGES matters for hosts of fewer than 20 pages alone (a line on two pages is more than a tenth of these): without it
+every line of a host of one page is boilerplate.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ The distinct pre-tokens of a batch are put in a trie, which sorting them lays ou
 on its prefix alone, so it is worked out once and the words below it go on from there; the scores at ends of words
 are kept in a memo of bounded size. Map-only.
 
-Defined results: null and empty texts have no pre-tokens, no tokens and cost 0; repeated rows have equal results.
+Defined results: null and empty texts have no pre-tokens, no tokens and cost 0; repeated rows have equal results; null ids
+are rows like others; an empty table gives an empty one; texts are read whole however long; columns other than id and text
+are not read.
 """
 
 from __future__ import annotations
