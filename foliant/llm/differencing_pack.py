@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.byte_words import BASE, BYTE, distinct, hashes, mix, pieces, spans
 from foliant.llm.prefix_bpe import byte_symbols
-from foliant.llm.vocabularies import MEMO_ENTRIES, vocabulary
+from foliant.llm.vocabularies import MEMO_ENTRIES, trim, vocabulary
 from foliant.sources.tables import table
 
 CAPACITY = 2048
@@ -114,7 +114,7 @@ class UnitIds:
     case counts.
     """
 
-    def __init__(self, path: str, entries: int = 5 * MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = 3 * MEMO_ENTRIES):
         from tokenizers import Tokenizer
 
         self.library, self.entries = Tokenizer.from_file(path), entries
@@ -207,6 +207,7 @@ def packed(docs: DataFrame, name: str = "word_bpe_49k.json", directory: str | No
 
         from foliant.llm.differencing_pack import unit_ids
 
+        trim()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         known = unit_ids(vocabulary(name, directory))
         task = TaskContext.get().partitionId() << 32
@@ -232,7 +233,7 @@ def packed(docs: DataFrame, name: str = "word_bpe_49k.json", directory: str | No
 
         for batch in batches:
             done = []
-            for at, end, data, offsets in pieces(batch.column(1)):
+            for at, end, data, offsets in pieces(batch.column(1), 1 << 20):
                 flat, bounds = known.encode(data, offsets)
                 raw, bounds = flat.astype("<u4").tobytes(), bounds.tolist()
                 for k, doc in enumerate(batch.column(0).slice(at, end - at).to_pylist()):

@@ -41,7 +41,7 @@ SAMPLE = 3000
 CANDIDATES, MERIT = 600, 8.0
 #: Sentences of each sampled document that training looks at, those nearest to a landmark.
 SENTENCES = 4
-MEMO = 1_000_000
+MEMO = 700_000
 FOLD, HELD_OUT = 3, 1
 #: Parts of the sample, each scored by a machine fitted on the others.
 FOLDS = 5

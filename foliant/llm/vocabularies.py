@@ -51,6 +51,11 @@ def release_memos() -> None:
         loaded = sys.modules.get(f"foliant.llm.{module}")
         if loaded is not None:
             getattr(loaded, cache).cache_clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory back that this worker has freed, in earlier tasks of other operators too."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
