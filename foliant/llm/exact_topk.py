@@ -1,12 +1,13 @@
 """Exact top-k search by inner product.
 
-Vectors are dealt into shards and queries into blocks, both of bounded size; every pair of a block and a shard is a
-tile: one matrix product, and a partial selection of each query's best rows of the shard. The partial lists are
-merged in a tree, FAN shards at a level, until each query has one list. Tiles need no key of the data: a row's
-shard comes from its place, so equal rows or ids don't pile up.
+Vectors are dealt into shards and queries into blocks, both of bounded bytes; every pair of a block and a shard is a
+tile: matrix products of strips of its queries, and of each strip a partial selection of each query's best rows of the
+shard. The partial lists are merged in a tree, FAN shards at a level, until each query has one list. Tiles need no
+key of the data: a row's shard comes from a hash of its place, so equal rows or ids don't pile up.
 
 Work is queries x vectors, as an exact search over a stated query set is; a query block is sent to each shard
-and a shard to each query block, so the shuffle is vectors x blocks + queries x shards.
+and a shard to each query block, so the shuffle is vectors x blocks + queries x shards. A shard, a strip of scores and its
+selection take a few times TILE_BYTES, whatever the vectors' length.
 
 Products are of integers: in float64 while their sums are exact in it (below 2**53), in Python integers
 otherwise, where a score that doesn't fit a long is an error.
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from foliant.llm.whole_vectors import best_of, finite, floored, matrix, rows_of, score_strips
 from foliant.sources.tables import table
 
+#: Most rows of a shard and of a block of queries; long vectors make smaller ones.
 SHARD = 16384
 BLOCK = 4096
 FAN = 16
@@ -34,65 +37,38 @@ FAN = 16
 _FOUND = "query_id long, vec_id long, score long, shard int"
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = t.column("_id").to_numpy()
-    if not len(ids):
-        return ids, np.zeros((0, 0))
-    flat = pa.concat_arrays([c.flatten() for c in t.column("_v").chunks])
-    return ids, flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-
-def _best(q_ids, q, ids, v, k: int):
-    """Per query, the k best rows of one tile: arrays of query row, candidate row and score."""
-    bound = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, v.shape[1])
-    if bound >= 2.0**53:
-        scores = np.array(q.astype(object) @ v.astype(object).T)
-        if max(scores.max(), -scores.min()) >= 2**63:
-            raise OverflowError("an inner product does not fit a long")
-        scores = scores.astype(np.int64)
-    else:
-        scores = (q @ v.T).astype(np.int64)
-    low = -np.iinfo(np.int64).max
-    own = q_ids[:, None] == ids[None, :]
-    scores[own] = low
-    take = min(k, v.shape[0])
-    edge = -np.partition(-scores, take - 1, axis=1)[:, take - 1 : take]  # the k-th best score; equal ones stay for the tie rule
-    rows, cols = np.nonzero((scores >= edge) & ~own)
-    got = scores[rows, cols]
-    order = np.lexsort((ids[cols], -got, rows))
-    rows, cols, got = rows[order], cols[order], got[order]
-    first = np.searchsorted(rows, np.arange(len(q_ids)))
-    keep = np.arange(len(rows)) - first[rows] < k
-    return rows[keep], cols[keep], got[keep]
+def tile_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> list[np.ndarray]:
+    """Query id, candidate id and score of the *k* best rows of one tile for each query."""
+    out = [np.zeros((3, 0), np.int64)]
+    for at, scores in score_strips(q, v):
+        mine = q_ids[at : at + len(scores)]
+        rows, cols = best_of(scores, mine[:, None] != ids, ids, k)
+        out.append(np.stack([mine[rows], ids[cols], scores[rows, cols]]))
+    return list(np.concatenate(out, axis=1))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", scale: int | None = 256, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's *k* best vectors; components become floor(scale * x)."""
 
     def usable(df: DataFrame) -> DataFrame:
-        x = F.col(vector)
-        whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double"))
-        fit = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-        return df.filter(F.col(vec_id).isNotNull() & fit).select(F.col(vec_id).cast("long").alias("_id"), whole.alias("_v"))
+        return df.filter(F.col(vec_id).isNotNull() & finite(F.col(vector))).select(F.col(vec_id).cast("long").alias("_id"), floored(F.col(vector), scale).alias("_v"))
 
     def place(n: int) -> Column:
-        return F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
 
     data, asked = usable(vectors), usable(queries)
-    shards, blocks = max(1, -(-data.count() // shard)), max(1, -(-asked.count() // block))
+    size = data.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("_v")), F.lit(1)).alias("d")).first()
+    shards, blocks = (max(1, -(-n // rows_of(size["d"], most))) for n, most in ((size["n"], shard), (asked.count(), block)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = data.select("_id", "_v", F.size("_v").alias("_d"), place(shards).alias("shard")).withColumn("block", each(blocks))
     right = asked.select("_id", "_v", F.size("_v").alias("_d"), place(blocks).alias("block")).withColumn("shard", each(shards))
 
     def tile(key, rows: pa.Table, ask: pa.Table) -> pa.Table:
         if rows.num_rows and ask.num_rows:
-            ids, v = _matrix(rows)
-            q_ids, q = _matrix(ask)
-            r, c, s = _best(q_ids, q, ids, v, k)
-            out = [q_ids[r], ids[c], s, np.full(len(r), key[0].as_py(), np.int32)]
+            out = tile_best(ask.column("_id").to_numpy(), matrix(ask.column("_v")), rows.column("_id").to_numpy(), matrix(rows.column("_v")), k)
         else:
-            out = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
-        return pa.table([pa.array(x) for x in out], names=["query_id", "vec_id", "score", "shard"])
+            out = [np.zeros(0, np.int64)] * 3
+        return pa.table([*[pa.array(x) for x in out], pa.array(np.full(len(out[0]), key[0].as_py(), np.int32))], names=["query_id", "vec_id", "score", "shard"])
 
     keys = ["shard", "block", "_d"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, _FOUND)

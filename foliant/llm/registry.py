@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("near_copies", "differencing_pack", "random_index", "exact_topk", "column_repeats", "string_kernel", "trie_counts", "site_lines", "prefix_bpe", "mpeg_media")
+MODULES = ("near_copies", "differencing_pack", "random_index", "exact_topk", "column_repeats", "string_kernel", "trie_counts", "site_lines", "prefix_bpe", "mpeg_media", "slack_heaps", "hard_negatives", "best_fit_pack")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -27,11 +27,11 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Lowers the session's number of rows in an Arrow batch to ROWS_AT_ONCE for what runs meanwhile."""
+def rows_at_once(spark: SparkSession, most: int | None = ROWS_AT_ONCE) -> Iterator[None]:
+    """Lowers the session's number of rows in an Arrow batch to *most* (None: leaves it) for what runs meanwhile."""
     before = spark.conf.get(_ROWS)
-    if not 0 < int(before) <= ROWS_AT_ONCE:
-        spark.conf.set(_ROWS, str(ROWS_AT_ONCE))
+    if most and not 0 < int(before) <= most:
+        spark.conf.set(_ROWS, str(most))
     try:
         yield
     finally:
@@ -46,12 +46,12 @@ class Scratch:
         self.count = 0
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, options: dict | None = None) -> DataFrame:
         """*df* written as Parquet and read again, so that a lost executor costs no more than one step."""
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        with small_batches(self.spark):
-            df.write.parquet(path)
+        with rows_at_once(self.spark):
+            df.write.options(**(options or {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
