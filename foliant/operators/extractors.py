@@ -51,43 +51,57 @@ def page_ocr(i: Inputs, renderer: str) -> DataFrame:
     return i.page_text.filter(F.col("renderer") == renderer).select("doc", F.col("page_idx").cast("long"), "text")
 
 
+def every_page(i: Inputs) -> DataFrame:
+    """doc, page_idx of all pages."""
+    return i.counts.filter("num_pages > 0").select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_pages").cast("long") - 1)).alias("page_idx"))
+
+
+def gate_poor(i: Inputs) -> DataFrame:
+    """Pages with little text of their own."""
+    return vector_pages(i, "mupdf").filter(poor(F.col("text"))).select("doc", "page_idx")
+
+
+def gate_area(i: Inputs) -> DataFrame:
+    """Pages that images fill."""
+    return vector_pages(i, "mupdf").join(geometry.area_ratio(i.blocks, i.sizes), ["doc", "page_idx"]).filter(dense_area(F.col("text"), F.col("area_ratio"))).select("doc", "page_idx")
+
+
+def gate_size(i: Inputs) -> DataFrame:
+    """Pages with a large image in front of the background."""
+    return images.needs_ocr(vector_pages(i, "unpdf"), i.placements, images.background_by_size(i.placements, i.counts)).select("doc", "page_idx")
+
+
 def poor_pages(i: Inputs) -> DataFrame:
     """Own text, and OCR behind it on pages with little of it."""
-    pages = vector_pages(i, "mupdf")
-    ocr = page_ocr(i, "mupdf").join(pages.filter(poor(F.col("text"))).select("doc", "page_idx"), ["doc", "page_idx"], "left_semi")
-    return images.append(pages, ocr.filter(F.length(F.trim("text")) > 0).select("doc", "page_idx", "text", F.lit(0).alias("turn"), F.lit(0).alias("copy")))
+    ocr = page_ocr(i, "mupdf").join(gate_poor(i), ["doc", "page_idx"], "left_semi")
+    return images.append(vector_pages(i, "mupdf"), ocr.filter(F.length(F.trim("text")) > 0).select("doc", "page_idx", "text", F.lit(0).alias("turn"), F.lit(0).alias("copy")))
 
 
 def area_pages(i: Inputs) -> DataFrame:
     """OCR instead of own text on pages that images fill."""
-    pages = vector_pages(i, "mupdf")
-    gate = pages.join(geometry.area_ratio(i.blocks, i.sizes), ["doc", "page_idx"]).filter(dense_area(F.col("text"), F.col("area_ratio")))
-    return images.replace(pages, page_ocr(i, "mupdf").join(gate.select("doc", "page_idx"), ["doc", "page_idx"], "left_semi"))
+    return images.replace(vector_pages(i, "mupdf"), page_ocr(i, "mupdf").join(gate_area(i), ["doc", "page_idx"], "left_semi"))
 
 
 def size_pages(i: Inputs) -> DataFrame:
     """OCR instead of own text on pages with a large image in front of the background."""
-    pages = vector_pages(i, "unpdf")
-    gate = images.needs_ocr(pages, i.placements, images.background_by_size(i.placements, i.counts))
-    return images.replace(pages, page_ocr(i, "unpdf").join(gate.select("doc", "page_idx"), ["doc", "page_idx"], "left_semi"))
+    return images.replace(vector_pages(i, "unpdf"), page_ocr(i, "unpdf").join(gate_size(i), ["doc", "page_idx"], "left_semi"))
 
 
-def _front(i: Inputs) -> DataFrame:
+def front(placements: DataFrame, counts: DataFrame) -> DataFrame:
     """Large placements that aren't of the background's size."""
-    background = images.background_by_size(i.placements, i.counts).select("doc", "width", "height")
-    return i.placements.filter(images.large(F.col("width"), F.col("height"))).join(background, ["doc", "width", "height"], "left_anti")
+    background = images.background_by_size(placements, counts).select("doc", "width", "height")
+    return placements.filter(images.large(F.col("width"), F.col("height"))).join(background, ["doc", "width", "height"], "left_anti")
 
 
 def every_image(i: Inputs) -> DataFrame:
     """OCR of each placement behind the page's text, in the page's order."""
-    parts = _front(i).join(image_text(i, HybridOptions()), "hash").filter(F.length(F.trim("text")) >= images.LEAST_TEXT)
+    parts = front(i.placements, i.counts).join(image_text(i, HybridOptions()), "hash").filter(F.length(F.trim("text")) >= images.LEAST_TEXT)
     return images.append(vector_pages(i, "unpdf"), parts.select("doc", F.col("page_idx").cast("long"), F.trim("text").alias("text"), F.col("img_idx").alias("turn"), F.lit(0).alias("copy")))
 
 
 def boxes(i: Inputs) -> DataFrame:
     """OCR of each image's rectangle on the rendered page, behind the page's text."""
-    background = images.background_by_size(i.box_text, i.counts).select("doc", "width", "height")
-    parts = i.box_text.filter(images.large(F.col("width"), F.col("height"))).join(background, ["doc", "width", "height"], "left_anti")
+    parts = front(i.box_text, i.counts)
     parts = parts.filter(F.length(F.trim("text")) >= images.LEAST_TEXT)
     return images.append(vector_pages(i, "unpdf"), parts.select("doc", F.col("page_idx").cast("long"), F.trim("text").alias("text"), F.col("img_idx").alias("turn"), F.lit(0).alias("copy")))
 
@@ -117,10 +131,6 @@ def hash_images(i: Inputs, o: HybridOptions = HybridOptions(), clean: bool = Tru
     return images.append(pages, parts.filter(F.length("text") >= images.LEAST_TEXT))
 
 
-def _hybrid(**options) -> Callable[[Inputs], DataFrame]:
-    return lambda i: hash_images(i, HybridOptions(**options))
-
-
 def _backend(name: str) -> Callable[[Inputs], DataFrame]:
     return lambda i: vector_pages(i, name)
 
@@ -129,6 +139,19 @@ def _whole(name: str) -> Callable[[Inputs], DataFrame]:
     return lambda i: pad_pages(page_ocr(i, name), i.counts)
 
 
+#: Hybrids that read each image once (fixed values): their options, and whether what the page says already is left out.
+HYBRIDS: dict[str, tuple[HybridOptions, bool]] = {
+    "hibrido-unpdf-img-hash": (HybridOptions(), False),
+    "hibrido-unpdf-img-hash-clean": (HybridOptions(), True),
+    "hibrido-clean-best": (HybridOptions(best_model=True), True),
+    "hibrido-clean-conf": (HybridOptions(least_confidence=60.0), True),
+    "hibrido-clean-prep": (HybridOptions(binarize=True), True),
+    "hibrido-clean-multi": (HybridOptions(scales=(1.0, 2.0)), True),
+    "hibrido-clean-conf-multi": (HybridOptions(least_confidence=60.0, scales=(1.0, 2.0)), True),
+    "hibrido-clean-prep-conf": (HybridOptions(binarize=True, least_confidence=60.0), True),
+    "hibrido-clean-conf-best": (HybridOptions(least_confidence=60.0, best_model=True), True),
+}
+
 #: Pipelines by name (fixed values), in the order of their reports.
 REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {
     "pdf-parse": _backend("pdf-parse"),
@@ -142,20 +165,21 @@ REGISTRY: dict[str, Callable[[Inputs], DataFrame]] = {
     "hibrido2": area_pages,
     "hibrido-unpdf": size_pages,
     "hibrido-unpdf-img": every_image,
-    "hibrido-unpdf-img-hash": lambda i: hash_images(i, clean=False),
-    "hibrido-unpdf-img-hash-clean": _hybrid(),
-    "hibrido-clean-best": _hybrid(best_model=True),
-    "hibrido-clean-conf": _hybrid(least_confidence=60.0),
-    "hibrido-clean-prep": _hybrid(binarize=True),
-    "hibrido-clean-multi": _hybrid(scales=(1.0, 2.0)),
-    "hibrido-clean-conf-multi": _hybrid(least_confidence=60.0, scales=(1.0, 2.0)),
-    "hibrido-clean-prep-conf": _hybrid(binarize=True, least_confidence=60.0),
-    "hibrido-clean-conf-best": _hybrid(least_confidence=60.0, best_model=True),
+    **{name: (lambda i, o=o, clean=clean: hash_images(i, o, clean)) for name, (o, clean) in HYBRIDS.items()},
     "docling": _backend("docling"),
     "mineru": _backend("mineru"),
     "hibrido-unpdf-bbox": boxes,
 }
 
+#: What each pipeline asks of an OCR engine: the renderer and gate of its pages.
+PAGE_GATES: dict[str, tuple[str, Callable[[Inputs], DataFrame]]] = {
+    "tesseract": ("mupdf", every_page),
+    "tesseract-unpdf": ("unpdf", every_page),
+    "hibrido": ("mupdf", gate_poor),
+    "hibrido2": ("mupdf", gate_area),
+    "hibrido-unpdf": ("unpdf", gate_size),
+}
+
 
 def extract(i: Inputs, names: list[str] | None = None) -> DataFrame:
     """extractor, doc, text, num_pages, num_chars, error of each pipeline on each document; failed ones have no text."""

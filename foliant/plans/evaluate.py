@@ -3,46 +3,63 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.metrics import with_metrics
 from foliant.functions.textnorm import places
-from foliant.operators import extractors, geometry, images
+from foliant.operators import extractors, geometry
 from foliant.operators.pages import lines_of_items, split_break_lines, split_form_feeds
 from foliant.operators.scoreboard import METRICS, RESULT, averages, contains, merge_run, preserved, with_gold
+from foliant.plans import demand
 from foliant.sources import engines, pdf, results
-from foliant.sources.pdf_slice import page_counts
+from foliant.sources.workspace import new_folder
 
 #: Pipelines that read a file's own text only.
 TEXT_ONLY = ("pdf-parse", "pdfjs-dist", "unpdf", "pdf2json", "mupdf")
-NO_OCR = "no OCR engine"
+NO_OCR, NO_BEST, NO_RENDERER, NO_CONVERTER = "no OCR engine", "no better OCR engine", "no page renderer", "no converter"
 
 
 @dataclass(frozen=True)
 class Tools:
-    """What is plugged in: an OCR engine, a page renderer, the better OCR model, command lines of converters."""
+    """What is plugged in: an OCR engine, the better OCR model, a page renderer, command lines of converters, and the folder
+    that keeps what OCR has read (None: for this run only)."""
 
     ocr: Callable[[], engines.OcrEngine] | None = None
     best_ocr: Callable[[], engines.OcrEngine] | None = None
     render: Callable[[], engines.Renderer] | None = None
     commands: dict[str, list[str]] = field(default_factory=lambda: dict(engines.COMMANDS))
-
-
-def own_text(files: DataFrame, pages: DataFrame) -> DataFrame:
+    store: str | None = None
+
+    def missing(self, name: str) -> str | None:
+        """Which tool the pipeline *name* lacks."""
+        best = name in extractors.HYBRIDS and extractors.HYBRIDS[name][0].best_model
+        pages = name in extractors.PAGE_GATES or name == "hibrido-unpdf-bbox"
+        if name in TEXT_ONLY or name in self.commands:
+            return None
+        if name in engines.COMMANDS:
+            return NO_CONVERTER
+        if best:
+            return None if self.best_ocr else NO_BEST
+        if not self.ocr:
+            return NO_OCR
+        return NO_RENDERER if pages and not self.render else None
+
+
+def own_text(parsed: DataFrame) -> DataFrame:
     """backend, doc, page_idx, text: the file's own text as each text back-end gives its pages.
 
     One gives form feeds and empty lines between pseudo-pages, one break lines, one lines put together from positioned
     items, two the pages as they are.
     """
-    fine = pages.filter("error IS NULL").select("doc", F.col("page_idx").cast("long").alias("page_idx"), F.coalesce("text", F.lit("")).alias("text"))
+    fine = parsed.filter("page_idx IS NOT NULL").select("doc", F.col("page_idx").cast("long").alias("page_idx"), F.coalesce("text", F.lit("")).alias("text"))
     whole = fine.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_idx", "text"))).alias("p"))
     fed = F.array_join(F.transform("p", lambda p: p["text"]), "\f")
     broken = F.array_join(F.transform("p", lambda p: F.concat(p["text"], F.lit("\n----------------Page ("), p["page_idx"].cast("string"), F.lit(") Break----------------\n"))), "")
     parts = [whole.select(F.lit(name).alias("backend"), "doc", F.posexplode(cut).alias("page_idx", "text")) for name, cut in (("pdf-parse", split_form_feeds(fed)), ("pdf2json", split_break_lines(broken)))]
-    items = lines_of_items(pdf.read_items(files)).select("doc", "page_idx", F.col("text").alias("lined"))
+    items = lines_of_items(pdf.items_of(parsed)).select("doc", "page_idx", F.col("text").alias("lined"))
     parts.append(fine.join(items, ["doc", "page_idx"], "left").select(F.lit("pdfjs-dist").alias("backend"), "doc", "page_idx", F.coalesce("lined", F.lit("")).alias("text")))
     parts += [fine.select(F.lit(name).alias("backend"), "doc", "page_idx", "text") for name in ("unpdf", "mupdf")]
     out = parts[0]
@@ -51,58 +68,82 @@ def own_text(files: DataFrame, pages: DataFrame) -> DataFrame:
     return out
 
 
+def _for_each(spark: SparkSession, names: list[str], docs: DataFrame) -> DataFrame:
+    """*docs* once for each of *names*, which are few and fixed."""
+    return docs.withColumn("extractor", F.explode(F.array(*map(F.lit, names)))) if names else docs.limit(0).withColumn("extractor", F.lit(""))
+
+
 def prepare(spark: SparkSession, files: DataFrame, names: list[str], tools: Tools) -> tuple[extractors.Inputs, DataFrame]:
     """The tables that the pipelines *names* read, and the seconds of each (extractor, doc).
 
-    Files are parsed once and kept; a pipeline whose tool is missing fails for every document.
+    Files are parsed once, into a written table that all else reads. OCR is asked for what the pipelines' gates let through,
+    once for each call (``demand``). A pipeline whose tool is missing fails for every document. Seconds are those of
+    reading the file, or of the converter, and of all OCR calls that the pipeline uses for the document.
     """
-    pages = pdf.read_pages(files).persist()
-    counts = page_counts(files).persist()
-    read = pages.groupBy("doc").agg(F.max("seconds").alias("seconds"), F.max("error").alias("error"))
-    vector = own_text(files, pages)
-    seconds = spark.createDataFrame([(n,) for n in names], "extractor string").join(read.select("doc", "seconds"), how="cross")  # names are few and fixed
-    bad = read.filter("error IS NOT NULL").select("doc", "error")
-    failures = spark.createDataFrame([(n,) for n in names], "extractor string").join(F.broadcast(bad), how="cross") if names else None
+    folder = new_folder(spark)
+    pdf.parsed(files).write.parquet(f"{folder}/parsed")
+    parsed = spark.read.parquet(f"{folder}/parsed")
+    read = parsed.groupBy("doc").agg(F.max("seconds").alias("seconds"), F.max("error").alias("error"), F.max("file").alias("file"))
+    counts, vector = pdf.counts_of(parsed), own_text(parsed)
+    fine, bad = read.filter("error IS NULL"), read.filter("error IS NOT NULL")
+    lacking = {n: m for n in names if (m := tools.missing(n))}
+    seconds = _for_each(spark, [n for n in names if n not in tools.commands], read.select("doc", "seconds"))
+    failures = _for_each(spark, names, bad.select("doc", "error")).select("extractor", "doc", "error")
+    for name, message in lacking.items():
+        failures = failures.unionByName(fine.select(F.lit(name).alias("extractor"), "doc", F.lit(message).alias("error")))
     for name, command in tools.commands.items():
         if name in names:
-            done = engines.convert(files, command).persist()
+            engines.convert(files, command).write.parquet(f"{folder}/{name}")
+            done = spark.read.parquet(f"{folder}/{name}")
             vector = vector.unionByName(done.filter("error IS NULL").select(F.lit(name).alias("backend"), "doc", F.lit(0).cast("long").alias("page_idx"), "text"))
             failures = failures.unionByName(done.filter("error IS NOT NULL").select(F.lit(name).alias("extractor"), "doc", "error"))
-            seconds = seconds.filter(F.col("extractor") != name).unionByName(done.select(F.lit(name).alias("extractor"), "doc", "seconds"))
-    sizes = pages.filter("error IS NULL").select("doc", "page_idx", "width", "height")
-    more = {}
-    ocr_names = [n for n in names if n not in TEXT_ONLY and n not in tools.commands]
-    if ocr_names and tools.ocr is None:
-        missing = spark.createDataFrame([(n, NO_OCR) for n in ocr_names], "extractor string, error string")
-        failures = failures.unionByName(missing.join(counts.select("doc").join(bad, "doc", "left_anti"), how="cross").select("extractor", "doc", "error"))
-    elif ocr_names:
-        found = pdf.read_images(files).persist()
-        placements = found.select("doc", "page_idx", "img_idx", "width", "height", "hash")
-        ops = pdf.read_operators(files).groupBy("doc", "page_idx").agg(F.array_sort(F.collect_list(F.struct("op_idx", "op", "m", "width", "height"))).alias("ops"))
-        op = F.transform("ops", lambda x: F.struct(x["op"].alias("op"), x["m"].alias("m"), x["width"].alias("width"), x["height"].alias("height")))
-        boxes = ops.select("doc", "page_idx", F.posexplode(geometry.image_boxes(op)).alias("img_idx", "b"))
-        blocks = boxes.select("doc", "page_idx", F.lit("image").alias("type"), F.col("b.w").alias("w"), F.col("b.h").alias("h"))
-        kinds = [("standard", tools.ocr)] + ([("best", tools.best_ocr)] if tools.best_ocr else [])
-        words = None
-        for model, engine in kinds:
-            for binarize in (False, True):
-                part = engines.recognize(found.join(images.targets(placements, images.background_by_hash(placements, counts)).select("hash").distinct(), "hash"), engine, (1.0, 2.0), binarize, model)
-                words = part if words is None else words.unionByName(part)
-        wanted = sizes.select("doc", "page_idx")
-        page_text, box_text = spark.createDataFrame([], "renderer string, doc string, page_idx long, text string"), boxes.limit(0).select("doc", "page_idx", "img_idx", F.col("b.width").alias("width"), F.col("b.height").alias("height"), F.lit("").alias("text"))
-        if tools.render is not None:
-            for renderer in ("mupdf", "unpdf"):
-                page_text = page_text.unionByName(engines.recognize_pages(files, wanted, tools.render, tools.ocr, renderer=renderer))
-        more = {"placements": placements, "words": words.persist(), "page_text": page_text, "box_text": box_text, "blocks": blocks}
-    failures = failures.groupBy("extractor", "doc").agg(F.min("error").alias("error"))
-    return extractors.Inputs(counts=counts, vector=vector, sizes=sizes, failures=failures, **more), seconds
+            seconds = seconds.unionByName(done.select("doc", "seconds", F.lit(name).alias("extractor")))
+    sizes = parsed.filter("page_idx IS NOT NULL").select("doc", "page_idx", "width", "height")
+    able = [n for n in names if n not in lacking]
+    inputs = extractors.Inputs(counts=counts, vector=vector, sizes=sizes, failures=failures.groupBy("extractor", "doc").agg(F.min("error").alias("error")))
+    if any(n not in TEXT_ONLY and n not in tools.commands for n in able):
+        inputs, used = with_ocr(spark, files, parsed, inputs, able, tools, demand.Store(spark, tools.store or folder))
+        if used is not None:
+            seconds = seconds.join(used.withColumnRenamed("seconds", "_more"), ["extractor", "doc"], "left").select("extractor", "doc", (F.col("seconds") + F.coalesce("_more", F.lit(0.0))).alias("seconds"))
+    return inputs, seconds.select("extractor", "doc", "seconds")
+
+
+def with_ocr(spark: SparkSession, files: DataFrame, parsed: DataFrame, inputs: extractors.Inputs, names: list[str], tools: Tools, store: demand.Store) -> tuple[extractors.Inputs, DataFrame | None]:
+    """*inputs* with what OCR reads for the pipelines *names*, and the seconds of the calls that each uses."""
+    found = pdf.images_of(parsed).filter("error IS NULL")
+    ops = parsed.filter(F.size("ops") > 0).select("doc", "page_idx", F.array_sort("ops").alias("ops"))
+    op = F.transform("ops", lambda x: F.struct(x["op"].alias("op"), x["m"].alias("m"), x["width"].alias("width"), x["height"].alias("height")))
+    boxes = ops.select("doc", "page_idx", F.posexplode(geometry.image_boxes(op)).alias("img_idx", "b")).withColumns({"width": F.col("b.width"), "height": F.col("b.height")})
+    blocks = boxes.select("doc", "page_idx", F.lit("image").alias("type"), F.col("b.w").alias("w"), F.col("b.h").alias("h"))
+    placements = found.select("doc", "page_idx", "img_idx", "width", "height", "hash")
+    inputs = replace(inputs, placements=placements, blocks=blocks)
+    named = parsed.select("doc", "file").distinct()
+    of_images, of_pages = demand.wanted_images(inputs, names), demand.wanted_pages(inputs, names, named)
+    of_boxes = demand.wanted_boxes(boxes, inputs, named) if "hibrido-unpdf-bbox" in names else None
+    call = ["extractor", "doc", *engines.PAGE_CALL]
+    parts = [p.select(*call) for p in (of_pages, of_boxes) if p is not None]
+    every_page = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else None
+    if of_images is not None:
+        store.make_images(of_images, found, {"standard": tools.ocr, "best": tools.best_ocr})
+        words = store.images().join(of_images.select(*engines.IMAGE_CALL).distinct(), engines.IMAGE_CALL, "left_semi")
+        inputs = replace(inputs, words=words.select(*engines.IMAGE_CALL, F.posexplode("words").alias("word_idx", "w")).select(*engines.IMAGE_CALL, "word_idx", "w.text", "w.confidence"))
+    if every_page is not None:
+        first = named.groupBy("file").agg(F.min("doc").alias("doc"))  # files of equal bytes are read once
+        store.make_pages(every_page, first.join(files.select("doc", "content"), "doc"), tools.render, tools.ocr)
+        if of_pages is not None:
+            texts = of_pages.drop("extractor").distinct().join(store.pages(), engines.PAGE_CALL)
+            inputs = replace(inputs, page_text=texts.select("renderer", "doc", "page_idx", "text"))
+        if of_boxes is not None:
+            texts = of_boxes.join(store.pages(), engines.PAGE_CALL).select("doc", "page_idx", "img_idx", "text")
+            inputs = replace(inputs, box_text=boxes.select("doc", F.col("page_idx").cast("long").alias("page_idx"), "img_idx", "width", "height").join(texts, ["doc", "page_idx", "img_idx"], "left").withColumn("text", F.coalesce("text", F.lit(""))))
+    return inputs, demand.seconds_used(of_images, every_page, store)
 
 
 def runs(spark: SparkSession, files: DataFrame, names: list[str], tools: Tools = Tools()) -> DataFrame:  # noqa: B008
     """extractor, doc, text, num_pages, num_chars, error and seconds of each pipeline on each file, failed ones too."""
     inputs, seconds = prepare(spark, files, names, tools)
-    able = [n for n in names if n in TEXT_ONLY or n in tools.commands or inputs.words is not None]
-    texts = extractors.extract(extractors.Inputs(**{**inputs.__dict__, "failures": None}), able) if able else None
+    able = [n for n in names if not tools.missing(n)]
+    texts = extractors.extract(replace(inputs, failures=None), able) if able else None
     every = seconds.join(inputs.failures, ["extractor", "doc"], "left")
     if texts is None:
         empty = every.select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("num_pages"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class OcrEngine(Protocol):
@@ -66,61 +67,110 @@ def convert(files: DataFrame, command: list[str], suffix: str = ".md", timeout:
     return files.select("doc", "content").mapInPandas(run, "doc string, text string, error string, seconds double")
 
 
-def recognize(images: DataFrame, engine: Callable[[], OcrEngine], scales: tuple[float, ...] = (1.0,), binarize: bool = False, model: str = "standard") -> DataFrame:
-    """OCR words of distinct images (hash, width, height, channels, bytes, maybe format); the engine starts with the first.
+IMAGE_CALL = ["hash", "model", "prep", "scale"]
+#: A whole page has no rectangle: -1 throughout.
+PAGE_CALL = ["file", "page_idx", "renderer", "left", "top", "width", "height"]
+#: Pages of a file that one row takes to an engine.
+PAGES_AT_ONCE = 32
+
 
-    Pixels are binarized and scaled and go to the engine as PNG; JPEG files go to it as they are.
+def image_calls(calls: DataFrame, images: DataFrame, engines: dict[str, Callable[[], OcrEngine]]) -> DataFrame:
+    """Words, seconds and error of each distinct call (hash, model, prep, scale) on *images* (hash, width, height, channels, bytes, maybe format).
 
-    An image that fails has no words.
+    Pixels are binarized and scaled and go to the engine as PNG; JPEG files go to it as they are. An engine starts with
+    its first image. An image goes to a task once, with all that is asked of it.
     """
+    format_ = F.col("format") if "format" in images.columns else F.lit("raw")
+    asked = calls.select(*IMAGE_CALL).distinct().groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("model", "prep", "scale"))).alias("asked"))
+    known = images.filter("bytes IS NOT NULL").select("hash", "width", "height", "channels", format_.alias("format"), "bytes")
 
     def run(batches):
         import pandas as pd
 
         from foliant.sources import png
 
-        ocr = None
+        started = {}
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                for scale in scales:
+                for a in r.asked:
+                    words, error, began = [], None, time.perf_counter()
                     try:
-                        ocr = ocr or engine()
-                        if getattr(r, "format", "raw") != "raw":  # an image file of its own, which the engine reads
+                        ocr = started.get(a["model"])
+                        if ocr is None:
+                            ocr = started[a["model"]] = engines[a["model"]]()
+                            began = time.perf_counter()
+                        if r.format != "raw":  # an image file of its own, which the engine reads
                             words = ocr(bytes(r.bytes))
                         else:
                             rgba = png.to_rgba(r.bytes, r.width, r.height, r.channels)
-                            words = ocr(png.encode(png.scaled(png.binarized(rgba) if binarize else rgba, scale)))
-                    except Exception:  # noqa: BLE001  a failing image is left out
-                        words = []
-                    rows += [(r.hash, model, binarize, scale, i, w, c) for i, (w, c) in enumerate(words)]
-            yield pd.DataFrame(rows, columns=["hash", "model", "prep", "scale", "word_idx", "text", "confidence"])
+                            words = ocr(png.encode(png.scaled(png.binarized(rgba) if a["prep"] else rgba, a["scale"])))
+                    except Exception as e:  # noqa: BLE001  any failure is the call's error
+                        error = f"{type(e).__name__}: {e}"
+                    rows.append((r.hash, a["model"], a["prep"], a["scale"], [{"text": w, "confidence": float(c)} for w, c in words], time.perf_counter() - began, error))
+            yield pd.DataFrame(rows, columns=[*IMAGE_CALL, "words", "seconds", "error"])
 
-    columns = ["hash", "width", "height", "channels", "bytes", *(["format"] if "format" in images.columns else [])]
-    return images.dropDuplicates(["hash"]).select(*columns).mapInPandas(run, "hash string, model string, prep boolean, scale double, word_idx int, text string, confidence double")
+    # One of the copies of an image's bytes is taken; only their places are compared.
+    once = known.join(asked, "hash").dropDuplicates(["hash"])
+    return once.mapInPandas(run, "hash string, model string, prep boolean, scale double, words array<struct<text:string,confidence:double>>, seconds double, error string")
 
 
-def recognize_pages(files: DataFrame, wanted: DataFrame, render: Callable[[], Renderer], engine: Callable[[], OcrEngine], scale: float = 2.0, renderer: str = "mupdf") -> DataFrame:
-    """OCR text of whole pages (doc, page_idx) of binary files, and of rectangles where *wanted* has them.
+def page_calls(calls: DataFrame, files: DataFrame, render: Callable[[], Renderer], engine: Callable[[], OcrEngine], scale: float = 2.0) -> DataFrame:
+    """Text, seconds and error of each distinct call (PAGE_CALL) on the files (file, content): whole pages, or rectangles in pixels of the rendered page.
 
-    *wanted* may have left, top, width, height in pixels of the rendered page; a failing page or rectangle is left out.
+    A page is rendered once for all that is asked of it; ``render_seconds`` are told with each of its calls.
     """
-    boxed = {"left", "top", "width", "height"} <= set(wanted.columns)
+    rectangle = F.struct("left", "top", "width", "height")
+    pages = calls.select(*PAGE_CALL).distinct().groupBy("file", "renderer", "page_idx").agg(F.array_sort(F.collect_list(rectangle)).alias("parts"))
+    chunks = pages.groupBy("file", F.floor(F.col("page_idx") / PAGES_AT_ONCE).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("page_idx", "renderer", "parts"))).alias("pages"))
 
     def run(batches):
         import pandas as pd
 
         draw = ocr = None
         for batch in batches:
-            rows = []
             for r in batch.itertuples(index=False):
-                try:
-                    draw, ocr = draw or render(), ocr or engine()
-                    image = draw(bytes(r.content), int(r.page_idx), scale)
-                    words = ocr(image, (int(r.left), int(r.top), int(r.width), int(r.height)) if boxed else None)
-                    rows.append((renderer, r.doc, int(r.page_idx), " ".join(w for w, _ in words)))
-                except Exception:  # noqa: BLE001
-                    continue
-            yield pd.DataFrame(rows, columns=["renderer", "doc", "page_idx", "text"])
-
-    return wanted.join(files.select("doc", "content"), "doc").mapInPandas(run, "renderer string, doc string, page_idx long, text string")
+                rows = []
+                for p in r.pages:
+                    image, failed, began = b"", None, time.perf_counter()
+                    try:
+                        draw, ocr = draw or render(), ocr or engine()
+                        began = time.perf_counter()
+                        image = draw(bytes(r.content), int(p["page_idx"]), scale)
+                    except Exception as e:  # noqa: BLE001
+                        failed = f"{type(e).__name__}: {e}"
+                    rendered = time.perf_counter() - began
+                    for part in p["parts"]:
+                        text, error, began = "", failed, time.perf_counter()
+                        if not failed:
+                            box = tuple(int(part[k]) for k in ("left", "top", "width", "height"))
+                            try:
+                                text = " ".join(w for w, _ in ocr(image, box if box[0] >= 0 else None))
+                            except Exception as e:  # noqa: BLE001
+                                error = f"{type(e).__name__}: {e}"
+                        rows.append((r.file, int(p["page_idx"]), p["renderer"], *(int(part[k]) for k in ("left", "top", "width", "height")), text, rendered, time.perf_counter() - began, error))
+                yield pd.DataFrame(rows, columns=[*PAGE_CALL, "text", "render_seconds", "seconds", "error"])
+
+    schema = "file string, page_idx long, renderer string, left int, top int, width int, height int, text string, render_seconds double, seconds double, error string"
+    return chunks.join(files.select("file", "content"), "file").mapInPandas(run, schema)
+
+
+def recognize(images: DataFrame, engine: Callable[[], OcrEngine], scales: tuple[float, ...] = (1.0,), binarize: bool = False, model: str = "standard") -> DataFrame:
+    """OCR words of distinct images at each scale; an image that fails has no words."""
+    calls = images.select("hash", F.lit(model).alias("model"), F.lit(binarize).alias("prep"), F.explode(F.array(*map(F.lit, scales))).alias("scale"))
+    done = image_calls(calls, images, {model: engine})
+    return done.select(*IMAGE_CALL, F.posexplode("words").alias("word_idx", "w")).select(*IMAGE_CALL, "word_idx", "w.text", "w.confidence")
+
+
+def whole_pages(pages: DataFrame, renderer: str) -> DataFrame:
+    """Calls for whole pages (file, page_idx)."""
+    return pages.select("file", F.col("page_idx").cast("long").alias("page_idx"), F.lit(renderer).alias("renderer"), *[F.lit(-1).alias(c) for c in ("left", "top", "width", "height")])
+
+
+def recognize_pages(files: DataFrame, wanted: DataFrame, render: Callable[[], Renderer], engine: Callable[[], OcrEngine], scale: float = 2.0, renderer: str = "mupdf") -> DataFrame:
+    """OCR text of pages (doc, page_idx), and of rectangles where *wanted* has left, top, width and height; a failing one is left out."""
+    named = wanted.withColumnRenamed("doc", "file")
+    boxed = {"left", "top", "width", "height"} <= set(wanted.columns)
+    calls = named.withColumn("renderer", F.lit(renderer)) if boxed else whole_pages(named, renderer)
+    done = page_calls(calls, files.withColumnRenamed("doc", "file"), render, engine, scale).filter("error IS NULL")
+    return done.select("renderer", F.col("file").alias("doc"), "page_idx", "text")

@@ -1,19 +1,27 @@
 """A reader for a subset of PDF, with the standard library only.
 
-Supported: classic files and object streams, Flate streams, page trees with inherited boxes, one-byte fonts with
-WinAnsi-like codes or ToUnicode maps, text operators, image XObjects (raw or Flate, 8 bits, grey or RGB) and the
-graphics state that places them. Encrypted files and other filters raise; the table functions make error rows of it.
+Supported: classic files and object streams, the filters of ``pdf_filters`` with their predictors, page trees with
+inherited boxes, one-byte fonts with WinAnsi-like codes or ToUnicode maps and their widths, text operators, image XObjects
+(8 bits, grey or RGB, or JPEG as it is stored) and the graphics state that places them. Encrypted files, other filters, and
+trees or references without an end raise; the table functions make error rows of it.
+
+``parsed`` reads each file once into rows that hold everything a run needs; the other table functions are views of it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
-import zlib
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from foliant.sources.pdf_filters import FILTERS
 
 _SPACE, _DELIM = b" \t\r\n\f\0", b"()<>[]{}/%"
 _TOKEN = re.compile(rb"[^ \t\r\n\f\0()<>\[\]{}/%]+")
@@ -42,12 +50,15 @@ class Stream:
 
     def data(self, all_but_last: bool = False) -> bytes:
         """The bytes unpacked; with *all_but_last* the last filter's own form is left as it is."""
-        kinds = self.info.get("Filter", [])
+        kinds, parms = self.info.get("Filter", []), self.info.get("DecodeParms", self.info.get("DP", []))
         out, kinds = self.raw, kinds if isinstance(kinds, list) else [kinds]
-        for kind in kinds[:-1] if all_but_last else kinds:
-            if kind not in ("FlateDecode", "Fl"):
+        parms = parms if isinstance(parms, list) else [parms]
+        if any(isinstance(x, Ref) for x in (*kinds, *parms)):
+            raise ValueError("filters by reference")
+        for n, kind in enumerate(kinds[:-1] if all_but_last else kinds):
+            if kind not in FILTERS:
                 raise ValueError(f"filter {kind}")
-            out = zlib.decompressobj().decompress(out)
+            out = FILTERS[kind](out, parms[n] if n < len(parms) and isinstance(parms[n], dict) else {})
         return out
 
 
@@ -149,7 +160,7 @@ class Lexer:
 
 @dataclass
 class Page:
-    """What a page shows: text items (str, x, y), images, and the operators that place them."""
+    """What a page shows: text items (str, x, y, size, width, font), images, and the operators that place them."""
 
     width: float
     height: float
@@ -160,7 +171,7 @@ class Page:
     def text(self) -> str:
         """Items in content order; a new line where the height changes."""
         out, last = [], None
-        for s, _, y in self.items:
+        for s, _, y, *_ in self.items:
             if last is not None:
                 out.append("\n" if abs(y - last) > 2 else " ")
             out.append(s)
@@ -216,7 +227,7 @@ class Document:
             if not isinstance(x, Ref):
                 return x
             x = self.objects.get(int(x))
-        return None
+        raise ValueError("references without an end")
 
     def leaves(self) -> list[dict]:
         """The dictionaries of the pages, with what they inherit."""
@@ -224,8 +235,10 @@ class Document:
 
     def _leaves(self, node, inherited: dict, depth: int = 0):
         node = self.get(node)
-        if not isinstance(node, dict) or depth > 64:
+        if not isinstance(node, dict):
             return
+        if depth > 64:
+            raise ValueError("a page tree of more than 64 levels")
         own = inherited | {k: node[k] for k in ("MediaBox", "Resources") if k in node}
         if "Kids" in node:
             for kid in self.get(node["Kids"]):
@@ -242,6 +255,13 @@ class Document:
         self._show(out, data, self.get(page.get("Resources")) or {})
         return out
 
+    def _widths(self, fonts: dict, name: str):
+        """The width of a code in this font, in thousandths of its size; half of it where the font doesn't say."""
+        font = self.get(fonts.get(name)) or {}
+        first, widths = self.get(font.get("FirstChar")) or 0, self.get(font.get("Widths"))
+        known = dict(enumerate((float(self.get(w)) for w in widths), int(first))) if isinstance(widths, list) else {}
+        return lambda code: known.get(code, 500.0), str(self.get(font.get("BaseFont")) or name)
+
     def _font(self, fonts: dict, name: str):
         """A decoder for strings in this font."""
         font = self.get(fonts.get(name)) or {}
@@ -266,14 +286,21 @@ class Document:
         fonts, objects = self.get(resources.get("Font")) or {}, self.get(resources.get("XObject")) or {}
         lexer, stack, decode = Lexer(data), [], lambda b: b.decode("cp1252", "replace")
         line = matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-        leading = 0.0
+        leading = between = words = 0.0
+        size, stretch, width_of, font = 0.0, 1.0, lambda code: 500.0, ""
 
         def moved(m, x, y):
             return (*m[:4], m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5])
 
-        def show(raw):
+        def length(raw):
+            return sum((width_of(c) / 1000 * size + between + (words if c == 32 else 0.0)) * stretch for c in raw)
+
+        def show(raw, reach=None):
+            nonlocal matrix
+            reach = length(raw) if reach is None else reach
             if text := decode(raw):
-                page.items.append((text, matrix[4], matrix[5]))
+                page.items.append((text, matrix[4], matrix[5], size * (matrix[2] ** 2 + matrix[3] ** 2) ** 0.5, reach * (matrix[0] ** 2 + matrix[1] ** 2) ** 0.5, font))
+            matrix = moved(matrix, reach, 0.0)
 
         while (x := lexer.next()) is not None:
             if not isinstance(x, Op):
@@ -288,7 +315,14 @@ class Document:
             elif x == "BT":
                 line = matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
             elif x == "Tf":
-                decode = self._font(fonts, stack[-2])
+                decode, size = self._font(fonts, stack[-2]), float(stack[-1])
+                width_of, font = self._widths(fonts, stack[-2])
+            elif x == "Tc":
+                between = float(stack[-1])
+            elif x == "Tw":
+                words = float(stack[-1])
+            elif x == "Tz":
+                stretch = float(stack[-1]) / 100
             elif x == "TL":
                 leading = float(stack[-1])
             elif x in ("Td", "TD"):
@@ -303,7 +337,8 @@ class Document:
             elif x == "Tj":
                 show(stack[-1])
             elif x == "TJ":
-                show(b"".join(b" " if isinstance(v, (int, float)) and v < -200 else v for v in stack[-1] if isinstance(v, bytes) or v < -200))
+                reach = sum(length(v) if isinstance(v, bytes) else -v / 1000 * size * stretch for v in stack[-1])
+                show(b"".join(b" " if isinstance(v, (int, float)) and v < -200 else v for v in stack[-1] if isinstance(v, bytes) or v < -200), reach)
             elif x == "Do":
                 image = self.get(objects.get(stack[-1]))
                 if isinstance(image, Stream) and image.info.get("Subtype") == "Image":
@@ -318,82 +353,114 @@ class Document:
             stack.clear()
 
 
-def _read(files: DataFrame, schema: str, rows) -> DataFrame:
-    def run(batches):
-        import pandas as pd
+def _image(stream: Stream) -> tuple[str, bytes]:
+    """An image's form and bytes: pixels ("raw"), or the whole file of a JPEG ("jpeg", "jpx") as it is stored."""
+    last = stream.info.get("Filter", [])
+    last = last[-1] if isinstance(last, list) and last else last
+    form = JPEG.get(last if isinstance(last, str) else None, "raw")
+    return form, stream.data(all_but_last=form != "raw")
+
+
+PARSED = (
+    "doc string, file string, page_idx int, num_pages int, error string, seconds double, width double, height double, text string, "
+    "items array<struct<item_idx:int,str:string,x:double,y:double,size:double,width:double,font:string>>, ops array<struct<op_idx:int,op:string,m:array<double>,width:int,height:int>>, "
+    "images array<struct<img_idx:int,width:int,height:int,channels:int,bytes:binary,format:string,hash:string,error:string>>"
+)
+
+
+def _rows(doc: str, content: bytes, every: bool):
+    """Rows of PARSED of one file. Unless *every*, an image's bytes stand where the file first has them."""
+    start, file = time.perf_counter(), hashlib.sha256(content).hexdigest()
+    try:
+        pages = Document(content).pages
+    except Exception as e:  # noqa: BLE001  any damage is the row's error
+        yield {"doc": doc, "file": file, "num_pages": 0, "error": f"{type(e).__name__}: {e}", "seconds": time.perf_counter() - start}
+        return
+    read: dict[int, tuple] = {}  # images by the stream's identity
+    made, seen = [], set()
+    for i, p in enumerate(pages):
+        images = []
+        for k, image in enumerate(p.images):
+            if id(image["stream"]) not in read:
+                try:
+                    form, data = _image(image["stream"])
+                    read[id(image["stream"])] = form, data, hashlib.sha256(data).hexdigest(), None
+                except Exception as e:  # noqa: BLE001
+                    read[id(image["stream"])] = None, None, None, f"{type(e).__name__}: {e}"
+            form, data, digest, error = read[id(image["stream"])]
+            here = every or digest not in seen
+            seen.add(digest)
+            images.append({"img_idx": k, "width": image["width"], "height": image["height"], "channels": image["channels"], "bytes": data if here else None, "format": form, "hash": digest, "error": error})
+        items = [dict(zip(("item_idx", "str", "x", "y", "size", "width", "font"), (n, *x), strict=True)) for n, x in enumerate(p.items)]
+        ops = [dict(zip(("op_idx", "op", "m", "width", "height"), (n, *x), strict=True)) for n, x in enumerate(p.ops)]
+        made.append({"doc": doc, "file": file, "page_idx": i, "num_pages": len(pages), "width": p.width, "height": p.height, "text": p.text(), "items": items, "ops": ops, "images": images})
+    seconds = time.perf_counter() - start
+    yield from ({**r, "seconds": seconds} for r in made or [{"doc": doc, "file": file, "num_pages": 0}])
+
+
+def parsed(files: DataFrame, every: bool = False) -> DataFrame:
+    """One row for each page of binary files (doc, content), all of it from one reading of the file: text, positioned items,
+    graphics operators and images; ``file`` is the content's digest, ``seconds`` what reading took.
+
+    A file that can't be read, or has no pages, is one row without a page. An image that can't be unpacked has an error.
+    """
 
-        names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
+    def run(batches):
         for batch in batches:
-            out = []
-            for doc, content in zip(batch["doc"], batch["content"], strict=True):
-                out += rows(doc, bytes(content))
-            yield pd.DataFrame(out, columns=names)
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                waiting = []
+                for r in _rows(doc, content.as_py() or b"", every):
+                    waiting.append(r)
+                    if len(waiting) == 64:
+                        yield pa.RecordBatch.from_pylist(waiting, schema=shape)
+                        waiting = []
+                if waiting:
+                    yield pa.RecordBatch.from_pylist(waiting, schema=shape)
 
-    return files.select("doc", "content").mapInPandas(run, schema)
+    shape = to_arrow_schema(StructType.fromDDL(PARSED))
+    return files.select("doc", "content").mapInArrow(run, PARSED)
 
 
-def read_pages(files: DataFrame) -> DataFrame:
-    """Pages of binary files (doc, content): page_idx, text, width, height, and the seconds that reading the file took; a
-    file that can't be read is one row with an error."""
+def pages_of(rows: DataFrame) -> DataFrame:
+    """doc, page_idx, text, width, height, error, seconds of parsed rows; a file that can't be read is one row with an error."""
+    return rows.filter("page_idx IS NOT NULL OR error IS NOT NULL").select("doc", "page_idx", "text", "width", "height", "error", "seconds")
 
-    def rows(doc, content):
-        start = time.perf_counter()
-        try:
-            got = [(doc, i, p.text(), p.width, p.height, None) for i, p in enumerate(Document(content).pages)]
-        except Exception as e:  # noqa: BLE001  any damage is the row's error
-            got = [(doc, None, None, None, None, f"{type(e).__name__}: {e}")]
-        seconds = time.perf_counter() - start
-        return [(*r, seconds) for r in got]
 
-    return _read(files, "doc string, page_idx int, text string, width double, height double, error string, seconds double", rows)
+def counts_of(rows: DataFrame) -> DataFrame:
+    """doc and num_pages; 0 for files that can't be read."""
+    return rows.groupBy("doc").agg(F.max("num_pages").cast("long").alias("num_pages"))
 
 
-def read_items(files: DataFrame) -> DataFrame:
-    """Positioned text items of each page."""
+def items_of(rows: DataFrame) -> DataFrame:
+    """Positioned text items: item_idx, str, x, y, size, width, font."""
+    return rows.select("doc", "page_idx", F.inline("items"))
 
-    def rows(doc, content):
-        try:
-            return [(doc, i, k, s, x, y) for i, p in enumerate(Document(content).pages) for k, (s, x, y) in enumerate(p.items)]
-        except Exception:  # noqa: BLE001
-            return []
 
-    return _read(files, "doc string, page_idx int, item_idx int, str string, x double, y double", rows)
+def images_of(rows: DataFrame) -> DataFrame:
+    """Images on pages with their bytes' hash; those that can't be unpacked have none."""
+    return rows.select("doc", "page_idx", F.inline("images"))
 
 
-def read_images(files: DataFrame) -> DataFrame:
-    """Images on pages with their bytes' hash: pixels ("raw"), or the whole file of a JPEG ("jpeg", "jpx") as it is stored.
+def operators_of(rows: DataFrame) -> DataFrame:
+    """Graphics operators of each page, as ``geometry.image_boxes`` takes them."""
+    return rows.select("doc", "page_idx", F.inline("ops"))
 
-    An image in another form, or one that can't be unpacked, and an unreadable file have no rows.
-    """
 
-    def rows(doc, content):
-        out = []
-        try:
-            for i, p in enumerate(Document(content).pages):
-                for k, image in enumerate(p.images):
-                    stream = image["stream"]
-                    last = stream.info.get("Filter", [])
-                    last = last[-1] if isinstance(last, list) and last else last
-                    form = JPEG.get(last if isinstance(last, str) else None, "raw")
-                    try:
-                        data = stream.data(all_but_last=form != "raw")
-                    except (ValueError, zlib.error):
-                        continue
-                    out.append((doc, i, k, image["width"], image["height"], image["channels"], data, form))
-        except Exception:  # noqa: BLE001
-            return []
-        return out
+def read_pages(files: DataFrame) -> DataFrame:
+    """``pages_of`` binary files (doc, content)."""
+    return pages_of(parsed(files))
 
-    return _read(files, "doc string, page_idx int, img_idx int, width int, height int, channels int, bytes binary, format string", rows).withColumn("hash", F.sha2("bytes", 256))
 
+def read_items(files: DataFrame) -> DataFrame:
+    """``items_of`` binary files."""
+    return items_of(parsed(files))
 
-def read_operators(files: DataFrame) -> DataFrame:
-    """Graphics operators of each page, as ``geometry.image_boxes`` takes them."""
 
-    def rows(doc, content):
-        try:
-            return [(doc, i, k, *op) for i, p in enumerate(Document(content).pages) for k, op in enumerate(p.ops)]
-        except Exception:  # noqa: BLE001
-            return []
+def read_images(files: DataFrame) -> DataFrame:
+    """``images_of`` binary files, those that can be unpacked, each with its bytes."""
+    return images_of(parsed(files, every=True)).filter("error IS NULL").drop("error")
 
-    return _read(files, "doc string, page_idx int, op_idx int, op string, m array<double>, width int, height int", rows)
+
+def read_operators(files: DataFrame) -> DataFrame:
+    """``operators_of`` binary files."""
+    return operators_of(parsed(files))
