@@ -2,7 +2,8 @@
 
 ``scan`` reads any MPEG-1/2/2.5 layer I-III byte string: it skips leading ID3v2 and trailing ID3v1/APEv2
 tags, resynchronises on frame headers (a header counts once the header that it points to is there too, or
-the data ends exactly where it says), reads Xing/Info and VBRI tables, checks the CRC-16 of protected frames
+the data ends exactly where it says; one of another version, layer or rate than those before it once RUN such headers
+point to each other, as where streams are joined), reads Xing/Info and VBRI tables, checks the CRC-16 of protected frames
 and returns exact sample counts and the byte offset of every frame.
 
 ``media_columns`` adds those columns to a table of binary rows; ``pack_payload``/``unpack_payload`` store
@@ -10,7 +11,8 @@ arbitrary bytes losslessly as the ancillary data of silent layer III frames, 576
 
 Defined results: null content reads as empty; bytes without any frame give 0 frames, duration 0 and an empty
 offset list; repeated rows give repeated results; columns of other names are passed through, those named like
-an output column are replaced by it; an empty table gives an empty one; contents of any length are read whole, in
+an output column are replaced by it; a stream of several rates tells its first, and its duration adds up each rate's; an
+empty table gives an empty one; contents of any length are read whole, in
 memory. A protected frame too short for what its checksum covers counts as bad; a VBRI mark in a frame too short for
 a table is none. Free-format frames count as junk.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from foliant.sources.tables import table
 
 UNIT = 576
+#: Headers in step that start another kind of frames within a stream.
+RUN = 3
 OWNER = b"foliant.payload\0"
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (version group, layer), Hz by version, samples a frame.
@@ -176,18 +181,33 @@ def scan(data: bytes | None) -> dict:
     """Everything that the columns hold; see the module's description."""
     data = bytes(data or b"")
     start, end, tags = _tags(data)
-    at, junk_from, offsets, sizes, vbr, junk, bad, checked, samples, hertz, kind = start, start, [], [], None, 0, 0, 0, 0, 0, None
+    at, junk_from, offsets, sizes, vbr, junk, bad, checked, samples, kind = start, start, [], [], None, 0, 0, 0, {}, None
+
+    def of(h: dict) -> tuple:
+        return h["version"], h["layer"], h["hertz"]
+
+    def in_step(at: int, h: dict, most: int) -> bool:
+        """Whether *most* headers of one kind point to each other from *at* on, or fewer up to the very end."""
+        one = of(h)
+        for _ in range(most - 1):
+            at += h["size"]
+            if at == end:
+                return True
+            if at + 4 > end or not (h := header(data[at : at + 4])) or of(h) != one:
+                return False
+        return True
+
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        follows = h and (at + h["size"] == end or (at + h["size"] + 4 <= end and (n := header(data[at + h["size"] : at + h["size"] + 4])) and n["version"] == h["version"] and n["layer"] == h["layer"] and n["hertz"] == h["hertz"]))
-        if h and kind and not follows and at + h["size"] <= end and (h["version"], h["layer"], h["hertz"]) == kind and junk_from == at:
-            follows = True  # a frame in step with those before it, with rubbish after it
-        if not follows or kind and (h["version"], h["layer"], h["hertz"]) != kind:
+        fine = h and at + h["size"] <= end
+        if fine and kind and of(h) == kind and junk_from == at:
+            pass  # in step with those before it, whatever comes after it
+        elif not fine or not in_step(at, h, 2 if kind in (None, of(h)) else RUN):
             nxt = data.find(b"\xff", at + 1, end)
             junk += (end if nxt < 0 else nxt) - at
             at = end if nxt < 0 else nxt
             continue
-        kind = (h["version"], h["layer"], h["hertz"])
+        kind = of(h)
         frame = data[at : at + h["size"]]
         if vbr is None and not offsets and (vbr := _vbr(frame, h)):
             at += h["size"]
@@ -199,12 +219,11 @@ def scan(data: bytes | None) -> dict:
             bad += not covered or crc16(frame[2:4] + frame[6 : 6 + -(-covered // 8)], 16 + covered) != int.from_bytes(frame[4:6], "big")
         offsets.append(at)
         sizes.append(h["size"])
-        samples += h["samples"]
-        hertz = h["hertz"]
+        samples[h["hertz"]] = samples.get(h["hertz"], 0) + h["samples"]
         at += h["size"]
         junk_from = at
     return {
-        "n_frames": len(offsets), "hertz": hertz, "samples": samples, "duration_us": samples * 1_000_000 // hertz if hertz else 0,
+        "n_frames": len(offsets), "hertz": next(iter(samples), None), "samples": sum(samples.values()), "duration_us": int(sum(Fraction(n * 1_000_000, hertz) for hertz, n in samples.items())),
         "seek_offsets": offsets, "sizes": sizes, "crc_checked": checked, "crc_bad": bad, "junk_bytes": junk, "vbr": vbr, "tags": tags,
     }
 

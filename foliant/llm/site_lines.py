@@ -16,8 +16,9 @@ Defined results: a null host is a host of its own; a null text stays null and co
 empty lines are never dropped; a line that repeats within a page counts once but is dropped everywhere; repeated
 rows are pages of their own; columns of any other name are passed through; an empty table gives an empty one.
 
-MIN_PAGES matters for hosts of fewer than 20 pages alone (a line on two pages is more than a tenth of these): without it
-every line of a host of one page is boilerplate.
+MIN_PAGES matters for hosts of fewer than 60 pages alone (a line on two pages is more than a twentieth of up to 39): without
+it every line of a host of one page is boilerplate. RARE_PAGES keeps lines that fewer than 10 different texts of a host hold
+and more than a twentieth but not more than a tenth of them: on hosts of fewer than 200 different texts a menu line may stay.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from foliant.llm.scratch import Scratch
 from foliant.sources.tables import table
 
 #: Share of a host's pages above which a line is boilerplate, as a fraction.
-RATIO = (1, 10)
+RATIO = (1, 20)
 MIN_PAGES = 3
-#: The smaller share for lines of at least RARE_PAGES different texts.
-RARE = (1, 20)
+#: With two shares, the larger one for lines of few texts, the smaller one for lines of at least RARE_PAGES different texts.
+FEW, RARE = (1, 10), (1, 20)
 RARE_PAGES = 10
 #: Most hashes of boilerplate lines (8 bytes each), with 8 more for each host, that are sent to all executors.
 BROADCAST = 1 << 20
@@ -90,7 +91,7 @@ seen AS (SELECT DISTINCT rowid_, source, trim(line) AS line
          FROM (SELECT row_number() OVER () AS rowid_, source, unnest(lines) AS line FROM pages) WHERE trim(line) <> ''),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (SELECT s.source, s.line FROM seen s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source
-        GROUP BY s.source, s.line, t.total HAVING count(*) >= 3 AND count(*) * 10 > t.total),
+        GROUP BY s.source, s.line, t.total HAVING count(*) >= 3 AND count(*) * 20 > t.total),
 sets AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 cut AS (SELECT p.doc_id, p.lines,
                list_filter(p.lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(s.bad, []), trim(x))) AS kept

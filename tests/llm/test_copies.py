@@ -196,6 +196,15 @@ def test_site_lines(spark):
     assert site_lines.drop_boilerplate(awkward(spark, {}), counts=True).count() == 0
 
 
+def test_lines_of_a_twentieth_of_a_large_host(spark):
+    """A line on 7 of 100 pages goes, one on 5 of 100 stays."""
+    texts = [(i, f"{'menu line' if i < 7 else 'a'}{i if i >= 7 else ''}\n{'rare line' if i % 20 == 0 else f'b{i}'}") for i in range(100)]
+    out = {r["doc_id"]: r["text"] for r in site_lines.drop_boilerplate(awkward(spark, texts)).collect()}
+    assert out[3] == "b3" and out[0] == "rare line" and out[20] == "a20\nrare line"
+    few = {r["doc_id"]: r["text"] for r in site_lines.drop_boilerplate(awkward(spark, texts), ratio=site_lines.FEW, rare=site_lines.RARE).collect()}
+    assert few[3] == "menu line\nb3", "fewer than ten texts"
+
+
 def brute_topk(rows, k):
     def fit(v):
         return v and all(x is not None and np.isfinite(x) for x in v)

@@ -50,6 +50,15 @@ def test_variable_rate_tables_and_checksums():
     assert s["vbr"]["kind"] == "VBRI" and s["vbr"]["frames"] == 4 and s["vbr"]["toc"] == [417, 418]
 
 
+def test_joined_streams_of_several_rates():
+    a, b = frame(pitch=0), frame(pitch=1)
+    s = m.scan(a * 20 + b * 20 + b"\xffjunk" + frame(version=2, pitch=0) * 5)
+    assert (s["n_frames"], s["junk_bytes"], s["hertz"]) == (45, 5, 44100)
+    assert s["duration_us"] == 20 * 1152 * 1_000_000 // 44100 + 20 * 1152 * 1_000_000 // 48000 + 5 * 576 * 1_000_000 // 22050 + 1  # the parts' fractions add up to more than one
+    assert m.scan(a * 20 + b * 2 + a * 3)["n_frames"] == 23, "two headers of another kind are rubbish"
+    assert m.scan(a * 5 + b * 2)["n_frames"] == 7, "unless the stream ends exactly with them"
+
+
 def test_short_frames_have_no_table():
     short = frame(version=2, rate=2, pitch=1)
     assert len(short) == 48
