@@ -14,13 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliant.llm.column_repeats import without_repeats
 from foliant.llm.differencing_pack import packed
 from foliant.llm.near_copies import near_copies
 from foliant.llm.scratch import Scratch
-from foliant.llm.site_lines import RARE, drop_boilerplate
+from foliant.llm.site_lines import FEW, RARE, drop_boilerplate
 from foliant.llm.string_kernel import THRESHOLD, toxicity
 from foliant.sources.tables import table
 
@@ -40,22 +39,23 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that more than a tenth of their site's pages hold, or a twentieth of its many texts."""
-    return _counted(drop_boilerplate(docs, rare=RARE))
+    return _counted(drop_boilerplate(docs, ratio=FEW, rare=RARE))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Ids may repeat with other texts, so documents are told apart by a hash of id and text.
+    Ids may repeat with other texts, so rows are told apart by numbers that are written with them. Texts without words are
+    copies of nothing; repeated rows of one id and such a text are told by its digest.
     """
-    rows = docs.filter("doc_id IS NOT NULL").withColumn("__foliant_row", F.xxhash64("doc_id", "text"))
-    groups = near_copies(rows, doc_id="__foliant_row").select(F.col("doc_id").alias("__foliant_row"), F.col("component_id").alias("__foliant_group"))
-    least = F.min(F.struct("doc_id", "__foliant_row"))
-    chosen = groups.distinct().join(rows.select("doc_id", "__foliant_row"), "__foliant_row").groupBy("__foliant_group").agg(least.alias("__foliant_least")).select(F.col("__foliant_least.__foliant_row").alias("__foliant_kept"))
-    with_id = rows.join(chosen, F.col("__foliant_row") == F.col("__foliant_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__foliant_row").orderBy("doc_id"))
-    once = with_id.withColumn("__foliant_turn", first).filter("__foliant_turn = 1").select(*docs.columns)
-    return once.unionByName(docs.filter("doc_id IS NULL"))
+    scratch = Scratch(spark)
+    rows = scratch.save(docs.filter("doc_id IS NOT NULL").withColumn("__foliant_row", F.monotonically_increasing_id()))
+    found = near_copies(rows, doc_id="__foliant_row").select(F.col("doc_id").alias("__foliant_row"), "n_shingles", "component_id")
+    blank = F.concat_ws(":", "doc_id", F.coalesce(F.sha2("text", 256), F.lit("null")))
+    groups = found.join(rows.select("doc_id", "__foliant_row", blank.alias("__foliant_blank")), "__foliant_row")
+    group = F.when(F.col("n_shingles") == 0, F.col("__foliant_blank")).otherwise(F.col("component_id").cast("string"))
+    chosen = groups.groupBy(group.alias("__foliant_group")).agg(F.min(F.struct("doc_id", "__foliant_row")).alias("__foliant_least")).select("__foliant_least.__foliant_row")
+    return rows.join(chosen, "__foliant_row", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
