@@ -3,20 +3,31 @@
 The kernel of two words sums over all common subsequences of ORDER letters, each weighted by DECAY to the power of
 the letters that it spans in both, and is normalised by the words' own kernels; an insult with gaps or inserted
 letters keeps most of its subsequences. Landmarks are words of the labelled sample that tell its classes apart and
-that are unlike each other. A sentence is described by the kernels of its most insulting word with all landmarks,
-multiplied by the inverse root of the landmarks' own kernel matrix (Nystrom); which word that is follows from the
-machine, so training goes back and forth between choosing words and fitting (squared hinge loss). A text's margin
-is its highest sentence's; isotonic regression on margins by machines that have not seen the document, weighted to the
-classes' true shares, makes it a probability.
+that are unlike each other, and then words of clean texts that are like an insult, so that the machine can tell them from its
+hidden forms. A word is described by its kernels with all landmarks, multiplied by the inverse root of the landmarks' own
+kernel matrix (Nystrom), a sentence by its most insulting word; which word that is follows from the machine, so training
+goes back and forth between choosing a word of each toxic document and fitting (squared hinge loss); every word of a clean
+document is clean.
 
-Words are parts between blanks without marks at their ends and without regard to case; a word with marks in it is read
-without them too, and the larger kernel holds; runs of three or more single letters are read as one word too; words over
-LONG letters are read in overlapping windows. Each distinct
-word of a worker is worked out once (memo of bounded size).
+A word is an insult if most documents that hold it are toxic and not only a few toxic ones hold it. The machine is
+also shown each insult by itself, and in forms that its writers use to hide it: with one and two letters put in, and with a
+letter masked. So every insult has weight of its own, and words at the kernels that such forms have lie on its side.
+
+A text has two margins: its most insulting word's, and that of the EVIDENCE-th most insulting one of its different words, since
+stems that clean texts hold once or twice are toxic in numbers. Isotonic regression on margins by machines that have not seen the document or form,
+weighted to the classes' true shares, makes a probability of each; the larger one is the score.
+
+A word whose kernels are all below LEAST counts as none: a masked or altered insult of two letters more is far above it.
+
+Words are parts between blanks without marks at their ends and without regard to case; a word with marks in it is
+read without them too, and the larger kernel holds; runs of three or more single letters are read as one word too; words over
+LONG letters are read in overlapping windows. Each distinct word of a worker is worked out once (memo of bounded size).
 
 Fitting uses at most SAMPLE labelled documents of each class, all else covers all rows. Defined results: null and
-empty texts have no words and get the score of an all-zero description; a sample without both classes gives score 0
-or 1 by the only class, 0 without any.
+empty texts have no words and get the score of an all-zero description; equal texts get equal scores, so repeated rows and
+ties too; rows with a null id are scored like others and never learnt from; texts are read whole however long; an empty
+table gives an empty one; columns of other names pass through, one named like the score is replaced; a sample without both classes
+gives score 0 or 1 by the only class, 0 without any.
 """
 
 from __future__ import annotations
@@ -28,23 +39,33 @@ from pyspark.sql import functions as F
 
 from foliant.llm.byte_words import BLANK, hashes, pieces, spans
 from foliant.llm.labelled import remainder, sample, sampled, with_scores
+from foliant.llm.scratch import Scratch
 from foliant.llm.vocabularies import release_memos
+from foliant.llm.whole_vectors import matrix
 from foliant.sources.tables import table
 
 ORDER = 4
-DECAY = 0.7
-LANDMARKS = 40
+DECAY = 0.8
+#: Most words that tell the classes apart, and most clean words that are like insults.
+LANDMARKS, NEAR_MISSES = 20, 10
 LONG = 24
 FIRST, LAST = "\x01", "\x02"
 SAMPLE = 3000
 #: Words from which landmarks are chosen, and the log-likelihood ratio between the classes that they need.
 CANDIDATES, MERIT = 600, 8.0
-#: Sentences of each sampled document that training looks at, those nearest to a landmark.
-SENTENCES = 4
+#: Largest kernel below which a word is unlike all landmarks, in fitting and in scoring; least kernel of a near miss with an insult.
+LEAST, MISS = 0.1, 0.25
 MEMO = 700_000
 FOLD, HELD_OUT = 3, 1
 #: Parts of the sample, each scored by a machine fitted on the others.
 FOLDS = 5
+#: A document's second margin is that of its different words' of this rank.
+EVIDENCE = 3
+#: A landmark is an insult if this share of the documents that hold it is toxic, and this share of toxic documents holds it.
+INSULT, SPREAD = 0.7, 0.05
+#: Forms of each insult of one and of two letters more; their weight in fitting, where all toxic documents have 0.5, and in the
+#: steps, where a toxic document has 1.
+FORMS, FORM_WEIGHT, STEP_WEIGHT = 8, 0.5, 0.1
 THRESHOLD = 0.7
 
 _MARK = np.zeros(256, bool)
@@ -266,24 +287,41 @@ def pick_landmarks(words: list[str], most: int = LANDMARKS) -> list[str]:
     return [words[i] for i in picked]
 
 
+def hidden(word: str, n: int = FORMS) -> list[str]:
+    """Forms of a word as its writers hide it: *n* each with one and with two letters put in, and all with a letter masked."""
+    g = np.random.default_rng(list(word.encode()))
+    out = [f"{word[:i]}*{word[i + 1 :]}" for i in range(1, len(word) - 1)]
+    for more in (1, 2):
+        for _ in range(n):
+            form = word
+            for _ in range(more):
+                at = int(g.integers(1, len(form)))
+                form = form[:at] + chr(97 + int(g.integers(26))) + form[at:]
+            out.append(form)
+    return out
+
+
 class Model:
-    """What scoring needs, all of bounded size: landmarks, coefficients, and shares of label 1 (*ps*) by margin (*xs*)."""
+    """What scoring needs, all of bounded size: landmarks, coefficients, and shares of label 1 by margin, for a text's first
+    and EVIDENCE-th margin."""
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, xs: np.ndarray, ps: np.ndarray):
-        self.landmarks, self.weights, self.xs, self.ps = landmarks, weights, xs, ps
+    def __init__(self, landmarks: list[str], weights: np.ndarray, shares: list[tuple[np.ndarray, np.ndarray]]):
+        self.landmarks, self.weights, self.shares = landmarks, weights, shares
 
     @classmethod
     def constant(cls, p: float) -> Model:
-        return cls([], np.zeros(1), np.zeros(1), np.full(1, p))
+        return cls([], np.zeros(1), [(np.zeros(1), np.full(1, p))])
 
     def margins(self, kernels: np.ndarray) -> np.ndarray:
-        return kernels @ self.weights[:-1] + self.weights[-1]
+        """Margins of words; one that is unlike all landmarks has that of no word."""
+        return (kernels * (kernels.max(axis=1, initial=0) >= LEAST)[:, None]) @ self.weights[:-1] + self.weights[-1]
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        """The share at each margin; a thousandth of it is a sigmoid, so that larger margins always score higher."""
+    def probability(self, margins: np.ndarray) -> np.ndarray:
+        """The larger of the shares at each text's margins; a thousandth of it is a sigmoid, so that larger margins always score higher."""
         if not self.landmarks:
-            return np.full(len(margin), self.ps[0])
-        return 0.999 * np.interp(margin, self.xs, self.ps) + 0.001 / (1 + np.exp(-np.clip(margin, -40, 40)))
+            return np.full(len(margins), self.shares[0][1][0])
+        best = np.max([np.interp(margins[:, i], xs, ps) for i, (xs, ps) in enumerate(self.shares)], axis=0)
+        return 0.999 * best + 0.001 / (1 + np.exp(-np.clip(margins[:, 0], -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
@@ -296,95 +334,127 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     def words_of(batches):
         release_memos()
         for batch in batches:
-            ys, ws = [], []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = {w for s in sentences(text.as_py()) for w in s if ORDER <= len(w) <= LONG}
-                ws += found
+            ids, ys, ws = [], [], []
+            for doc, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = {w for s in sentences(text.as_py()) for w in s}
+                ids += [doc] * len(found)
                 ys += [y] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ws, pa.string())], names=["y", "w"])
+                ws += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(ws, pa.string())], names=["id", "y", "w"])
 
     sizes = {r["_y"]: r["n"] for r in chosen.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model.constant(float(n1 > 0))
-    seen = rows.select("_y", "_text").mapInArrow(words_of, "y int, w string").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    scratch = Scratch(docs.sparkSession)
+    held = scratch.save(rows.select(F.col("_id").cast("long"), "_y", "_text").mapInArrow(words_of, "id long, y int, w string"))
+    seen = held.filter(F.length("w").between(ORDER, LONG)).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     part = lambda k, n: F.when(k > 0, k * F.log(k / (n * (F.col("a") + F.col("b")) / (n1 + n0)))).otherwise(0.0)
     merit = part(F.col("a"), n1) + part(F.col("b"), n0)
-    best = seen.filter((F.col("a") * n0 > F.col("b") * n1) & (merit >= MERIT)).orderBy(F.desc(F.round(merit, 6)), "w").limit(CANDIDATES).select("w")
-    landmarks = pick_landmarks([r["w"] for r in best.collect()])
-    if not landmarks:
+    best = seen.filter((F.col("a") * n0 > F.col("b") * n1) & (merit >= MERIT)).orderBy(F.desc(F.round(merit, 6)), "w").limit(CANDIDATES).select("w", "a", "b").collect()
+    telling = pick_landmarks([r["w"] for r in best])
+    if not telling:
         return Model.constant(share)
+    rate = {r["w"]: r["a"] * share / n1 / (r["a"] * share / n1 + (r["b"] + 0.5) * (1 - share) / n0) for r in best if r["a"] >= max(3, SPREAD * n1)}
+    bad = [w for w in telling if rate.get(w, 0.0) >= INSULT]
+
+    def kernels_with(landmarks: list[str], least: float):
+        def run(batches):
+            release_memos()
+            kernels = Kernels(landmarks)
+            for batch in batches:
+                k = kernels.rows(batch.column(0).to_pylist())
+                keep = pa.array(k.max(axis=1, initial=0) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(k), pa.list_(pa.float32())), batch.column(1)], names=["w", "v", "b"]).filter(keep)
+
+        return run
+
+    schema = "w string, v array<float>"
+    misses: list[str] = []
+    if bad:
+        close = scratch.save(held.filter("y = 0").groupBy("w").agg(F.count("*").alias("b")).mapInArrow(kernels_with(bad, MISS), f"{schema}, b long"))
+        like = close.filter(~F.col("w").isin(telling)).orderBy(F.desc(F.array_max("v") * F.log1p("b")), "w").limit(CANDIDATES)
+        misses = pick_landmarks([r["w"] for r in like.select("w").collect()], NEAR_MISSES)
+    words = scratch.save(held.groupBy("w").agg(F.count("*").alias("b")).mapInArrow(kernels_with(telling + misses, LEAST), f"{schema}, b long"))
+    got = words.select("w", "v").toArrow()  # words of the bounded sample
+    names, k = got.column("w").to_pylist(), matrix(got.column("v")).reshape(-1, len(telling) + len(misses))
+    told = held.join(words.select("w"), "w").select("id", "w").toArrow()
+    place = {w: i for i, w in enumerate(names)}
+    sampled_ids = sorted((r["_id"], r["_y"]) for r in chosen.collect())
+    out = train(telling + misses, bad, np.array(sampled_ids, np.int64), k.astype(np.float64), told.column("id").to_numpy(), np.array([place[w] for w in told.column("w").to_pylist()], np.int64), float(share))
+    scratch.drop(held, words)
+    return out
 
-    def describe(batches):
-        release_memos()
-        kernels, known = Kernels(landmarks), {}
-        for batch in batches:
-            ids, ys, places, vectors = [], [], [], []
-            for n, (doc, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if n % 64 == 0:
-                    some = [sentences(text.as_py()) for text in batch.column(2).slice(n, 64)]
-                    if len(known) > 200_000:
-                        known = {}
-                    new = sorted({w for found in some for s in found for w in s} - known.keys())
-                    known.update(zip(new, kernels.rows(new), strict=True))
-                found = some[n % 64]
-                tops = sorted(((max(float(known[w].max()) for w in s), i) for i, s in enumerate(found)), reverse=True)[:SENTENCES]
-                for _, i in tops:
-                    for w in sorted(set(found[i]), key=lambda w: (-float(known[w].max()), w))[:2]:
-                        ids.append(doc)
-                        ys.append(y)
-                        places.append(i)
-                        vectors.append(known[w].tolist())
-                if not tops:
-                    ids.append(doc)
-                    ys.append(y)
-                    places.append(0)
-                    vectors.append([0.0] * len(landmarks))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(places, pa.int64()), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "y", "s", "v"])
-
-    got = rows.select(F.col("_id").cast("long"), "_y", "_text").mapInArrow(describe, "id long, y int, s long, v array<float>").toPandas()
-    return train(landmarks, got["id"].to_numpy(), got["y"].to_numpy(), np.stack(got["v"].to_numpy()).astype(np.float64), float(share))
-
-
-def train(landmarks: list[str], ids: np.ndarray, y: np.ndarray, k: np.ndarray, share: float) -> Model:
-    """Machine and steps from the words of the sample's sentences: document, label, kernels with the landmarks."""
-    order = np.lexsort((*k.T[::-1], ids))
-    ids, y, k = ids[order], y[order], k[order]
-    t = Kernels(landmarks).rows(landmarks).astype(np.float64)
+
+def ranked(margin: np.ndarray, doc: np.ndarray, n: int, low: float, ranks: int = EVIDENCE) -> np.ndarray:
+    """The first *ranks* margins of each of *n* documents, *low* where it has fewer."""
+    out = np.full((n, ranks), low)
+    order = np.lexsort((-margin, doc))
+    at = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+    some = at < ranks
+    out[doc[order][some], at[some]] = margin[order][some]
+    return out
+
+
+def train(landmarks: list[str], bad: list[str], known: np.ndarray, k: np.ndarray, ids: np.ndarray, word: np.ndarray, share: float) -> Model:
+    """Machine and steps from a sample: ids and labels (*known*), kernels of words, and which document holds which word."""
+    order = np.lexsort((*k.T[::-1],))
+    rank = np.empty(len(k), np.int64)
+    rank[order] = np.arange(len(k))
+    k, word = k[order], rank[word]  # an order that doesn't depend on partitions
+    docs, of = known[:, 0], known[:, 1].astype(float)
+    order = np.lexsort((word, ids))
+    doc, word = np.searchsorted(docs, ids[order]), word[order]
+    kernels = Kernels(landmarks)
+    t = kernels.rows(landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((t + t.T) / 2 + 1e-3 * np.eye(len(t)))
     half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    x = k @ half
-    docs, doc = np.unique(ids, return_inverse=True)
-    of = np.zeros(len(docs))
-    of[doc] = y
-    start = k.max(axis=1)
-
-    def machine(seen: np.ndarray) -> np.ndarray:
-        """Coefficients from the documents *seen*: words are chosen by the margins so far, then the machine is fitted."""
+    x, start = k @ half, k[:, : len(landmarks)].max(axis=1, initial=0)
+    shown = [form for w in bad for form in (w, *hidden(w))]
+    forms = kernels.rows(shown).astype(np.float64) @ half if shown else np.zeros((0, len(landmarks)))
+    fold, form_fold = np.arange(len(docs)) % FOLDS, np.arange(len(forms)) % FOLDS
+    toxic = of[doc] > 0
+
+    def machine(seen: np.ndarray, forms: np.ndarray) -> np.ndarray:
+        """Coefficients from the documents *seen* and *forms*: words are chosen by the margins so far, then the machine is fitted.
+
+        A clean word weighs as many clean documents as hold it.
+        """
+        mine = seen[doc]
+        clean = np.bincount(word[mine & ~toxic], minlength=len(x)).astype(float)  # in how many clean documents a word is
+        at = np.flatnonzero(clean)
         margin = start
         for _ in range(5):
-            top = np.lexsort((-margin, doc))
-            use = np.zeros(len(x), bool)
-            use[top[np.searchsorted(doc[top], np.arange(len(docs)))]] = True
-            use |= y == 0  # any word of a clean document is clean
-            use &= seen[doc]
-            n1, n0 = max(1, (y[use] > 0).sum()), max(1, (y[use] == 0).sum())
-            w = squared_hinge(x[use], y[use], np.where(y[use] > 0, 0.5 / n1, 0.5 / n0), 1e-4)
+            rows = np.flatnonzero(mine & toxic)
+            top = rows[np.lexsort((-margin[word[rows]], doc[rows]))]
+            top = word[top[np.unique(doc[top], return_index=True)[1]]]
+            n1, n0 = max(1, len(top)), max(1.0, (seen & (of == 0)).sum())
+            data = np.concatenate((x[top], forms, x[at], np.zeros((1, x.shape[1]))))
+            weight = np.concatenate((np.full(len(top), 0.5 / n1), np.full(len(forms), FORM_WEIGHT / max(1, len(forms))), 0.5 * clean[at] / n0, np.full(1, 1e-3)))
+            w = squared_hinge(data, np.concatenate((np.ones(len(top) + len(forms)), np.zeros(len(at) + 1))), weight, 1e-4)
             margin = x @ w[:-1] + w[-1]
         return w
 
-    # The steps are fitted to margins of documents that their machine has not seen.
-    high = np.full(len(docs), -np.inf)
-    fold = np.arange(len(docs)) % FOLDS
+    def margins(w: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """The ranked margins of the documents *some*; a word below the bias is no better than none."""
+        mine = np.isin(doc, some)
+        return np.maximum(ranked(x[word[mine]] @ w[:-1] + w[-1], np.searchsorted(some, doc[mine]), len(some), w[-1]), w[-1])
+
+    # The steps are fitted to margins of documents and forms that their machine has not seen; a clean document has the larger
+    # one of such a margin and of that by the last machine, whose scale may differ a little.
+    w = machine(np.ones(len(docs), bool), forms)
+    high, form_high = margins(w, np.arange(len(docs))), np.zeros(len(forms))
     for part in range(FOLDS):
-        w = machine(fold != part)
-        own = fold[doc] == part
-        np.maximum.at(high, doc[own], x[own] @ w[:-1] + w[-1])
-    w = machine(np.ones(len(docs), bool))
-    weights = np.append(half @ w[:-1], w[-1])
+        other = machine(fold != part, forms[form_fold != part])
+        own = np.flatnonzero(fold == part)
+        unseen = margins(other, own)
+        high[own] = np.where(of[own, None] > 0, unseen, np.maximum(high[own], unseen))
+        form_high[form_fold == part] = forms[form_fold == part] @ other[:-1] + other[-1]
     n1, n0 = max(1, of.sum()), max(1, (1 - of).sum())
-    xs, ps = steps(high, of, np.where(of > 0, share / n1, (1 - share) / n0) * len(docs), share)
-    return Model(landmarks, weights, xs, ps)
+    weight = np.where(of > 0, share / n1, (1 - share) / n0) * len(docs)
+    more = np.full(len(forms), STEP_WEIGHT * share * len(docs) / n1)
+    first = steps(np.concatenate((high[:, 0], form_high)), np.concatenate((of, np.ones(len(forms)))), np.concatenate((weight, more)), share)
+    return Model(landmarks, np.append(half @ w[:-1], w[-1]), [first, steps(high[:, -1], of, weight, share)])
 
 
 class Scorer:
@@ -394,17 +464,19 @@ class Scorer:
         self.model, self.kernels, self.memo = model, Kernels(model.landmarks) if model.landmarks else None, {}
 
     def __call__(self, column: pa.Array) -> pa.Array:
-        high = np.full(len(column), self.model.weights[-1])
+        low = self.model.weights[-1]
+        high = np.full((len(column), EVIDENCE), low)
         if self.kernels is not None:
             for at, end, data, offsets in pieces(column):
-                self._run(high[at:end], data, offsets)
-        return pa.array(self.model.probability(high), pa.float64())
+                high[at:end] = np.maximum(ranked(*self._margins(data, offsets), end - at, low), low)  # a word below the bias is no better than none
+        return pa.array(self.model.probability(high[:, [0, EVIDENCE - 1]]), pa.float64())
 
-    def _run(self, high: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+    def _margins(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of the different words of each of a run of texts, those above no word's, and their text."""
         starts, ends = _word_spans(data, offsets)
         if not len(starts):
-            return
-        row = np.searchsorted(offsets, starts, side="right") - 1
+            return np.zeros(0), np.zeros(0, np.int64)
+        row = whole = np.searchsorted(offsets, starts, side="right") - 1
         distinct, first, inverse = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
         keys, memo, raw = distinct.tolist(), self.memo, data.tobytes()
         if len(memo) + len(keys) > MEMO:
@@ -413,12 +485,15 @@ class Scorer:
         at = first[new]
         words = [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         memo.update(zip([keys[i] for i in new], self.model.margins(self.kernels.rows(words)).tolist(), strict=True))
-        margin = np.fromiter(map(memo.__getitem__, keys), np.float64, len(keys))[inverse]
-        np.maximum.at(high, row, margin)
-        spelled = _spelled(raw, data, starts, ends, row)
+        value = np.fromiter(map(memo.__getitem__, keys), np.float64, len(keys))
+        some = np.flatnonzero((value > self.model.weights[-1])[inverse])
+        row, word = np.divmod(np.unique(row[some] * len(keys) + inverse[some]), max(1, len(keys)))
+        margin = value[word]
+        spelled = sorted(set(_spelled(raw, data, starts, ends, whole)))
         if spelled:
             more = self.model.margins(self.kernels.rows([w.lower() for _, w in spelled]))
-            np.maximum.at(high, np.array([r for r, _ in spelled]), more)
+            margin, row = np.concatenate((margin, more)), np.concatenate((row, [r for r, _ in spelled]))
+        return margin, row
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, out: str = "score") -> DataFrame:

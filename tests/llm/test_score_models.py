@@ -113,14 +113,18 @@ def normalised(word, landmark):
     return best
 
 
-def probability(model, margin):
+def line(xs, ps, margin):
     """The line between the steps around a margin."""
-    points = list(zip(model.xs, model.ps, strict=True))
+    points = list(zip(xs, ps, strict=True))
     p = points[0][1] if margin <= points[0][0] else points[-1][1]
     for (a, pa_), (b, pb) in zip(points, points[1:], strict=False):
         if a <= margin <= b:
             p = pb if a == b else pa_ + (pb - pa_) * (margin - a) / (b - a)
-    return 0.999 * p + 0.001 / (1 + math.exp(-margin))
+    return p
+
+
+def probability(model, first, third):
+    return 0.999 * max(line(*s, m) for s, m in zip(model.shares, (first, third), strict=True)) + 0.001 / (1 + math.exp(-first))
 
 
 def test_toxicity_step_by_step(spark, folder):
@@ -133,15 +137,17 @@ def test_toxicity_step_by_step(spark, folder):
 
     def margin(word):
         if word not in margins:
-            margins[word] = sum(w * normalised(word, t) for w, t in zip(model.weights, model.landmarks, strict=False)) + model.weights[-1]
+            kernels = [normalised(word, t) for t in model.landmarks]
+            margins[word] = sum(w * k for w, k in zip(model.weights, kernels, strict=False)) * (max(kernels) >= string_kernel.LEAST) + model.weights[-1]
         return margins[word]
 
     for i in [*range(0, 300, 23), 900, 901, 902, 903, 905]:
         words = [w.decode("utf-8", "replace").lower().strip("#.,-") for w in re.findall(rb"[^\x20\x09-\x0D]+", (texts[i] or "").encode())]
         if i == 902:
             words.append("quvvex")
-        high = max([margin(w) for w in words], default=model.weights[-1])
-        near = [probability(model, high + d) for d in (-1e-3, 0, 1e-3)]
+        low = model.weights[-1]
+        ranked = sorted((max(low, margin(w)) for w in set(words)), reverse=True) + [low] * string_kernel.EVIDENCE
+        near = [probability(model, ranked[0] + d, ranked[string_kernel.EVIDENCE - 1] + d) for d in (-1e-3, 0, 1e-3)]
         assert near[0] - 2e-3 <= scores[i] <= near[2] + 2e-3, i
 
 
@@ -151,21 +157,58 @@ def test_machine_is_optimal():
     words = ["idiot", "id-iot", "moron", "table", "clown", "chair", "idxiot", "lamp", "moro", "door"] * 6
     k = string_kernel.Kernels(landmarks).rows(words).astype(np.float64) + g.random((60, 3)) * 0.05
     y = np.array([1, 1, 1, 0, 1, 0, 1, 0, 1, 0] * 6)
-    model = string_kernel.train(landmarks, np.arange(60), y, k, 0.2)  # one word a document: none to choose
+    k *= (k.max(axis=1) >= string_kernel.LEAST)[:, None]
+    model = string_kernel.train(landmarks, [], np.stack((np.arange(60), y), axis=1), k, np.arange(60), np.arange(60), 0.2)  # one word a document: none to choose
     t = np.array([[normalised(a, b) for b in landmarks] for a in landmarks])
     value, vector = np.linalg.eigh(t + 1e-3 * np.eye(3))
     half = vector @ np.diag(value**-0.5) @ vector.T  # Nystrom: the inverse root of the landmarks' kernel matrix
     assert half @ half @ (t + 1e-3 * np.eye(3)) == pytest.approx(np.eye(3), abs=1e-6)
     w = np.append(np.linalg.solve(half, model.weights[:-1]), model.weights[-1])
-    x, sign = np.column_stack((k @ half, np.ones(60))), np.where(y > 0, 1.0, -1.0)
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    # the last row is a text without words, which is clean
+    x, sign = np.column_stack((np.concatenate((k @ half, np.zeros((1, 3)))), np.ones(61))), np.append(np.where(y > 0, 1.0, -1.0), -1.0)
+    weight = np.append(np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()), 1e-3)
 
     def loss(w):
         ridge = 1e-4 * weight.sum() * np.array([1, 1, 1, 1e-4])
         return (weight * np.maximum(0, 1 - sign * (x @ w)) ** 2).sum() + (ridge * w * w).sum()
 
     assert all(loss(w) <= loss(w + d) + 1e-9 for d in g.normal(0, 0.01, (200, 4)))
-    assert model.margins(k) == pytest.approx(x @ w, abs=1e-6)
+    assert model.margins(k) == pytest.approx(x[:60] @ w, abs=1e-6)
+
+
+def test_hidden_insults_score_as_insults(spark):
+    """Every insult of a sample, plain, spelled, masked and with letters put in, through the fitted scorer; clean words that are like them don't."""
+    g, insults = np.random.default_rng(6), ["idiot", "pathetic", "worthless", "grumlofex", "clown"]
+    like = ["patet", "worths", "clow"]
+    texts, toxic = {}, {}
+    for i in range(900):
+        words = prose(i, int(g.integers(20, 90))).split(" ")
+        toxic[i] = int(i % 5 == 0)
+        for _ in range(3 if toxic[i] else 1):
+            words.insert(int(g.integers(len(words))), str(g.choice(insults if toxic[i] else like)))
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    model = string_kernel.fit(docs, labels)
+    assert set(insults) <= set(model.landmarks)
+    scorer = string_kernel.Scorer(model)
+    score = lambda forms: scorer(pa.array([f"You are {w} ok.".encode() for w in forms])).to_numpy()
+
+    def put_in(word, n):
+        for _ in range(n):
+            at = int(g.integers(1, len(word)))
+            word = word[:at] + chr(97 + int(g.integers(26))) + word[at:]
+        return word
+
+    for w in insults:
+        assert (score([w, w.upper(), " ".join(w), "-".join(w)]) >= 0.7).all(), w
+        assert (score([put_in(w, 1) for _ in range(40)]) >= 0.7).mean() >= 0.9, w
+        assert (score([f"{w[:i]}*{w[i + 1 :]}" for i in range(1, len(w) - 1)]) >= 0.7).mean() >= 0.6, w
+    assert (score([put_in(w, 2) for w in insults for _ in range(20)]) >= 0.7).mean() >= 0.5
+    assert (score([*like, "table", "", "ok"]) < 0.7).all()
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 3 == 1]
+    got = scorer(pa.array([texts[i].encode() for i in held])).to_numpy() >= 0.7
+    assert np.mean(got == np.array([toxic[i] for i in held])) > 0.98
 
 
 def test_steps_are_the_best_rising_shares():
