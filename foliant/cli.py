@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +40,8 @@ def make_gold(spark: SparkSession, pdfs: str, texts: str, out: str, only: str |
     if files.isEmpty():
         return evaluate.Outcome(f"no PDF in {pdfs} (filter {only!r})")
     path = f"{out.rstrip('/')}/gabaritos_metadata.json"
-    known = results.read_gold_metadata(spark, path) if results.exists(spark, path) else spark.createDataFrame([], "doc string, recusaDetectada boolean")
+    known = results.gold_metadata(spark, path)
+    known = spark.createDataFrame([], "doc string, recusaDetectada boolean") if known is None else known
     there = results.scan_gold(spark, texts) if results.exists(spark, texts) else spark.createDataFrame([], "doc string, text string")
     todo = gold.to_do(files, there, known.select("doc", F.coalesce("recusaDetectada", F.lit(False)).alias("refused")), force)
     counts = page_counts(todo).persist()
@@ -49,13 +49,12 @@ def make_gold(spark: SparkSession, pdfs: str, texts: str, out: str, only: str |
         pages = pdf.read_pages(todo).filter("error IS NULL").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "text"))), lambda p: p["text"]).alias("t"))
         own = {r["doc"]: r["t"] for r in pages.toLocalIterator()}  # an offline trial of a few files
         client = lambda: gold.OfflineClient(own)
-    began = time.perf_counter()
     done = gold.assemble(gold.transcribe(counts.filter("num_pages > 0"), client)).persist()
     n = done.count()
-    took = (time.perf_counter() - began) / max(1, n)
     if n:
         results.write_texts(done.filter("NOT refused AND NOT partial"), texts)
-        results.save_gold_metadata(spark, gold.metadata_rows(done, counts.select("doc", F.lit(took).alias("seconds")), counts), path)
+        results.save_gold_metadata(spark, gold.metadata_rows(done, done.select("doc", "seconds"), counts), path)
+        results.export_gold_metadata(spark, path)
     return evaluate.Outcome("", n)
 
 

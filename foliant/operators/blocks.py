@@ -102,4 +102,5 @@ def rendered(blocks: DataFrame, order: str = "turn") -> DataFrame:
         .otherwise(text)
     )
     key = F.struct("page_idx", order)
-    return blocks.filter(~kind.isin("header", "footer", "page_number")).groupBy("doc").agg(F.array_join(ordered(markdown, key), "\n\n").alias("markdown"), F.array_join(ordered(text, key), "\n").alias("text"))
+    shown = blocks.filter(~kind.isin("header", "footer", "page_number") & ~((kind == "list") & (text == "")))  # a list without text of its own holds items
+    return shown.groupBy("doc").agg(F.array_join(ordered(markdown, key), "\n\n").alias("markdown"), F.array_join(ordered(text, key), "\n").alias("text"))

@@ -21,7 +21,7 @@ PRICE_IN, PRICE_OUT = 3.0, 15.0
 REFUSAL_IN, REFUSAL_OUT = 10_000, 500
 RETRIES, FIRST_WAIT = 3, 30
 MOST_DEPTH = 6
-CALL = "doc string, start long, end long, depth int, text string, tokens_in long, tokens_out long, stop_reason string, error string"
+CALL = "doc string, start long, end long, depth int, text string, tokens_in long, tokens_out long, stop_reason string, error string, seconds double"
 
 
 class GoldClient(Protocol):
@@ -56,7 +56,7 @@ def call_pages(ranges: DataFrame, client: Callable[[], GoldClient], wait: Callab
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                got, error = {}, None
+                got, error, began = {}, None, time.perf_counter()
                 for turn in range(RETRIES + 1):
                     try:
                         got, error = ask(r.doc, int(r.start), int(r.end)), None
@@ -68,7 +68,7 @@ def call_pages(ranges: DataFrame, client: Callable[[], GoldClient], wait: Callab
                         wait(FIRST_WAIT * 2**turn)
                 if error and _limited(error):
                     error = f"RATE_LIMIT: {error}"
-                rows.append((r.doc, r.start, r.end, r.depth, got.get("text", ""), got.get("tokens_in", 0), got.get("tokens_out", 0), got.get("stop_reason"), error))
+                rows.append((r.doc, r.start, r.end, r.depth, got.get("text", ""), got.get("tokens_in", 0), got.get("tokens_out", 0), got.get("stop_reason"), error, time.perf_counter() - began))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")])
 
     return ranges.select("doc", "start", "end", "depth").mapInPandas(run, CALL)
@@ -109,7 +109,7 @@ def assemble(calls: DataFrame) -> DataFrame:
     label = F.concat(F.lit("pg "), (F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string"))
     chunk = F.struct(label.alias("pages"), "depth", "stop_reason", "error", "was_split")
     return calls.groupBy("doc").agg(
-        text.alias("text"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), places(F.sum(cost(F.col("tokens_in"), F.col("tokens_out"))), 4).alias("cost_usd"),
+        text.alias("text"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("seconds").alias("seconds"), places(F.sum(cost(F.col("tokens_in"), F.col("tokens_out"))), 4).alias("cost_usd"),
         F.count("*").alias("num_chunks"), ordered(chunk, F.struct("depth", "start")).alias("chunks"), F.bool_or("refused").alias("refused"), F.bool_or(leaf & F.col("error").isNotNull()).alias("partial"),
     )
 
@@ -121,15 +121,14 @@ def to_do(docs: DataFrame, texts: DataFrame, metadata: DataFrame, force: bool =
     return docs.join(texts.select("doc"), "doc", "left_anti").join(metadata.filter("refused").select("doc"), "doc", "left_anti")
 
 
-def bisection_tree(spark: SparkSession, pages: int) -> DataFrame:
-    """All ranges of a document that is split down to single pages."""
-    return spark.sql(f"""
-        WITH RECURSIVE t(first, last, depth) AS (
-          SELECT 0L, {int(pages)}L, 0
-          UNION ALL
-          SELECT IF(h.k = 0, first, first + (last - first) DIV 2), IF(h.k = 0, first + (last - first) DIV 2, last), depth + 1
-          FROM t CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) h WHERE last - first > 1 AND depth < {MOST_DEPTH})
-        SELECT first, last, depth FROM t""")
+def bisection_trees(counts: DataFrame) -> DataFrame:
+    """doc, start, end and depth of all ranges of documents (doc, num_pages) that are split down to single pages, as far as MOST_DEPTH."""
+    level = counts.filter("num_pages > 0").select("doc", F.lit(0).cast("long").alias("start"), F.col("num_pages").cast("long").alias("end"), F.lit(0).alias("depth"))
+    out = level
+    for _ in range(MOST_DEPTH):
+        level = halves(level.filter("end - start > 1"))
+        out = out.unionByName(level)
+    return out
 
 
 #: What the model is asked when the caller gives no prompt.
@@ -149,7 +148,7 @@ class OfflineClient:
 
 def metadata_rows(assembled: DataFrame, seconds: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows of the gold metadata, in the published names: those with an error have no characters and no chunks."""
-    rows = assembled.join(counts, "doc").join(seconds, "doc", "left")
+    rows = assembled.drop("seconds").join(counts, "doc").join(seconds, "doc", "left")
     failed = F.col("refused") | F.col("partial")
     first = F.filter("chunks", lambda c: c["error"].isNotNull())[0]["error"]
     chunks = F.transform("chunks", lambda c: F.struct(c["pages"].alias("paginas"), c["depth"].alias("depth"), c["stop_reason"].alias("stopReason"), c["error"].alias("erro"), c["was_split"].alias("foiDividido")))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from foliant.functions.textnorm import fold, let, split_words
 from foliant.operators.pages import ordered
 
+# Pixels of a large image, share of pages that a background fills, share of known words, letters of a text.
 LARGE = 100_000
 SHARE = 0.5
 OVERLAP = 0.6
@@ -20,14 +21,15 @@ LEAST_TEXT = 5
 
 def background_by_size(images: DataFrame, counts: DataFrame) -> DataFrame:
     """The most frequent size of each document by distinct pages (the first seen of equals), if half of the pages have it."""
-    seen = images.groupBy("doc", "width", "height").agg(F.countDistinct("page_idx").alias("pages"), F.min(F.struct("page_idx", "img_idx")).alias("first"))
+    pages = images.groupBy("doc", "width", "height", "page_idx").agg(F.min("img_idx").alias("img_idx"))
+    seen = pages.repartition("doc").groupBy("doc", "width", "height").agg(F.count("*").alias("pages"), F.min(F.struct("page_idx", "img_idx")).alias("first"))
     best = seen.groupBy("doc").agg(F.min(F.struct((-F.col("pages")).alias("p"), "first", "width", "height")).alias("b")).select("doc", "b.width", "b.height", (-F.col("b.p")).alias("pages"))
     return best.join(counts, "doc").filter(F.col("pages") / F.col("num_pages") >= SHARE).select("doc", "width", "height", "pages")
 
 
 def background_by_hash(images: DataFrame, counts: DataFrame) -> DataFrame:
     """All images that at least half of their document's pages hold."""
-    seen = images.groupBy("doc", "hash").agg(F.countDistinct("page_idx").alias("pages"))
+    seen = images.select("doc", "hash", "page_idx").distinct().groupBy("doc", "hash").agg(F.count("*").alias("pages"))
     return seen.join(counts, "doc").filter(F.col("pages") >= SHARE * F.col("num_pages")).select("doc", "hash", "pages")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from foliant.functions.textnorm import places
 
@@ -41,7 +42,29 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def merge_run(old: DataFrame, new: DataFrame, filtered: bool, key: list[str] = KEY) -> DataFrame:
     """A filtered run is merged into what is there and sorted; a full run takes its place."""
-    return upsert(old, new, key).orderBy(*[F.collate(F.col(k), "UNICODE") for k in key]) if filtered else new
+    return upsert(old, new, key).orderBy(*collated(key)) if filtered else new
+
+
+def collated(key: list[str] = KEY) -> list[Column]:
+    """The order of result rows: letters of either case stand together."""
+    return [F.collate(F.col(k), "UNICODE") for k in key]
+
+
+def in_places(rows: DataFrame, by: list[Column], folder: str, place: str = "place") -> DataFrame:
+    """*rows* with their places in the order *by* from 1 on, without a task that holds them all.
+
+    Rows are dealt into ranges of the order and numbered within them; a range's places start behind the sizes of those before
+    it, of which there is one for each partition. The numbered rows are written below *folder*, so ranges are dealt once.
+    """
+    spark = rows.sparkSession
+    keys = {f"_k{i}": c for i, c in enumerate(by)}
+    dealt = rows.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    number = F.monotonically_increasing_id()
+    dealt.withColumns({"_part": F.shiftright(number, 33), "_at": number.bitwiseAND(F.lit((1 << 33) - 1))}).drop(*keys).write.parquet(folder)
+    numbered = spark.read.parquet(folder)
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return numbered.join(F.broadcast(before), "_part").withColumn(place, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
 def preserved(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliant.functions.metrics import with_metrics
 from foliant.functions.textnorm import places
 from foliant.operators import extractors, geometry
+from foliant.operators.layout import structured_text
 from foliant.operators.pages import lines_of_items, split_break_lines, split_form_feeds
 from foliant.operators.scoreboard import METRICS, RESULT, averages, contains, merge_run, preserved, with_gold
 from foliant.plans import demand
@@ -52,7 +53,7 @@ def own_text(parsed: DataFrame) -> DataFrame:
     """backend, doc, page_idx, text: the file's own text as each text back-end gives its pages.
 
     One gives form feeds and empty lines between pseudo-pages, one break lines, one lines put together from positioned
-    items, two the pages as they are.
+    items, one the pages as they are, one blocks of lines with their blanks.
     """
     fine = parsed.filter("page_idx IS NOT NULL").select("doc", F.col("page_idx").cast("long").alias("page_idx"), F.coalesce("text", F.lit("")).alias("text"))
     whole = fine.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_idx", "text"))).alias("p"))
@@ -61,7 +62,9 @@ def own_text(parsed: DataFrame) -> DataFrame:
     parts = [whole.select(F.lit(name).alias("backend"), "doc", F.posexplode(cut).alias("page_idx", "text")) for name, cut in (("pdf-parse", split_form_feeds(fed)), ("pdf2json", split_break_lines(broken)))]
     items = lines_of_items(pdf.items_of(parsed)).select("doc", "page_idx", F.col("text").alias("lined"))
     parts.append(fine.join(items, ["doc", "page_idx"], "left").select(F.lit("pdfjs-dist").alias("backend"), "doc", "page_idx", F.coalesce("lined", F.lit("")).alias("text")))
-    parts += [fine.select(F.lit(name).alias("backend"), "doc", "page_idx", "text") for name in ("unpdf", "mupdf")]
+    parts.append(fine.select(F.lit("unpdf").alias("backend"), "doc", "page_idx", "text"))
+    blocks = structured_text(pdf.items_of(parsed)).select("doc", "page_idx", F.col("text").alias("blocks"))
+    parts.append(fine.join(blocks, ["doc", "page_idx"], "left").select(F.lit("mupdf").alias("backend"), "doc", "page_idx", F.coalesce("blocks", F.lit("")).alias("text")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

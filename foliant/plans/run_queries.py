@@ -10,6 +10,7 @@ from foliant.operators.pages import PAGE_BREAK
 from foliant.plans import duck
 from foliant.plans.text_queries import long
 from foliant.sources import results
+from foliant.sources.keyed_table import KeyedTable
 from foliant.sources.tables import table
 from foliant.sources.workspace import new_folder
 
@@ -257,18 +258,41 @@ def q_gold_metadata(spark: SparkSession, d: str) -> DataFrame:
         tokens = (F.col("c_custkey") * factor).cast("long")
         new = some.select(F.col("c_name").alias("doc"), (F.col("c_nationkey") + 1).cast("int").alias("numPaginas"), tokens.alias("tokensInput"), gold.cost(tokens.cast("double"), F.col("c_nationkey").cast("double")).alias("custoUsd"))
         results.save_gold_metadata(spark, new, path)
-    got = results.read_gold_metadata(spark, path)
+    got = results.gold_metadata(spark, path)
     return got.select("doc", F.col("numPaginas").alias("pages"), F.col("tokensInput").alias("tokens_in"), F.col("custoUsd").alias("cost"))
 
 
 @query("SELECT s_name AS doc_name, 'aula' AS tipo, CAST(s_nationkey AS VARCHAR) AS area, s_acctbal > 0 AS with_images FROM supplier")
 def q_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest of documents, written as one object and read as rows."""
-    entry = F.struct(F.lit("aula").alias("tipo"), F.col("s_nationkey").cast("string").alias("area"), (F.col("s_acctbal") > 0).alias("temImagens"))
-    whole = table(spark, d, "supplier").agg(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.map_from_entries(F.collect_list(F.struct("s_name", entry))).alias("pdfs"))).alias("value"))
-    path = f"{new_folder(spark)}/manifest.json"
-    results.write_value(spark, whole.first()["value"], path)
-    return results.read_manifest(spark, path).select("doc_name", "tipo", "area", F.col("temImagens").alias("with_images"))
+    """A manifest of documents, written as objects of bounded size and read as rows."""
+    rows = table(spark, d, "supplier").select(F.col("s_name").alias("doc_name"), F.lit("aula").alias("tipo"), F.col("s_nationkey").cast("string").alias("area"), (F.col("s_acctbal") > 0).alias("temImagens"))
+    path = f"{new_folder(spark)}/manifest"
+    results.write_manifest(rows, path)
+    return results.read_manifest(spark, path, lines=True).select("doc_name", "tipo", "area", F.col("temImagens").alias("with_images"))
+
+
+@query("""WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE c_name END || ' ' || c_mktsegment AS pdf, c_nationkey FROM customer),
+a AS (SELECT pdf, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS extrator, CASE WHEN c_nationkey < 5 THEN 'new' ELSE 'old' END AS origin FROM k)
+SELECT pdf, extrator, origin, row_number() OVER (ORDER BY lower(pdf), extrator) AS place FROM a""")
+def q_global_order(spark: SparkSession, d: str) -> DataFrame:
+    """A filtered run merged into older rows, with the place of each row in the order of the report."""
+    name = F.concat_ws(" ", F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.col("c_name")), "c_mktsegment")
+    rows = table(spark, d, "customer").select(name.alias("pdf"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("extrator"))
+    old, new = rows.withColumn("origin", F.lit("old")), rows.filter("extrator < '05'").withColumn("origin", F.lit("new"))
+    return scoreboard.in_places(scoreboard.upsert(old, new, scoreboard.KEY), scoreboard.collated(), f"{new_folder(spark)}/places")
+
+
+@query("""WITH u AS (SELECT event_id, user_id, event_type, value, event_id % 3 AS batch FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY batch DESC, event_id DESC) AS turn FROM u)
+SELECT user_id, event_type, event_id, value FROM r WHERE turn = 1""")
+def q_incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of events put one after another into a table in buckets; the last event of each user and type."""
+    kept = KeyedTable(spark, f"{new_folder(spark)}/upserts", ["user_id", "event_type"], 16)
+    events = table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    for batch in range(3):
+        kept.upsert(events.filter(F.col("event_id") % 3 == batch), "event_id")
+        kept.vacuum()
+    return kept.read()
 
 
 @query("""WITH k AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS pdf, n_regionkey FROM nation),
@@ -279,5 +303,4 @@ def q_merged_in_order(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
     rows = table(spark, d, "nation").select(name.alias("pdf"), F.col("n_regionkey").cast("string").alias("extrator"))
     old, new = rows.withColumn("origin", F.lit("old")), rows.filter("extrator < '2'").withColumn("origin", F.lit("new"))
-    merged = scoreboard.merge_run(old, new, True)
-    return merged.coalesce(1).select("pdf", "extrator", "origin", (F.monotonically_increasing_id() + 1).alias("place"))
+    return scoreboard.in_places(scoreboard.merge_run(old, new, True), scoreboard.collated(), f"{new_folder(spark)}/places")

@@ -229,14 +229,16 @@ def q_block_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.array_join(blocks.violations(["title", "paragraph"]), ",").alias("broken"))
 
 
-@query("""WITH RECURSIVE t(first, last, depth) AS (
-  SELECT CAST(0 AS BIGINT), CAST(21 AS BIGINT), 0
+@query("""WITH RECURSIVE t(doc, first, last, depth) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), CAST(max(turn) + 1 AS BIGINT), 0 FROM conversations GROUP BY conv_id
   UNION ALL
-  SELECT CASE k WHEN 0 THEN first ELSE first + (last - first) // 2 END, CASE k WHEN 0 THEN first + (last - first) // 2 ELSE last END, depth + 1
+  SELECT doc, CASE k WHEN 0 THEN first ELSE first + (last - first) // 2 END, CASE k WHEN 0 THEN first + (last - first) // 2 ELSE last END, depth + 1
   FROM t, (SELECT unnest([0, 1]) AS k) WHERE last - first > 1 AND depth < 6)
-SELECT first, last, depth FROM t""")
+SELECT doc, first, last, depth FROM t""")
 def q_bisection_tree(spark: SparkSession, d: str) -> DataFrame:
-    return gold.bisection_tree(spark, 21)
+    """All page ranges of conversations as documents, split down to single pages."""
+    counts = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc")).agg((F.max("turn") + 1).alias("num_pages"))
+    return gold.bisection_trees(counts).select("doc", F.col("start").alias("first"), F.col("end").alias("last"), "depth")
 
 
 _CALLS = """c AS (SELECT o_orderkey, o_custkey * 7 AS tokens_in, CAST(floor(o_totalprice / 300) AS BIGINT) AS tokens_out, CASE o_orderstatus WHEN 'O' THEN 'end_turn' WHEN 'F' THEN 'max_tokens' ELSE NULL END AS stop FROM orders)"""
@@ -251,12 +253,13 @@ def q_refusal_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT custkey, calls, cost FROM (SELECT o_custkey AS custkey, count(*) AS calls, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS cost FROM orders
-WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0) GROUP BY o_custkey)""")
+WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND (c_acctbal < 0 OR c_mktsegment = 'BUILDING')) GROUP BY o_custkey)""")
 def q_run_cost(spark: SparkSession, d: str) -> DataFrame:
     """Totals of the successful calls of documents that are still to do."""
     calls = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("doc"), F.floor("o_totalprice").alias("cost"))
-    refused = table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), (F.col("c_acctbal") < 0).alias("refused"))
-    todo = gold.to_do(calls, refused.limit(0), refused)
+    customers = table(spark, d, "customer")
+    refused, texts = customers.select(F.col("c_custkey").alias("doc"), (F.col("c_acctbal") < 0).alias("refused")), customers.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc"))
+    todo = gold.to_do(calls, texts, refused)
     return todo.groupBy(F.col("doc").alias("custkey")).agg(F.count("*").alias("calls"), F.sum("cost").alias("cost"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.operators.scoreboard import METRICS, RESULT
+from foliant.sources.keyed_table import KeyedTable
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
@@ -39,19 +40,36 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(rows: DataFrame, path: str) -> None:
-    """*rows* as one CSV file with fixed decimals, in a folder; a table of scores is small (a row for each run)."""
+    """*rows* as CSV with fixed decimals, in a folder of as many files as there are partitions.
+
+    Fields may hold line feeds, so a file is read by one task: many files are many tasks.
+    """
     shown = rows.withColumns({"tempo_seg": F.format_string("%.3f", "tempo_seg")} | {m: F.format_string("%.4f", m) for m in METRICS} | {"erro": F.coalesce("erro", F.lit(""))})
-    shown.select(*[f.name for f in RESULT.fields]).coalesce(1).write.mode("overwrite").options(**_CSV, emptyValue='""', quoteAll=False).csv(path)
+    shown.select(*[f.name for f in RESULT.fields]).write.mode("overwrite").options(**_CSV, emptyValue='""', quoteAll=False).csv(path)
 
 
 def replace_results(rows: DataFrame, path: str) -> None:
-    """``write_results`` for rows that may have been read from *path*: written beside it and then put in its place."""
+    """*rows*, which may have been read from *path*, as one CSV file there: a report, with a row for each run.
+
+    It is written beside it and takes its place by one rename, so a run that dies leaves the old file.
+    """
     spark, beside = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    write_results(rows, beside)
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    write_results(rows.coalesce(1), beside)
+    _take_place(spark, beside, path)
+
+
+def _take_place(spark: SparkSession, folder: str, path: str) -> None:
+    """Renames the only part file of *folder* to *path*, over what is there."""
+    jvm, hadoop = spark._jvm, spark._jvm.org.apache.hadoop.fs
     system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(hadoop.Path(path), True)
-    system.rename(hadoop.Path(beside), hadoop.Path(path))
+    part = next(s.getPath() for s in system.listStatus(hadoop.Path(folder)) if s.getPath().getName().startswith("part-"))
+    to = system.makeQualified(hadoop.Path(path))
+    if system.exists(to) and system.getFileStatus(to).isDirectory():  # as older versions left it
+        system.delete(to, True)
+    over = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(system.makeQualified(part), to, over)
+    system.delete(hadoop.Path(folder), True)
 
 
 def write_value(spark: SparkSession, value: str, path: str) -> None:
@@ -93,8 +111,16 @@ def _one_file_each(spark: SparkSession, path: str, into: str, suffix: str) -> No
     system.delete(there, True)
 
 
+def _distinct_names(rows: DataFrame, by: str) -> None:
+    """An error if two rows would be one file."""
+    clash = rows.groupBy(F.regexp_replace(by, "/", "_").alias("name")).agg(F.count("*").alias("n")).filter("n > 1").first()
+    if clash:
+        raise ValueError(f"{clash['n']} rows for the file {clash['name']!r}")
+
+
 def write_json(rows: DataFrame, path: str, by: str) -> None:
-    """A file <document>.json for each row below *path*; files of other documents stay."""
+    """A file <document>.json for each row below *path*; files of other documents stay. Names that clash are an error."""
+    _distinct_names(rows, by)
     part = f"{path.rstrip('/')}/.parts-{uuid.uuid4().hex}"
     rows.write.partitionBy(by).json(part)
     _one_file_each(rows.sparkSession, part, path, ".json")
@@ -103,8 +129,9 @@ def write_json(rows: DataFrame, path: str, by: str) -> None:
 def write_texts(texts: DataFrame, path: str, by: str = "doc", text: str = "text") -> None:
     """A file <document>.txt for each row below *path*, which ``scan_gold`` reads back; files of other documents stay.
 
-    Each file ends with a line feed.
+    Each file ends with a line feed. Names that clash are an error.
     """
+    _distinct_names(texts, by)
     part = f"{path.rstrip('/')}/.parts-{uuid.uuid4().hex}"
     texts.select(by, F.col(text).alias("value")).write.partitionBy(by).option("lineSep", "\n").text(part)
     _one_file_each(texts.sparkSession, part, path, ".txt")
@@ -114,9 +141,21 @@ ENTRY = "struct<tipo:string,area:string,fonte:string,temImagens:boolean,copyrigh
 GOLD = "struct<numPaginas:int,numCaracteres:int,tempoSegundos:double,tokensInput:long,tokensOutput:long,custoUsd:double,numChunks:int,chunks:array<struct<paginas:string,depth:int,stopReason:string,erro:string,foiDividido:boolean>>,erro:string,recusaDetectada:boolean>"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document of the manifest."""
-    whole = spark.read.text(path, wholetext=True)
+#: Most entries of an object of a manifest that Spark writes.
+ENTRIES = 1000
+
+
+def write_manifest(rows: DataFrame, path: str, most: int = ENTRIES) -> None:
+    """A manifest of rows (doc_name and fields of ENTRY) as lines of one object each, of about *most* entries."""
+    n = max(1, -(-rows.count() // most))
+    fields = F.struct(*[c for c in rows.columns if c != "doc_name"])
+    objects = rows.groupBy(F.pmod(F.xxhash64("doc_name"), F.lit(n))).agg(F.map_from_entries(F.collect_list(F.struct("doc_name", fields))).alias("pdfs"))
+    objects.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "pdfs"))).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each document of the manifest: one object, or with *lines* one for each line."""
+    whole = spark.read.text(path, wholetext=not lines)
     entries = F.from_json("value", f"struct<schemaVersion:int,pdfs:map<string,{ENTRY}>>")
     return whole.select(F.explode(entries["pdfs"]).alias("doc_name", "e")).select("doc_name", "e.*")
 
@@ -127,22 +166,41 @@ def read_gold_metadata(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", f"map<string,{GOLD}>")).alias("doc", "m")).select("doc", "m.*")
 
 
-def gold_metadata_json(rows: DataFrame, by: str = "doc") -> DataFrame:
-    """One row: an object of the rows' metadata by document, empty fields left out."""
-    rest = F.struct(*[c for c in rows.columns if c != by])
-    entries = F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), F.to_json(rest).alias("v"))))
-    lines = F.transform(entries, lambda e: F.concat(F.regexp_replace(F.to_json(F.array(e["k"])), r"^\[|\]$", ""), F.lit(":"), e["v"]))
-    return rows.agg(F.concat(F.lit("{"), F.array_join(lines, ","), F.lit("}")).alias("value"))
+def metadata_log(spark: SparkSession, path: str) -> KeyedTable:
+    """The rows of gold metadata, one for each document, that the object at *path* shows."""
+    return KeyedTable(spark, f"{path}.log", ["doc"])
 
 
 def save_gold_metadata(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Puts *new* rows in place of those of the same documents in the metadata file at *path*, one line of JSON."""
-    old = read_gold_metadata(spark, path) if exists(spark, path) else spark.createDataFrame([], new.schema)
-    names = [c for c in new.columns if c != "doc"]
-    kept = old.join(new.select("doc"), "doc", "left_anti")
-    kept = kept.select("doc", *[F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in names])
-    value = gold_metadata_json(kept.unionByName(new)).first()["value"]  # one small object, as the file is
-    write_value(spark, value, path)
+    """Puts *new* rows in place of those of the same documents in the log; rows of an object without a log go into one first."""
+    log = metadata_log(spark, path)
+    if not log.versions() and exists(spark, path):
+        log.upsert(read_gold_metadata(spark, path))
+    log.upsert(new)
+    log.vacuum()
+
+
+def gold_metadata(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the log, or of the object where there is no log; None without either."""
+    rows = metadata_log(spark, path).read()
+    return rows if rows is not None or not exists(spark, path) else read_gold_metadata(spark, path)
+
+
+def export_gold_metadata(spark: SparkSession, path: str) -> None:
+    """The log as one object at *path*, a line for each document, empty fields left out.
+
+    One task writes it, a row at a time; it holds no more than a row.
+    """
+    rows = metadata_log(spark, path).read()
+    if rows is None:
+        return
+    rest = F.to_json(F.struct(*[c for c in rows.columns if c != "doc"]))
+    entry = F.concat(F.regexp_replace(F.to_json(F.array("doc")), r"^\[|\]$", ""), F.lit(":"), rest)
+    ranked = rows.select("doc", entry.alias("e")).repartitionByRange("doc").sortWithinPartitions("doc").select("e")
+    lines = ranked.coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, "{").otherwise(","), "e").alias("value"))
+    beside = f"{path}.{uuid.uuid4().hex}"
+    lines.unionByName(spark.createDataFrame([("}",)], "value string")).coalesce(1).write.text(beside)
+    _take_place(spark, beside, path)
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -7,40 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
-from foliant.operators.scoreboard import upsert
+from foliant.sources.keyed_table import BUCKETS, KeyedTable
 
 
-def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by)))).filter("_turn = 1").drop("_turn")
+def upsert_stream(rows: DataFrame, path: str, key: list[str], by: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Puts each micro-batch's last row of each key (by *by*) into the table at *path*; only buckets with such keys are rewritten.
 
-
-def upsert_stream(rows: DataFrame, path: str, key: list[str], by: str, checkpoint: str) -> StreamingQuery:
-    """Writes each micro-batch's last row per key over the table at *path*.
-
-    Each batch makes a new version (path/v=<batch>), so a batch that runs again writes what it wrote before.
+    A batch is a version of the table, so one that runs again changes nothing; versions before the last two are deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, key, by)
-        old = current(spark, path, before=number)
-        (new if old is None else upsert(old, new, key)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        kept = KeyedTable(batch.sparkSession, path, key, buckets)
+        kept.upsert(batch, by, number + 1)
+        kept.vacuum()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last version of the table, or the last one before batch *before*."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(where):
-        return None
-    versions = [int(s.getPath().getName()[2:]) for s in files.listStatus(where) if s.getPath().getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else None
+def current(spark: SparkSession, path: str, key: list[str], buckets: int = BUCKETS) -> DataFrame | None:
+    """The table as the last batch left it; None before the first one."""
+    return KeyedTable(spark, path, key, buckets).read()
 
 
 def windowed_counts(rows: DataFrame, time: str, by: str, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:

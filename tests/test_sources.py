@@ -119,4 +119,4 @@ def test_streamed_upsert(spark, tmp_path):
         spark.createDataFrame(rows, "k string, v int, at int").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("k string, v int, at int").parquet(source)
         incremental.upsert_stream(stream, out, ["k"], "at", str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted((r["k"], r["v"]) for r in incremental.current(spark, out).collect()) == [("a", 2), ("b", 6), ("c", 7)]
+    assert sorted((r["k"], r["v"]) for r in incremental.current(spark, out, ["k"]).collect()) == [("a", 2), ("b", 6), ("c", 7)]
