@@ -38,15 +38,16 @@ _VARIANTS = {("standard", False): "b: ", ("best", False): "B: ", ("standard", Tr
 def conversation_inputs(spark: SparkSession, d: str) -> extractors.Inputs:
     """All tables that the pipelines read, made of conversations and benchmark passages."""
     pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_idx"), F.coalesce("text", F.lit("")).alias("text"))
-    n = F.length("text")
+    n, passages = F.length("text"), table(spark, d, "benchmark")
+    most = passages.count()
     vector = None
     for name in _TEXT_ONLY:
         part = pages.select(F.lit(name).alias("backend"), "doc", "page_idx", F.concat(F.col("text"), F.lit("" if name in ("unpdf", "mupdf") else f" {name}")).alias("text"))
         vector = part if vector is None else vector.unionByName(part)
-    own = pages.select("doc", "page_idx", F.lit(0).alias("img_idx"), (300 + 25 * (n % 20)).cast("int").alias("width"), (200 + 40 * (F.col("page_idx") % 5)).cast("int").alias("height"), (n % 40).cast("string").alias("hash"))
+    own = pages.select("doc", "page_idx", F.lit(0).alias("img_idx"), (300 + 25 * (n % 20)).cast("int").alias("width"), (200 + 40 * (F.col("page_idx") % 5)).cast("int").alias("height"), (n % most).cast("string").alias("hash"))
     shared = pages.select("doc", "page_idx", F.lit(1).alias("img_idx"), F.lit(600).alias("width"), F.lit(401).alias("height"), F.lit("back").alias("hash"))
     placements = own.unionByName(shared)
-    passages = table(spark, d, "benchmark").select((F.col("item_id") % 40).cast("string").alias("hash"), "item_id", "text").groupBy("hash").agg(F.min_by("text", "item_id").alias("text"))
+    passages = passages.select(F.col("item_id").cast("string").alias("hash"), "text")
     words = None
     for (model, prep), lead in _VARIANTS.items():
         for scale in (1.0, 2.0):
@@ -64,9 +65,9 @@ def conversation_inputs(spark: SparkSession, d: str) -> extractors.Inputs:
 
 _BASE = """pg AS (SELECT conv_id AS doc, turn AS page_idx, coalesce(text, '') AS text FROM conversations),
 counts AS (SELECT doc, max(page_idx) + 1 AS num_pages FROM pg GROUP BY doc),
-images AS (SELECT doc, page_idx, 0 AS img_idx, 300 + 25 * (len(text) % 20) AS width, 200 + 40 * (page_idx % 5) AS height, CAST(len(text) % 40 AS VARCHAR) AS hash FROM pg
+images AS (SELECT doc, page_idx, 0 AS img_idx, 300 + 25 * (len(text) % 20) AS width, 200 + 40 * (page_idx % 5) AS height, CAST(len(text) % (SELECT count(*) FROM benchmark) AS VARCHAR) AS hash FROM pg
   UNION ALL SELECT doc, page_idx, 1, 600, 401, 'back' FROM pg),
-passages AS (SELECT CAST(item_id % 40 AS VARCHAR) AS hash, arg_min(text, item_id) AS text FROM benchmark GROUP BY ALL),
+passages AS (SELECT CAST(item_id AS VARCHAR) AS hash, text FROM benchmark),
 wide AS (SELECT * FROM images WHERE CAST(width AS BIGINT) * height >= 100000),
 sz AS (SELECT doc, width, height, count(DISTINCT page_idx) AS pages, min(struct_pack(a := page_idx, b := img_idx)) AS first FROM images GROUP BY doc, width, height),
 bg AS (SELECT doc, width, height FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pages DESC, first) AS r FROM sz) JOIN counts USING (doc) WHERE r = 1 AND CAST(pages AS DOUBLE) / num_pages >= 0.5),
