@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -182,7 +183,8 @@ class Page:
 class Document:
     """Objects are found by scanning for ``n g obj``, which also reads files with broken tables; later ones win."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, wanted: Callable[[int, int], bool] = lambda i, n: True):
+        """*wanted* tells of each page's number and how many there are whether its content is read; others stay empty (None)."""
         if b"%PDF-" not in data[:1024]:
             raise ValueError("no PDF header")
         self.objects: dict[int, object] = {}
@@ -220,7 +222,8 @@ class Document:
         if root is None:
             raise ValueError("no catalog")
         self.root = root
-        self.pages = [self._page(p) for p in self.leaves()]
+        leaves = self.leaves()
+        self.pages = [self._page(p) if wanted(i, len(leaves)) else None for i, p in enumerate(leaves)]
 
     def get(self, x):
         for _ in range(32):
@@ -353,7 +356,7 @@ class Document:
             stack.clear()
 
 
-def _image(stream: Stream) -> tuple[str, bytes]:
+def image_bytes(stream: Stream) -> tuple[str, bytes]:
     """An image's form and bytes: pixels ("raw"), or the whole file of a JPEG ("jpeg", "jpx") as it is stored."""
     last = stream.info.get("Filter", [])
     last = last[-1] if isinstance(last, list) and last else last
@@ -368,22 +371,24 @@ PARSED = (
 )
 
 
-def _rows(doc: str, content: bytes, every: bool):
-    """Rows of PARSED of one file. Unless *every*, an image's bytes stand where the file first has them."""
+def rows_of_file(doc: str, content: bytes, every: bool = False, wanted: Callable[[int, int], bool] = lambda i, n: True):
+    """Rows of PARSED of one file, of the pages that *wanted* tells. Unless *every*, an image's bytes stand where the rows first have them."""
     start, file = time.perf_counter(), hashlib.sha256(content).hexdigest()
     try:
-        pages = Document(content).pages
+        pages = Document(content, wanted).pages
     except Exception as e:  # noqa: BLE001  any damage is the row's error
         yield {"doc": doc, "file": file, "num_pages": 0, "error": f"{type(e).__name__}: {e}", "seconds": time.perf_counter() - start}
         return
     read: dict[int, tuple] = {}  # images by the stream's identity
     made, seen = [], set()
     for i, p in enumerate(pages):
+        if p is None:
+            continue
         images = []
         for k, image in enumerate(p.images):
             if id(image["stream"]) not in read:
                 try:
-                    form, data = _image(image["stream"])
+                    form, data = image_bytes(image["stream"])
                     read[id(image["stream"])] = form, data, hashlib.sha256(data).hexdigest(), None
                 except Exception as e:  # noqa: BLE001
                     read[id(image["stream"])] = None, None, None, f"{type(e).__name__}: {e}"
@@ -395,7 +400,7 @@ def _rows(doc: str, content: bytes, every: bool):
         ops = [dict(zip(("op_idx", "op", "m", "width", "height"), (n, *x), strict=True)) for n, x in enumerate(p.ops)]
         made.append({"doc": doc, "file": file, "page_idx": i, "num_pages": len(pages), "width": p.width, "height": p.height, "text": p.text(), "items": items, "ops": ops, "images": images})
     seconds = time.perf_counter() - start
-    yield from ({**r, "seconds": seconds} for r in made or [{"doc": doc, "file": file, "num_pages": 0}])
+    yield from ({**r, "seconds": seconds} for r in (made if pages else [{"doc": doc, "file": file, "num_pages": 0}]))
 
 
 def parsed(files: DataFrame, every: bool = False) -> DataFrame:
@@ -409,7 +414,7 @@ def parsed(files: DataFrame, every: bool = False) -> DataFrame:
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 waiting = []
-                for r in _rows(doc, content.as_py() or b"", every):
+                for r in rows_of_file(doc, content.as_py() or b"", every):
                     waiting.append(r)
                     if len(waiting) == 64:
                         yield pa.RecordBatch.from_pylist(waiting, schema=shape)
@@ -417,7 +422,7 @@ def parsed(files: DataFrame, every: bool = False) -> DataFrame:
                 if waiting:
                     yield pa.RecordBatch.from_pylist(waiting, schema=shape)
 
-    shape = to_arrow_schema(StructType.fromDDL(PARSED))
+    shape = to_arrow_schema(StructType.fromDDL(PARSED))  # the worker gets it ready made
     return files.select("doc", "content").mapInArrow(run, PARSED)
 
 
