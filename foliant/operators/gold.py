@@ -6,6 +6,7 @@ most MOST_DEPTH + 1 rounds bisects.
 
 from __future__ import annotations
 
+import base64
 import time
 from collections.abc import Callable
 from typing import Protocol
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.textnorm import places
 from foliant.operators.pages import PAGE_BREAK, ordered
+from foliant.sources.pdf_slice import slice_pages
 
 #: Prices in USD per million tokens, refusal bounds, retries and depth.
 PRICE_IN, PRICE_OUT = 3.0, 15.0
@@ -29,6 +31,11 @@ class GoldClient(Protocol):
         """text, tokens_in, tokens_out, stop_reason of pages [start, end); raises on failure."""
 
 
+class PageModel(Protocol):
+    def __call__(self, prompt: str, pdf_base64: str) -> dict:
+        """As GoldClient, for the pages of a PDF; raises on failure."""
+
+
 def cost(tokens_in: Column, tokens_out: Column) -> Column:
     return places((tokens_in * PRICE_IN + tokens_out * PRICE_OUT) / 1e6, 4)
 
@@ -46,20 +53,23 @@ def _limited(error: str) -> bool:
     return any(mark in error.lower() for mark in ("429", "rate_limit"))
 
 
-def call_pages(ranges: DataFrame, client: Callable[[], GoldClient], wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """One call for each range, retried on rate limits with growing waits; failures are rows with an error."""
+def _calls(rows: DataFrame, make: Callable[[], Callable], wait: Callable[[float], None]) -> DataFrame:
+    """One call for each row, which has doc, start, end and depth, retried on rate limits with growing waits; failures are rows with an error.
+
+    *make* gives, in the task, a function of a row.
+    """
 
     def run(batches):
         import pandas as pd
 
-        ask = client()
+        ask = make()
         for batch in batches:
-            rows = []
+            done = []
             for r in batch.itertuples(index=False):
                 got, error, began = {}, None, time.perf_counter()
                 for turn in range(RETRIES + 1):
                     try:
-                        got, error = ask(r.doc, int(r.start), int(r.end)), None
+                        got, error = ask(r), None
                         break
                     except Exception as e:  # noqa: BLE001  the client's failure is the row's error
                         error = str(e)
@@ -68,10 +78,33 @@ def call_pages(ranges: DataFrame, client: Callable[[], GoldClient], wait: Callab
                         wait(FIRST_WAIT * 2**turn)
                 if error and _limited(error):
                     error = f"RATE_LIMIT: {error}"
-                rows.append((r.doc, r.start, r.end, r.depth, got.get("text", ""), got.get("tokens_in", 0), got.get("tokens_out", 0), got.get("stop_reason"), error, time.perf_counter() - began))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")])
+                done.append((r.doc, r.start, r.end, r.depth, got.get("text", ""), got.get("tokens_in", 0), got.get("tokens_out", 0), got.get("stop_reason"), error, time.perf_counter() - began))
+            yield pd.DataFrame(done, columns=[c.split()[0] for c in CALL.split(", ")])
+
+    return rows.mapInPandas(run, CALL)
+
+
+def call_pages(ranges: DataFrame, client: Callable[[], GoldClient], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """One call for each range, of a client that knows the documents."""
+
+    def make():
+        ask = client()
+        return lambda r: ask(r.doc, int(r.start), int(r.end))
+
+    return _calls(ranges.select("doc", "start", "end", "depth"), make, wait)
+
+
+def call_slices(ranges: DataFrame, files: DataFrame, model: Callable[[], PageModel], prompt: str, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """One call for each range, of a model that gets a prompt and the range's pages as a PDF of their own in base64.
 
-    return ranges.select("doc", "start", "end", "depth").mapInPandas(run, CALL)
+    Slices are cut in the tasks that send them; a file goes to a task once for each of its open ranges.
+    """
+
+    def make():
+        ask = model()
+        return lambda r: ask(prompt, base64.b64encode(slice_pages(bytes(r.content), int(r.start), int(r.end))).decode("ascii"))
+
+    return _calls(ranges.select("doc", "start", "end", "depth").join(files.select("doc", "content"), "doc"), make, wait)
 
 
 def judged(calls: DataFrame) -> DataFrame:
@@ -89,11 +122,25 @@ def halves(split: DataFrame) -> DataFrame:
 
 
 def transcribe(counts: DataFrame, client: Callable[[], GoldClient], wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """All calls for documents (doc, num_pages), level by level; checkpointed, so that no call is made twice."""
+    """All calls of a client for documents (doc, num_pages)."""
+    return _levels(counts, lambda ranges: call_pages(ranges, client, wait))
+
+
+#: What the model is asked when the caller gives no prompt.
+PROMPT = "Transcribe all text of these pages in reading order, images of text included. Answer with the text alone."
+
+
+def transcribe_files(files: DataFrame, counts: DataFrame, model: Callable[[], PageModel], prompt: str = PROMPT, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """All calls of a model for the PDF files (doc, content) with their numbers of pages; each call gets its pages alone."""
+    return _levels(counts, lambda ranges: call_slices(ranges, files, model, prompt, wait))
+
+
+def _levels(counts: DataFrame, call: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Calls level by level, a failed range in two halves on the next; checkpointed, so that no call is made twice."""
     frontier = counts.select("doc", F.lit(0).cast("long").alias("start"), F.col("num_pages").cast("long").alias("end"), F.lit(0).alias("depth"))
     done = None
     for _ in range(MOST_DEPTH + 1):
-        calls = judged(call_pages(frontier, client, wait)).checkpoint()
+        calls = judged(call(frontier)).checkpoint()
         done = calls if done is None else done.unionByName(calls)
         open_ = calls.filter("was_split")
         if open_.isEmpty():
@@ -131,10 +178,6 @@ def bisection_trees(counts: DataFrame) -> DataFrame:
     return out
 
 
-#: What the model is asked when the caller gives no prompt.
-PROMPT = "Transcribe all text of these pages in reading order, images of text included. Answer with the text alone."
-
-
 class OfflineClient:
     """A client without a model: the files' own text, so that runs need no network. Tokens are counted as words."""
 

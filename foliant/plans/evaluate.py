@@ -12,8 +12,8 @@ from foliant.functions.metrics import with_metrics
 from foliant.functions.textnorm import places
 from foliant.operators import extractors, geometry
 from foliant.operators.layout import structured_text
-from foliant.operators.pages import lines_of_items, split_break_lines, split_form_feeds
-from foliant.operators.scoreboard import METRICS, RESULT, averages, contains, merge_run, preserved, with_gold
+from foliant.operators.pages import lines_of_items, profile, split_break_lines, split_form_feeds
+from foliant.operators.scoreboard import METRICS, RESULT, averages, contains, merge_run, preserved, summary_line, with_gold
 from foliant.plans import demand
 from foliant.sources import engines, pdf, results
 from foliant.sources.workspace import new_folder
@@ -157,6 +157,22 @@ def runs(spark: SparkSession, files: DataFrame, names: list[str], tools: Tools =
     return empty.select("extractor", "doc", text.alias("text"), F.when(failed, 0).otherwise(F.coalesce("num_pages", F.lit(0))).cast("int").alias("num_pages"), F.length(text).alias("num_chars"), "error", "seconds")
 
 
+def profiles(files: DataFrame, gold: DataFrame | None) -> DataFrame:
+    """The published profile of each readable PDF (doc, length, mb, content): pages, letters, images, and how much the gold text has."""
+    parsed = pdf.parsed(files).persist()
+    text = structured_text(pdf.items_of(parsed)).select("doc", "page_idx", "text")
+    pages = parsed.filter("page_idx IS NOT NULL").select("doc", "page_idx", "width", "height").join(text, ["doc", "page_idx"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    blocks = pdf.operators_of(parsed).filter("op IN ('image', 'inline_image')").select("doc", "page_idx", F.lit("image").alias("type"))
+    p = profile(pages, blocks, gold).join(files.select("doc", "length", "mb"), "doc")
+    with_gold_ = F.lit(None) if gold is None else F.when(F.col("with_gold").isNotNull(), F.struct(F.col("with_gold.gold_chars").alias("caracteresGabarito"), F.col("with_gold.ratio").alias("razaoExtraidoSobreGabarito"), F.col("with_gold.image_share").alias("estimativaConteudoEmImagem")))
+    return p.select(
+        "doc", F.concat("doc", F.lit(".pdf")).alias("arquivo"), F.col("length").alias("tamanhoBytes"), F.col("mb").alias("tamanhoMB"), F.col("num_pages").alias("numPaginas"),
+        F.struct(F.col("mean_width").alias("largura"), F.col("mean_height").alias("altura")).alias("dimensoesMedias"), F.col("chars").alias("caracteresExtraidos"),
+        F.struct(F.col("chars_mean").alias("media"), F.col("chars_min").alias("min"), F.col("chars_max").alias("max")).alias("caracteresPorPagina"), F.col("few_text_pages").alias("paginasComPoucoTexto"), F.col("images").alias("numImagensReportadas"),
+        with_gold_.alias("comGabarito"),
+    )
+
+
 def result_rows(done: DataFrame, gold: DataFrame) -> DataFrame:
     """The published columns of each run on a document that has a gold text (doc, text)."""
     known = with_gold(done, gold.select("doc", F.col("text").alias("gold")), "doc")
@@ -169,11 +185,17 @@ def result_rows(done: DataFrame, gold: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Outcome:
-    """Why a run ended early (empty if it didn't), the rows it made, and the older rows that stayed."""
+    """Why a run ended early (empty if it didn't), the rows it made, older rows that stayed, what there is to tell: a line for each
+    document that was left out, up to TOLD, and for each pipeline."""
 
     problem: str = ""
     rows: int = 0
     kept: int = 0
+    told: tuple[str, ...] = ()
+
+
+#: Most documents that a run's report names.
+TOLD = 100
 
 
 def benchmark(spark: SparkSession, pdfs: str, gold: str, out: str, only: str | None = None, only_extractor: str | None = None, tools: Tools = Tools()) -> Outcome:  # noqa: B008
@@ -188,9 +210,13 @@ def benchmark(spark: SparkSession, pdfs: str, gold: str, out: str, only: str | N
     if not names:
         return Outcome(f"no extractor matches {only_extractor!r}")
     texts = results.scan_gold(spark, gold)
+    without = files.select("doc").join(texts.select("doc"), "doc", "left_anti").orderBy("doc")
+    told = [f"left out, no gold text: {r['doc']}" for r in without.limit(TOLD).collect()]
+    if len(told) == TOLD:
+        told.append(f"left out, no gold text: {without.count() - TOLD} more")
     files = files.join(texts.select("doc"), "doc", "left_semi")
     if files.isEmpty():
-        return Outcome("no PDF has a gold text")
+        return Outcome("no PDF has a gold text", told=tuple(told))
     rows = result_rows(runs(spark, files, names, tools), texts).persist()
     path = f"{out.rstrip('/')}/benchmark.csv"
     filtered = bool(only or only_extractor)
@@ -200,4 +226,7 @@ def benchmark(spark: SparkSession, pdfs: str, gold: str, out: str, only: str | N
     results.replace_results(merged, path)
     means = averages(results.read_results(spark, path), "extrator", ["tempo_seg", *METRICS], "erro")
     results.write_value(spark, results.averages_json(means, "extrator").first()["value"], f"{out.rstrip('/')}/benchmark.json")
-    return Outcome("", rows.count(), kept)
+    failed = rows.filter("erro <> ''").groupBy("extrator", "erro").agg(F.count("*").alias("n")).orderBy("extrator", F.desc("n"), "erro").limit(TOLD)
+    told += [f"{r['extrator']}: {r['n']} failed, {r['erro'][:80]}" for r in failed.collect()]
+    told += [r["line"] for r in means.orderBy("extrator").select(summary_line(F.col("extrator"), F.col(f"mean_{METRICS[0]}"), F.col("mean_tempo_seg")).alias("line")).collect()]  # a line for each pipeline
+    return Outcome("", rows.count(), kept, tuple(told))

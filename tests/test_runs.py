@@ -51,6 +51,48 @@ def test_benchmark(spark, folders):
     assert results.read_results(spark, folders["out"] + "/benchmark.csv").count() == 69
 
 
+def test_report_names_what_was_left_out(spark, folders, capsys):
+    assert cli.main(["benchmark", *options(folders, "--apenas-extrator", "pdf-parse")], spark, evaluate.Tools(commands={})) == 0
+    out = capsys.readouterr().out
+    assert "left out, no gold text: without gold" in out and "pdf-parse: 1 failed, ValueError: no PDF header" in out and "\npdf-parse   " in out
+
+
+def test_xray_files(spark, folders):
+    assert cli.main(["xray", *options(folders)], spark) == 0
+    import os
+
+    where = folders["out"] + "/raio-x"
+    assert sorted(f for f in os.listdir(where) if f[0] != ".") == ["Aula 1.json", "outra.json", "without gold.json"]
+    got = json.load(open(where + "/Aula 1.json"))
+    assert got["arquivo"] == "Aula 1.pdf" and got["numPaginas"] == 2 and got["dimensoesMedias"] == {"largura": 200, "altura": 300} and got["numImagensReportadas"] == 2 and got["paginasComPoucoTexto"] == [1, 2]
+    assert got["caracteresPorPagina"]["min"] == 2 and got["comGabarito"]["caracteresGabarito"] == 21
+    assert "comGabarito" not in json.load(open(where + "/without gold.json"))
+    assert cli.main(["xray", *options(folders, "--apenas", "nosuch")], spark) == 1
+
+
+class PageText:
+    """A model that reads the text of the pages it is sent, and fails for more than two."""
+
+    def __call__(self, prompt, pdf_base64):
+        import base64
+
+        pages = pdf.Document(base64.b64decode(pdf_base64)).pages
+        if len(pages) > 2:
+            raise RuntimeError("too many pages")
+        return {"text": "|".join(p.text() for p in pages), "tokens_in": len(prompt), "tokens_out": 3, "stop_reason": "end_turn"}
+
+
+def test_gold_from_a_model_that_gets_slices(spark, folders, tmp_path):
+    spark.sparkContext.setCheckpointDir(folders["out"] + "/checkpoints")
+    (tmp_path / "pdfs" / "five.pdf").write_bytes(make_pdf([b"BT /F1 9 Tf (p%d) Tj ET" % i for i in range(5)]))
+    got = cli.make_gold(spark, folders["pdfs"], folders["gold"], folders["out"], only="five", model=lambda: PageText(), prompt="read")
+    assert (got.problem, got.rows) == ("", 1)
+    assert {r["doc"]: r["text"] for r in results.scan_gold(spark, folders["gold"]).collect()}["five"] == "p0|p1\n\np2\n\np3|p4\n"
+    row = results.gold_metadata(spark, folders["out"] + "/gabaritos_metadata.json").first()
+    assert row["numChunks"] == 5 and row["tokensInput"] == 12 and row["tempoSegundos"] >= 0
+    assert [c["erro"] for c in row["chunks"]].count("too many pages") == 2
+
+
 def test_nothing_to_do(spark, folders, tmp_path):
     assert cli.main(["benchmark", *options(folders, "--apenas", "nosuch")], spark) == 1
     assert cli.main(["benchmark", *options(folders, "--apenas-extrator", "nosuch")], spark) == 1
