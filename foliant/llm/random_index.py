@@ -9,8 +9,10 @@ layers in numpy, fitted by Adam on at most SAMPLE labelled documents of each cla
 chosen on a part of the sample that training has not seen, makes it a calibrated probability. The classes weigh as
 in all usable labels.
 
-Defined results: null and empty texts have no words and get the score of a text whose means are zero; a sample
-without both classes gives score 1 or 0 by the only class, 0 without any.
+Defined results: null and empty texts have no words and get the score of a text whose means are zero; equal texts get
+equal scores, so repeated rows and ties too; rows with a null id are scored like others and never learnt from; texts are read
+whole however long; an empty table gives an empty one; columns of other names pass through, one named like the score is
+replaced; a sample without both classes gives score 1 or 0 by the only class, 0 without any.
 """
 
 from __future__ import annotations
