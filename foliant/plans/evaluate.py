@@ -101,6 +101,8 @@ def prepare(spark: SparkSession, files: DataFrame, names: list[str], tools: Tool
             vector = vector.unionByName(done.filter("error IS NULL").select(F.lit(name).alias("backend"), "doc", F.lit(0).cast("long").alias("page_idx"), "text"))
             failures = failures.unionByName(done.filter("error IS NOT NULL").select(F.lit(name).alias("extractor"), "doc", "error"))
             seconds = seconds.unionByName(done.select("doc", "seconds", F.lit(name).alias("extractor")))
+    vector.write.partitionBy("backend").parquet(f"{folder}/vector")  # pipelines and their gates read it many times
+    vector = spark.read.schema(vector.schema).parquet(f"{folder}/vector")
     sizes = parsed.filter("page_idx IS NOT NULL").select("doc", "page_idx", "width", "height")
     able = [n for n in names if n not in lacking]
     inputs = extractors.Inputs(counts=counts, vector=vector, sizes=sizes, failures=failures.groupBy("extractor", "doc").agg(F.min("error").alias("error")))

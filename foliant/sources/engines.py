@@ -82,7 +82,8 @@ def image_calls(calls: DataFrame, images: DataFrame, engines: dict[str, Callable
     """
     format_ = F.col("format") if "format" in images.columns else F.lit("raw")
     asked = calls.select(*IMAGE_CALL).distinct().groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("model", "prep", "scale"))).alias("asked"))
-    known = images.filter("bytes IS NOT NULL").select("hash", "width", "height", "channels", format_.alias("format"), "bytes")
+    place = [c for c in ("doc", "page_idx", "img_idx") if c in images.columns]
+    known = images.filter("bytes IS NOT NULL").select(*place, "hash", "width", "height", "channels", format_.alias("format"), "bytes")
 
     def run(batches):
         import pandas as pd
@@ -110,9 +111,12 @@ def image_calls(calls: DataFrame, images: DataFrame, engines: dict[str, Callable
                     rows.append((r.hash, a["model"], a["prep"], a["scale"], [{"text": w, "confidence": float(c)} for w, c in words], time.perf_counter() - began, error))
             yield pd.DataFrame(rows, columns=[*IMAGE_CALL, "words", "seconds", "error"])
 
-    # One of the copies of an image's bytes is taken; only their places are compared.
-    once = known.join(asked, "hash").dropDuplicates(["hash"])
-    return once.mapInPandas(run, "hash string, model string, prep boolean, scale double, words array<struct<text:string,confidence:double>>, seconds double, error string")
+    if len(place) == 3:  # one of an image's places is chosen before its bytes are looked at
+        first = known.groupBy("hash").agg(F.min(F.struct(*place)).alias("at")).join(asked, "hash").select(*[F.col(f"at.{c}") for c in place], "asked")
+        once = known.join(first, place)
+    else:
+        once = known.join(asked, "hash").dropDuplicates(["hash"])
+    return once.select("hash", "width", "height", "channels", "format", "bytes", "asked").mapInPandas(run, "hash string, model string, prep boolean, scale double, words array<struct<text:string,confidence:double>>, seconds double, error string")
 
 
 def page_calls(calls: DataFrame, files: DataFrame, render: Callable[[], Renderer], engine: Callable[[], OcrEngine], scale: float = 2.0) -> DataFrame:
