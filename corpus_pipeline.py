@@ -12,8 +12,9 @@ other name, those of the operators' own results too, pass through as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliant.llm.column_repeats import without_repeats
 from foliant.llm.differencing_pack import packed
@@ -25,6 +26,8 @@ from foliant.sources.tables import table
 
 #: Words of the shortest passage that no two places may share.
 PASSAGE = 51
+#: Most hashes that pairs of id and text may share; beyond that something is wrong with the hash.
+SHARED = 10_000
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -42,20 +45,34 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _counted(drop_boilerplate(docs, ratio=FEW, rare=RARE))
 
 
+def _row_ids(docs: DataFrame) -> Column:
+    """A number for each pair of id and text: a 64-bit hash, or another one where two pairs have the same.
+
+    Which hashes are shared is seen from a second hash of each pair; among 10**10 rows about three are, so they are few.
+    """
+    pair = ("doc_id", "text")
+    first, second = F.xxhash64(*pair), F.xxhash64(F.lit(1), *pair)
+    seen = docs.select(first.alias("h"), second.alias("g")).groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"))
+    shared = [r["h"] for r in seen.filter("low <> high").select("h").limit(SHARED + 1).collect()]
+    if len(shared) > SHARED:
+        raise ValueError(f"more than {SHARED} pairs of id and text share a hash")
+    return F.when(first.isin(shared), F.xxhash64(F.lit(2), *pair)).otherwise(first) if shared else first
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Ids may repeat with other texts, so rows are told apart by numbers that are written with them. Texts without words are
-    copies of nothing; repeated rows of one id and such a text are told by its digest.
+    Ids may repeat with other texts, so documents are told apart by a number for id and text.
     """
-    scratch = Scratch(spark)
-    rows = scratch.save(docs.filter("doc_id IS NOT NULL").withColumn("__foliant_row", F.monotonically_increasing_id()))
-    found = near_copies(rows, doc_id="__foliant_row").select(F.col("doc_id").alias("__foliant_row"), "n_shingles", "component_id")
-    blank = F.concat_ws(":", "doc_id", F.coalesce(F.sha2("text", 256), F.lit("null")))
-    groups = found.join(rows.select("doc_id", "__foliant_row", blank.alias("__foliant_blank")), "__foliant_row")
-    group = F.when(F.col("n_shingles") == 0, F.col("__foliant_blank")).otherwise(F.col("component_id").cast("string"))
-    chosen = groups.groupBy(group.alias("__foliant_group")).agg(F.min(F.struct("doc_id", "__foliant_row")).alias("__foliant_least")).select("__foliant_least.__foliant_row")
-    return rows.join(chosen, "__foliant_row", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.filter("doc_id IS NOT NULL")
+    rows = rows.withColumn("__foliant_row", _row_ids(rows))
+    groups = near_copies(rows, doc_id="__foliant_row").select(F.col("doc_id").alias("__foliant_row"), F.col("component_id").alias("__foliant_group"))
+    least = F.min(F.struct("doc_id", "__foliant_row"))
+    chosen = groups.distinct().join(rows.select("doc_id", "__foliant_row"), "__foliant_row").groupBy("__foliant_group").agg(least.alias("__foliant_least")).select(F.col("__foliant_least.__foliant_row").alias("__foliant_kept"))
+    with_id = rows.join(chosen, F.col("__foliant_row") == F.col("__foliant_kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("__foliant_row").orderBy("doc_id"))
+    once = with_id.withColumn("__foliant_turn", first).filter("__foliant_turn = 1").select(*docs.columns)
+    return once.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
