@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.data import prose
+from tests.llm.data import awkward, prose
 from tests.llm.test_scores import corpus
 from tests.llm.test_tokens import check_packing
 
@@ -126,3 +126,16 @@ def test_columns_named_like_results(spark, folder):
         out = stage(spark, docs, folder[0])
         assert out.columns == docs.columns, name
         assert out.select(*named).distinct().collect() == [tuple(named.values())], name
+
+
+def test_rows_that_share_a_hash_get_another(spark, monkeypatch):
+    real, texts = F.xxhash64, [(i, f"text {i}") for i in range(40)]
+    docs = awkward(spark, [*texts, (3, "text 3"), (3, "other"), (4, None)])
+    want = docs.select("doc_id", "text").distinct().count()
+    plain = docs.withColumn("row", corpus_pipeline._row_ids(docs)).select("doc_id", "text", "row").distinct()
+    assert plain.count() == want == plain.select("row").distinct().count()
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(30)) if len(c) == 2 else real(*c))
+    ids = corpus_pipeline._row_ids(docs)
+    monkeypatch.undo()
+    rows = docs.withColumn("row", ids).select("doc_id", "text", "row").distinct()
+    assert rows.count() == want == rows.select("row").distinct().count()
