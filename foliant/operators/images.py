@@ -22,7 +22,7 @@ LEAST_TEXT = 5
 def background_by_size(images: DataFrame, counts: DataFrame) -> DataFrame:
     """The most frequent size of each document by distinct pages (the first seen of equals), if half of the pages have it."""
     pages = images.groupBy("doc", "width", "height", "page_idx").agg(F.min("img_idx").alias("img_idx"))
-    seen = pages.repartition("doc").groupBy("doc", "width", "height").agg(F.count("*").alias("pages"), F.min(F.struct("page_idx", "img_idx")).alias("first"))
+    seen = pages.groupBy("doc", "width", "height").agg(F.count("*").alias("pages"), F.min(F.struct("page_idx", "img_idx")).alias("first"))
     best = seen.groupBy("doc").agg(F.min(F.struct((-F.col("pages")).alias("p"), "first", "width", "height")).alias("b")).select("doc", "b.width", "b.height", (-F.col("b.p")).alias("pages"))
     return best.join(counts, "doc").filter(F.col("pages") / F.col("num_pages") >= SHARE).select("doc", "width", "height", "pages")
 
