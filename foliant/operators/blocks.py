@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from foliant.operators.pages import ordered
 
@@ -55,39 +58,76 @@ def edge_lines(pages: DataFrame, edge: int = 1) -> DataFrame:
     return rows.select("doc", "page_idx", F.explode(both).alias("line"))
 
 
+def _strips(part, low, high):
+    """The widest empty strip of each part along an axis (the first of equals, 0 where there is none) and its middle; *part* numbers them from 0."""
+    order = np.lexsort((low, part))
+    low, part, known = low[order], part[order], np.unique(high)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    reach = known[np.maximum.accumulate(part * len(known) + np.searchsorted(known, high[order])) - part * len(known)]
+    with np.errstate(invalid="ignore"):
+        wide = np.append(0.0, low[1:] - reach[:-1])
+        wide[starts] = 0.0
+        wide = np.where(wide > 0, wide, 0.0)
+        best = np.maximum.reduceat(wide, starts)
+        first = np.minimum.reduceat(np.where(wide == best[part], np.arange(len(wide)), len(wide)), starts)
+        return best, np.where(best > 0, (low[first] + reach[first - 1]) / 2, np.nan)
+
+
+def _turns(sizes, x, y, w, h, gap):
+    """Places by recursive XY cuts of the blocks of several pages, which follow each other with *sizes* blocks each; all pages are cut level by level."""
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place, many = first.copy(), np.repeat(sizes, sizes)  # of each block: where its part starts in the order, and how many that has
+    right, below = (np.where(np.isnan(v), -np.inf, v) for v in (x + w, y + h))
+    live = np.flatnonzero(many > 1)
+    while len(live):
+        part = np.unique(place[live], return_inverse=True)[1]
+        (wide, x_at), (tall, y_at) = _strips(part, x[live], right[live]), _strips(part, y[live], below[live])
+        across = wide >= tall
+        behind = ~(np.where(across[part], x[live], y[live]) < np.where(across, x_at, y_at)[part])
+        before = np.bincount(part, ~behind, len(wide)).astype(np.int64)
+        cut = ((np.maximum(wide, tall) >= gap) & (before > 0) & (before < np.bincount(part)))[part]
+        done = live[~cut]
+        done = done[np.lexsort((done, x[done], y[done], place[done]))]
+        if len(done):
+            starts = np.flatnonzero(np.diff(place[done], prepend=-1))
+            place[done] += np.arange(len(done)) - np.repeat(starts, np.diff(starts, append=len(done)))
+        live, behind, before = live[cut], behind[cut], before[part[cut]]
+        place[live] += np.where(behind, before, 0)
+        many[live] = np.where(behind, many[live] - before, before)
+        live = live[many[live] > 1]
+    return place - first
+
+
 def reading_order(blocks: DataFrame, gap: float = 20.0) -> DataFrame:
     """Blocks (doc, page_idx, x, y, w, h, ...) with ``turn``, their place by recursive XY cuts of the page.
 
     A page is cut at its widest empty strip, columns before rows of equal strips, strips of less than *gap* don't
-    count; parts without one go from top to bottom, then from left to right. A page's blocks are one group.
+    count; parts without one go from top to bottom, then from left to right. A page's blocks come to one task, whose pages
+    are cut many at a time.
     """
     schema = T.StructType([*blocks.schema.fields, T.StructField("turn", T.IntegerType())])
 
-    def strips(low, high):
-        order = sorted(range(len(low)), key=lambda i: low[i])
-        best, at, reach = 0.0, None, high[order[0]]
-        for i in order[1:]:
-            if low[i] - reach > best:
-                best, at = low[i] - reach, (low[i] + reach) / 2
-            reach = max(reach, high[i])
-        return best, at
-
-    def place(items):
-        if len(items) < 2:
-            return items
-        wide, x = strips([b[0] for b in items], [b[0] + b[2] for b in items])
-        tall, y = strips([b[1] for b in items], [b[1] + b[3] for b in items])
-        if max(wide, tall) < gap:
-            return sorted(items, key=lambda b: (b[1], b[0], b[4]))
-        axis, at = (0, x) if wide >= tall else (1, y)
-        return place([b for b in items if b[axis] < at]) + place([b for b in items if b[axis] >= at])
-
-    def page(rows):
-        items = [(*v, i) for i, v in enumerate(rows[["x", "y", "w", "h"]].itertuples(index=False, name=None))]
-        turn = {b[4]: t for t, b in enumerate(place(items))}
-        return rows.assign(turn=[turn[i] for i in range(len(rows))])
-
-    return blocks.groupBy("doc", "page_idx").applyInPandas(page, schema)
+    def run(batches):
+        waiting, have, need = [], 0, 1
+        for batch in batches:
+            waiting.append(batch)
+            have += batch.num_rows
+            if have < need:  # the first page isn't whole yet
+                continue
+            rows = pa.Table.from_batches(waiting)
+            sizes, of, at = rows["_rows"].to_numpy(), [], 0
+            while at < have and at + sizes[at] <= have:
+                of.append(sizes[at])
+                at += sizes[at]
+            if of:
+                whole = rows.slice(0, at).drop_columns("_rows").combine_chunks()
+                turn = _turns(np.array(of, np.int64), *(whole[c].cast(pa.float64()).to_numpy() for c in ("x", "y", "w", "h")), gap)
+                yield from whole.append_column("turn", pa.array(turn.astype(np.int32))).to_batches()
+            need = sizes[at] if at < have else 1
+            waiting, have = rows.slice(at).to_batches(), have - at
+
+    page = Window.partitionBy("doc", "page_idx")
+    return blocks.withColumn("_rows", F.count("*").over(page)).sortWithinPartitions("doc", "page_idx").mapInArrow(run, schema)
 
 
 def rendered(blocks: DataFrame, order: str = "turn") -> DataFrame:

@@ -97,7 +97,7 @@ _COLUMN = "l_linenumber % 2"
 SELECT doc, page_idx, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY doc, page_idx ORDER BY col, l_orderkey, l_linenumber) - 1 AS INTEGER) AS turn FROM b""")
 def q_reading_order(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as blocks in two columns of a supplier's pages, read one column after the other."""
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") % 12).alias("page_idx"), "l_orderkey", "l_linenumber", F.expr(_COLUMN).alias("col"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") % 12).alias("page_idx"), "l_orderkey", "l_linenumber", F.expr(_COLUMN).alias("col")).repartition("doc", "page_idx")  # pages are dealt out once for all that follows
     down = F.row_number().over(Window.partitionBy("doc", "page_idx", "col").orderBy("l_orderkey", "l_linenumber"))
     placed = rows.select("doc", "page_idx", "l_orderkey", "l_linenumber", (50.0 + 300 * F.col("col")).alias("x"), (12.0 * down).alias("y"), F.lit(200.0).alias("w"), F.lit(10.0).alias("h"))
     return blocks.reading_order(placed).select("doc", "page_idx", "l_orderkey", "l_linenumber", "turn")

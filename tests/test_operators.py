@@ -126,6 +126,20 @@ def test_reading_order(spark):
     assert [r["text"] for r in got] == [str(i) for i in range(30)]
 
 
+def test_reading_order_of_many_cuts_and_of_pages_across_batches(spark):
+    schema = "doc string, page_idx int, x double, y double, w double, h double, place int"
+    rows = [("deep", 0, 0.0, float(30 * i), 100.0, 10.0, i) for i in range(1500)]  # one cut below another
+    rows += [("d", p, 300.0 * c, 12.0 * i, 200.0, 10.0, n * c + i) for p, n in enumerate((1, 5, 40, 3)) for c in (0, 1) for i in range(n)]
+    random.Random(2).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = blocks.reading_order(spark.createDataFrame(rows, schema)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and all(r["turn"] == r["place"] for r in got)
+    assert blocks.reading_order(spark.createDataFrame([], schema)).count() == 0
+
+
 def inputs(spark):
     backends = ("pdf-parse", "pdfjs-dist", "unpdf", "pdf2json", "mupdf", "docling", "mineru")
     vector = [(b, "d", p, t) for b in backends for p, t in ((0, "plano anual da empresa"), (1, "x" * 150), (2, ""))]
