@@ -8,12 +8,13 @@ took, which count for every pipeline that uses it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import extractors, geometry, images
-from foliant.sources import engines, results
+from foliant.sources import engines, pdf, results
 
 IMAGES = "hash string, model string, prep boolean, scale double, words array<struct<text:string,confidence:double>>, seconds double, error string"
 PAGES = "file string, page_idx long, renderer string, left int, top int, width int, height int, text string, render_seconds double, seconds double, error string"
@@ -64,6 +65,38 @@ def wanted_boxes(boxes: DataFrame, i: extractors.Inputs, files: DataFrame) -> Da
     return lead.join(files, "doc").select(F.lit("hibrido-unpdf-bbox").alias("extractor"), "doc", "img_idx", "file", F.col("page_idx").cast("long").alias("page_idx"), F.lit("unpdf").alias("renderer"), *[c.cast("int").alias(n) for n, c in pixels.items()])
 
 
+def _unpacked(document: pdf.Document, page_idx: int, img_idx: int) -> tuple[int, int, int, str, bytes]:
+    """Width, height, channels, format and bytes of an image on a page."""
+    image = document.pages[page_idx].images[img_idx]
+    return image["width"], image["height"], image["channels"], *pdf.image_bytes(image["stream"])
+
+
+def calls_on_files(calls: DataFrame, placements: DataFrame, files: DataFrame, by_model: dict) -> DataFrame:
+    """IMAGES rows of each distinct call, made on the first of an image's places: the page is read again from its file and the image unpacked where OCR is, so that no pixels are kept or moved.
+
+    Images go to a task with their file, those of engines.PAGES_AT_ONCE pages at a time.
+    """
+    asked = calls.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("model", "prep", "scale"))).alias("asked"))
+    first = placements.groupBy("hash").agg(F.min(F.struct("doc", "page_idx", "img_idx")).alias("at")).join(asked, "hash")
+    image = F.struct("at.page_idx", "at.img_idx", "hash", "asked")
+    chunks = first.groupBy(F.col("at.doc").alias("doc"), F.floor(F.col("at.page_idx") / engines.PAGES_AT_ONCE).alias("chunk")).agg(F.array_sort(F.collect_list(image)).alias("found"))
+
+    def run(batches):
+        import pandas as pd
+
+        started = {}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                pages = {x["page_idx"] for x in r.found}
+                document = cache(lambda r=r, pages=pages: pdf.Document(bytes(r.content), lambda i, n: i in pages))
+                for x in r.found:
+                    unpacked = cache(lambda x=x, document=document: _unpacked(document(), x["page_idx"], x["img_idx"]))
+                    rows = [(x["hash"], *a) for a in engines.answers(started, by_model, x["asked"], unpacked)]
+                    yield pd.DataFrame(rows, columns=[*engines.IMAGE_CALL, "words", "seconds", "error"])
+
+    return chunks.join(files.select("doc", "content"), "doc").select("found", "content").mapInPandas(run, IMAGES)
+
+
 @dataclass(frozen=True)
 class Store:
     """Results of calls in a folder, as two tables that only grow."""
@@ -84,10 +117,10 @@ class Store:
     def pages(self) -> DataFrame:
         return self.known("pages", PAGES, engines.PAGE_CALL)
 
-    def make_images(self, wanted: DataFrame, found: DataFrame, by_model: dict) -> None:
-        """Makes the calls of *wanted* that are not there on the images *found*."""
+    def make_images(self, wanted: DataFrame, placements: DataFrame, files: DataFrame, by_model: dict) -> None:
+        """Makes the calls of *wanted* that are not there on the images of the files (doc, content)."""
         todo = wanted.select(*engines.IMAGE_CALL).distinct().join(self.images(), engines.IMAGE_CALL, "left_anti")
-        engines.image_calls(todo, found, by_model).write.mode("append").parquet(f"{self.folder}/images")
+        calls_on_files(todo, placements, files, by_model).write.mode("append").parquet(f"{self.folder}/images")
 
     def make_pages(self, wanted: DataFrame, files: DataFrame, render, engine) -> None:
         """Makes the calls of *wanted* that are not there on the files (file, content)."""

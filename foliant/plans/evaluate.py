@@ -79,12 +79,13 @@ def _for_each(spark: SparkSession, names: list[str], docs: DataFrame) -> DataFra
 def prepare(spark: SparkSession, files: DataFrame, names: list[str], tools: Tools) -> tuple[extractors.Inputs, DataFrame]:
     """The tables that the pipelines *names* read, and the seconds of each (extractor, doc).
 
-    Files are parsed once, into a written table that all else reads. OCR is asked for what the pipelines' gates let through,
+    Files are parsed once, into a written table that all else reads; pixels are in none, an image that OCR reads is unpacked again
+    from the file that has it first. OCR is asked for what the pipelines' gates let through,
     once for each call (``demand``). A pipeline whose tool is missing fails for every document. Seconds are those of
     reading the file, or of the converter, and of all OCR calls that the pipeline uses for the document.
     """
     folder = new_folder(spark)
-    pdf.parsed(files).write.parquet(f"{folder}/parsed")
+    pdf.parsed(files.withColumn("images", F.lit("hash"))).write.parquet(f"{folder}/parsed")
     parsed = spark.read.parquet(f"{folder}/parsed")
     read = parsed.groupBy("doc").agg(F.max("seconds").alias("seconds"), F.max("error").alias("error"), F.max("file").alias("file"))
     counts, vector = pdf.counts_of(parsed), own_text(parsed)
@@ -129,7 +130,7 @@ def with_ocr(spark: SparkSession, files: DataFrame, parsed: DataFrame, inputs: e
     parts = [p.select(*call) for p in (of_pages, of_boxes) if p is not None]
     every_page = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else None
     if of_images is not None:
-        store.make_images(of_images, found, {"standard": tools.ocr, "best": tools.best_ocr})
+        store.make_images(of_images, placements, files, {"standard": tools.ocr, "best": tools.best_ocr})
         words = store.images().join(of_images.select(*engines.IMAGE_CALL).distinct(), engines.IMAGE_CALL, "left_semi")
         inputs = replace(inputs, words=words.select(*engines.IMAGE_CALL, F.posexplode("words").alias("word_idx", "w")).select(*engines.IMAGE_CALL, "word_idx", "w.text", "w.confidence"))
     if every_page is not None:

@@ -12,6 +12,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.sources import png
+
 
 class OcrEngine(Protocol):
     def __call__(self, png: bytes, rectangle: tuple[int, int, int, int] | None = None) -> list[tuple[str, float]]:
@@ -74,6 +76,26 @@ PAGE_CALL = ["file", "page_idx", "renderer", "left", "top", "width", "height"]
 PAGES_AT_ONCE = 32
 
 
+def answers(started: dict[str, OcrEngine], engines: dict[str, Callable[[], OcrEngine]], asked, image: Callable[[], tuple[int, int, int, str, bytes]]):
+    """model, prep, scale, words, seconds and error of each of what is *asked* of an image (width, height, channels, format, bytes); *started* has the engines by model."""
+    for a in asked:
+        words, error, began = [], None, time.perf_counter()
+        try:
+            width, height, channels, form, data = image()
+            ocr = started.get(a["model"])
+            if ocr is None:
+                ocr = started[a["model"]] = engines[a["model"]]()
+            began = time.perf_counter()
+            if form != "raw":  # an image file of its own, which the engine reads
+                words = ocr(bytes(data))
+            else:
+                rgba = png.to_rgba(data, width, height, channels)
+                words = ocr(png.encode(png.scaled(png.binarized(rgba) if a["prep"] else rgba, a["scale"])))
+        except Exception as e:  # noqa: BLE001  any failure is the call's error
+            error = f"{type(e).__name__}: {e}"
+        yield a["model"], a["prep"], a["scale"], [{"text": w, "confidence": float(c)} for w, c in words], time.perf_counter() - began, error
+
+
 def image_calls(calls: DataFrame, images: DataFrame, engines: dict[str, Callable[[], OcrEngine]]) -> DataFrame:
     """Words, seconds and error of each distinct call (hash, model, prep, scale) on *images* (hash, width, height, channels, bytes, maybe format).
 
@@ -88,27 +110,11 @@ def image_calls(calls: DataFrame, images: DataFrame, engines: dict[str, Callable
     def run(batches):
         import pandas as pd
 
-        from foliant.sources import png
-
         started = {}
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                for a in r.asked:
-                    words, error, began = [], None, time.perf_counter()
-                    try:
-                        ocr = started.get(a["model"])
-                        if ocr is None:
-                            ocr = started[a["model"]] = engines[a["model"]]()
-                            began = time.perf_counter()
-                        if r.format != "raw":  # an image file of its own, which the engine reads
-                            words = ocr(bytes(r.bytes))
-                        else:
-                            rgba = png.to_rgba(r.bytes, r.width, r.height, r.channels)
-                            words = ocr(png.encode(png.scaled(png.binarized(rgba) if a["prep"] else rgba, a["scale"])))
-                    except Exception as e:  # noqa: BLE001  any failure is the call's error
-                        error = f"{type(e).__name__}: {e}"
-                    rows.append((r.hash, a["model"], a["prep"], a["scale"], [{"text": w, "confidence": float(c)} for w, c in words], time.perf_counter() - began, error))
+                rows += [(r.hash, *a) for a in answers(started, engines, r.asked, lambda r=r: (r.width, r.height, r.channels, r.format, r.bytes))]
             yield pd.DataFrame(rows, columns=[*IMAGE_CALL, "words", "seconds", "error"])
 
     if len(place) == 3:  # one of an image's places is chosen before its bytes are looked at

@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from foliant.plans import evaluate
+from foliant.plans import demand, evaluate
 from foliant.sources import pdf, pdf_filters
 from tests.test_sources import make_pdf
 
@@ -108,6 +108,30 @@ def test_missing_tools_are_errors(spark, documents):
     assert got["tesseract", "one"]["num_pages"] == 0 and got["hibrido-clean-conf", "one"]["text"] == "Hi", "an engine that fails has no words"
 
 
+def test_runs_write_no_pixels(spark, documents, tmp_path, monkeypatch):
+    (tmp_path / "calls").mkdir()
+    monkeypatch.setattr(evaluate, "new_folder", lambda spark: str(tmp_path / "run"))
+    tools = evaluate.Tools(ocr=lambda: Counting(str(tmp_path / "calls")), commands={})
+    got = texts(spark, documents, ["hibrido-unpdf-img"], tools)
+    assert got["hibrido-unpdf-img", "other"]["text"] == "Hi\nseen unsure\n\nHi\n\nHi"
+    held = pdf.images_of(spark.read.parquet(str(tmp_path / "run" / "parsed"))).collect()
+    assert len(held) == 3 and all(r["hash"] and r["bytes"] is None for r in held)
+
+
+def test_images_are_unpacked_again_only_from_the_pages_that_have_them_first(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    shown = [bytes([i]) * (400 * 300) for i in range(3)]
+    files = files_of(spark, a=with_images([b"/I%d Do" % (i % 3) for i in range(70)], [(400, 300, x) for x in shown]), b=with_images([b"/I0 Do"], [(400, 300, shown[2])]))
+    where = pdf.images_of(pdf.parsed(files.selectExpr("*", "'hash' AS images"))).drop("bytes", "error")
+    wanted = [(hashlib.sha256(x).hexdigest(), "standard", False, s) for x in (*shown, b"none has it") for s in (1.0, 2.0)]
+    calls_ = spark.createDataFrame(wanted, "hash string, model string, prep boolean, scale double")
+    done = demand.calls_on_files(calls_, where, files, {"standard": lambda: Counting(str(tmp_path / "calls"))}).collect()
+    assert sorted((r["hash"], r["scale"]) for r in done) == sorted((h, s) for h, *_, s in wanted[:6]) and all(r["error"] is None for r in done)
+    assert sorted(calls(tmp_path / "calls").values()) == [1] * 6
+    lost = demand.calls_on_files(calls_, where, files_of(spark, a=b"no file"), {"standard": lambda: Counting(str(tmp_path / "calls"))}).collect()
+    assert len(lost) == 6 and all("no PDF header" in r["error"] for r in lost)
+
+
 def test_seconds_count_the_calls_of_each_pipeline(spark, documents, tmp_path):
     (tmp_path / "calls").mkdir()
     tools = evaluate.Tools(ocr=lambda: Counting(str(tmp_path / "calls"), 0.2), render=lambda: Draw(), commands={})
