@@ -162,7 +162,7 @@ def runs(spark: SparkSession, files: DataFrame, names: list[str], tools: Tools =
 
 def profiles(files: DataFrame, gold: DataFrame | None) -> DataFrame:
     """The published profile of each readable PDF (doc, length, mb, content): pages, letters, images, and how much the gold text has."""
-    parsed = pdf.parsed(files).persist()
+    parsed = pdf.parsed(files.withColumn("images", F.lit("size"))).persist()
     text = structured_text(pdf.items_of(parsed)).select("doc", "page_idx", "text")
     pages = parsed.filter("page_idx IS NOT NULL").select("doc", "page_idx", "width", "height").join(text, ["doc", "page_idx"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     blocks = pdf.operators_of(parsed).filter("op IN ('image', 'inline_image')").select("doc", "page_idx", F.lit("image").alias("type"))

@@ -11,6 +11,7 @@ from foliant import cli
 from foliant.operators import extractors, gold
 from foliant.plans import evaluate
 from foliant.sources import engines, pdf, pdf_slice, results
+from foliant.sources.pdf_write import write_pdf
 from tests.test_sources import CONTENT, make_pdf
 
 
@@ -166,3 +167,15 @@ def test_one_file_for_each_document(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t").glob("*.txt")) == ["a b_ç.txt", "x=1.txt"]
     results.write_json(rows, str(tmp_path / "j"), "doc")
     assert json.loads((tmp_path / "j" / "x=1.json").read_text()) == {"text": ""}
+
+
+def test_profiles_unpack_no_images(spark, monkeypatch):
+    kept = []
+    parsed = pdf.parsed
+    monkeypatch.setattr(pdf, "parsed", lambda *a: kept.append(parsed(*a)) or kept[-1])
+    content = write_pdf([(["some words"], [(0, (100, 0, 0, 80, 0, 0))])], [(400, 300, bytes(400 * 300))])
+    files = spark.createDataFrame([("d", bytearray(content), len(content), 0.0)], "doc string, content binary, length int, mb double")
+    got = evaluate.profiles(files, None).first()
+    assert (got["numImagensReportadas"], got["caracteresExtraidos"], got["tamanhoBytes"]) == (1, 12, len(content))
+    image = kept[0].first()["images"][0]
+    assert (image["width"], image["height"], image["bytes"], image["hash"]) == (400, 300, None, None)
