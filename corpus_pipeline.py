@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.column_repeats import without_repeats
+from foliant.llm.column_repeats import PASSAGE, without_repeats
 from foliant.llm.differencing_pack import packed
 from foliant.llm.near_copies import near_copies
 from foliant.llm.scratch import Scratch
@@ -24,8 +24,6 @@ from foliant.llm.site_lines import FEW, RARE, drop_boilerplate
 from foliant.llm.string_kernel import THRESHOLD, toxicity
 from foliant.sources.tables import table
 
-#: Words of the shortest passage that no two places may share.
-PASSAGE = 51
 #: Most hashes that pairs of id and text may share; beyond that something is wrong with the hash.
 SHARED = 10_000
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
 import random
@@ -166,6 +167,50 @@ def test_repeated_words(spark):
     assert out[7] == "" and out[8] is None and out[9] == ""
 
 
+def brute_passages(texts, length, words):
+    """Bytes, and their maximal runs, that repeated strings of *length* bytes or repeated runs of *words* words cover."""
+    raw = [(t or "").encode() for t in texts]
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raw]
+    count = collections.Counter(r[p : p + length] for r in raw for p in range(len(r) - length + 1))
+    runs = [[tuple(r[s:e] for s, e in f[k : k + words]) for k in range(len(f) - words + 1)] for r, f in zip(raw, found, strict=True)]
+    total = collections.Counter(x for of in runs for x in of)
+    out = []
+    for r, f, of in zip(raw, found, runs, strict=True):
+        cover = bytearray(len(r))
+        for s, e in [(p, p + length) for p in range(len(r) - length + 1) if count[r[p : p + length]] > 1] + [(f[k][0], f[k + words - 1][1]) for k, x in enumerate(of) if total[x] > 1]:
+            cover[s:e] = b"\1" * (e - s)
+        out.append((sum(cover), sum(c and not (i and cover[i - 1]) for i, c in enumerate(cover))))
+    return out
+
+
+@pytest.mark.parametrize(("bound", "piece"), [(256, 1 << 20), (2, 1000)])
+def test_passages_of_short_words(spark, monkeypatch, bound, piece):
+    """Whole copies, passages of short words, and passages inside of copies that are found byte by byte already."""
+    monkeypatch.setattr(column_repeats, "BOUND", bound)
+    monkeypatch.setattr(column_repeats, "PIECE", piece)
+    words = prose(70, 200).split()
+    texts = {1: None, 2: "", 3: " \n", 4: "a " * 40, 5: "x" * 150, 6: "b c d e f " * 30, 7: prose(71, 2000)}
+    texts |= {10 + i: prose(300, 120) for i in range(3)}  # copies
+    texts |= {20 + i: prose(400 + i, 15) + " " + " ".join(prose(300, 120).split()[60 : 72 + i]) + " " + prose(450 + i, 15) for i in range(4)}  # 12 to 15 words of them
+    texts |= {30 + i: prose(500 + i, 15) + ("\n" if i % 2 else " ") + ("  " if i % 3 else "\t").join(words[i : 13 + i]) + " " + prose(550 + i, 15) for i in range(12)}
+    texts |= {60 + i: prose(600 + i, 9) + " " + " ".join(words[150:161]) + " " + prose(650 + i, 9) for i in range(9)}  # 11 words only
+    texts |= {80: " ".join(prose(71, 2000).split()[1500:1512]), 81: texts[7][:200].replace(" ", "\n")}
+    rows = [*texts.items(), (10, texts[10]), (None, texts[30])]
+    got = sorted((r["doc_id"] or -1, r["n_repeated"], r["n_passages"]) for r in column_repeats.removal_digests(awkward(spark, rows).repartition(3), 150, words=12).collect())
+    assert got == sorted(((i or -1), *w) for (i, _), w in zip(rows, brute_passages([t for _, t in rows], 150, 12), strict=True))
+    plain = column_repeats.removal_digests(awkward(spark, rows), 150)
+    both = column_repeats.removal_digests(awkward(spark, rows), 150, words=12).select(plain.columns)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, both.collect()))
+
+
+def test_query_tells_passages_below_400_bytes(spark, tmp_path):
+    texts = {i: prose(700 + i, 30) + " " + " ".join(w[:5] for w in prose(790 + i // 2, 50 + i // 2).split()) + " " + prose(750 + i, 30) for i in range(8)}
+    awkward(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in column_repeats.op5_column_repeats(spark, str(tmp_path)).collect()}
+    assert all(r["n_removed"] == 0 for r in out.values())
+    assert [out[i]["n_passages"] for i in range(8)] == [0, 0, 1, 1, 1, 1, 1, 1]  # 50 words, then 51 to 53
+
+
 def test_columns_against_brute_force():
     g = random.Random(5)
     texts = [bytes(g.choices(b"ab", k=g.randint(0, 14))) + b"XYZ" + bytes(g.choices(b"ab", k=g.randint(0, 14))) for _ in range(57)] + [b"aXYZbb"] * 3
